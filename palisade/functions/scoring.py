@@ -55,6 +55,12 @@ def half_even(value: Column) -> Column:
     return F.bround(value, 0).cast("bigint")
 
 
+def half_even_places(value: Column, places: int) -> Column:
+    """Rounding of the binary value to some decimals, as the report does (not of its printed form)."""
+    scale = float(10**places)
+    return F.rint(value * scale) / scale
+
+
 def half_up(value: Column) -> Column:
     """Dashboard rounding: ties go up."""
     return F.floor(value + F.lit(0.5)).cast("bigint")

@@ -93,9 +93,9 @@ def knowledge_summary(by_rule: DataFrame) -> DataFrame:
         F.sum(known_n).alias("knowledge_enriched"),
         F.count("*").alias("unique_rule_count"),
         F.sum(scored).alias("cvss_count"),
-        F.round(F.sum(F.col("cvss_score") * F.col("n")) / F.nullif(F.sum(scored), F.lit(0)), 2).alias("cvss_average"),
+        scoring.half_even_places(F.sum(F.col("cvss_score") * F.col("n")) / F.nullif(F.sum(scored), F.lit(0)), 2).alias("cvss_average"),
         F.max("cvss_score").alias("cvss_maximum"),
-    ).withColumn("coverage_percent", F.round(F.col("knowledge_enriched") * 100 / F.col("finding_count"), 2))
+    ).withColumn("coverage_percent", scoring.half_even_places(F.col("knowledge_enriched") * 100 / F.col("finding_count"), 2))
 
 
 def knowledge_histogram(by_rule: DataFrame, column: str) -> DataFrame:

@@ -82,6 +82,7 @@ def main() -> int:
     scale = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     chosen = sys.argv[1:]
     spark = local_session("compare")
+    print()
     connection = connect(scale)
     failed = []
     for name, query in registered().items():
