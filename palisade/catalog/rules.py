@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palisade.session import dimension
+
 # --- Fixed values: analyzers as (name, languages, frameworks, priority). ---
 
 ANALYZERS = (
@@ -274,8 +276,8 @@ def analyzers(spark: SparkSession) -> DataFrame:
     """Analyzer dimension with its running order: priority first, then name, both descending."""
     ranked = sorted(ANALYZERS, key=lambda a: (a[3], a[0]), reverse=True)
     rows = [(*a, position) for position, a in enumerate(ranked)]
-    return spark.createDataFrame(
-        rows, "analyzer string, languages array<string>, frameworks array<string>, priority int, analyzer_ord int"
+    return dimension(
+        spark, rows, "analyzer string, languages array<string>, frameworks array<string>, priority int, analyzer_ord int"
     )
 
 
@@ -284,7 +286,7 @@ def source_rules(spark: SparkSession) -> DataFrame:
         "rule_id string, analyzer string, title string, description string, category string, severity string, "
         "confidence string, remediation string, cwe_id string, owasp_reference string"
     )
-    return spark.createDataFrame(list(SOURCE_RULES), columns)
+    return dimension(spark, list(SOURCE_RULES), columns)
 
 
 def endpoint_rules(spark: SparkSession) -> DataFrame:
@@ -292,7 +294,7 @@ def endpoint_rules(spark: SparkSession) -> DataFrame:
         "outcome string, rule_id string, title string, description string, category string, severity string, "
         "confidence string, remediation string, owasp_reference string, cwe_id string"
     )
-    return spark.createDataFrame(list(ENDPOINT_RULES), columns)
+    return dimension(spark, list(ENDPOINT_RULES), columns)
 
 
 def knowledge(spark: SparkSession) -> DataFrame:
@@ -300,11 +302,11 @@ def knowledge(spark: SparkSession) -> DataFrame:
         (rule, title, category, text, fix, owasp, cwe, [], refs, None, None, {})
         for rule, title, category, text, fix, owasp, cwe, refs in KNOWLEDGE
     ]
-    return spark.createDataFrame(rows, _KNOWLEDGE_SCHEMA)
+    return dimension(spark, rows, _KNOWLEDGE_SCHEMA)
 
 
 def owasp_categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(OWASP_CATEGORIES), "owasp string, title string, description string")
+    return dimension(spark, list(OWASP_CATEGORIES), "owasp string, title string, description string")
 
 
 def duplicate_rule_ids(dimension: DataFrame) -> DataFrame:

@@ -329,22 +329,34 @@ def _decision_hits() -> Column:
 register_rule(Rule("FASTAPI-AUTH-008", "function", _decision_hits))
 
 
+_BUILT: dict[tuple, tuple[dict[str, Column], dict[str, Column], Column]] = {}
+
+
+def _built(application: str, compat_500: bool) -> tuple[dict[str, Column], dict[str, Column], Column]:
+    """The column expressions of all registered rules. They do not depend on the data, so one build per
+    application and rule set is enough."""
+    key = (application, compat_500, tuple(id(r) for r in RULES.values()))
+    if key not in _BUILT:
+        by_fact: dict[str, list[Rule]] = {}
+        for rule in RULES.values():
+            by_fact.setdefault(rule.fact, []).append(rule)
+
+        def hits(kind: str) -> Column:
+            return F.array_compact(F.array(*[r.hit().cast(HIT) for r in by_fact[kind]]))
+
+        route_hits = F.flatten(F.transform(
+            "function.routes", lambda r: F.array_compact(F.array(*[rule.hit(r).cast(HIT) for rule in by_fact["route"]]))))
+        function_hits = F.concat(route_hits, *[rule.hit() for rule in by_fact.get("function", ())])
+        found = F.when(F.col("kind") == "call", hits("call")).when(F.col("kind") == "assign", hits("assign")).otherwise(function_hits)
+        tests = {name: build(compat_500) for name, build in FUNCTION_TESTS.items()}
+        _BUILT[key] = (tests, {name: build() for name, build in CALL_PICKS.items()}, found)
+    return _BUILT[key]
+
+
 def raw_hits(facts: DataFrame, compat_500: bool = False) -> DataFrame:
     """All hits of all rules, repeats included. ``compat_500`` tests only the first 500 characters of a function."""
-    by_fact: dict[str, list[Rule]] = {}
-    for rule in RULES.values():
-        by_fact.setdefault(rule.fact, []).append(rule)
-
-    def hits(kind: str) -> Column:
-        return F.array_compact(F.array(*[r.hit().cast(HIT) for r in by_fact[kind]]))
-
-    prepared = facts.filter(F.col("kind").isin("call", "assign", "function"))
-    prepared = prepared.withColumns({name: build(compat_500) for name, build in FUNCTION_TESTS.items()})
-    prepared = prepared.withColumns({name: build() for name, build in CALL_PICKS.items()})
-    route_hits = F.flatten(F.transform(
-        "function.routes", lambda r: F.array_compact(F.array(*[rule.hit(r).cast(HIT) for rule in by_fact["route"]]))))
-    function_hits = F.concat(route_hits, *[rule.hit() for rule in by_fact.get("function", ())])
-    found = F.when(F.col("kind") == "call", hits("call")).when(F.col("kind") == "assign", hits("assign")).otherwise(function_hits)
+    tests, picks, found = _built(facts.sparkSession.sparkContext.applicationId, compat_500)
+    prepared = facts.filter(F.col("kind").isin("call", "assign", "function")).withColumns(tests).withColumns(picks)
     return prepared.select(
         "project_id", "relative_path", "seq", "function_name", "class_name", F.explode(found).alias("hit"),
     ).select(

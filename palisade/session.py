@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results; every entry point applies them to the session it is given.
@@ -18,6 +19,8 @@ SPEED_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture per column expression; the rule plan has thousands of them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -57,3 +60,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="palisade-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small in-code table as a local relation: no job is needed to read it and its size is known to the plan."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    fields = to_arrow_schema(_parse_datatype_string(schema))
+    named = [dict(zip(fields.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(named, schema=fields), schema)
