@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.catalog import markers as m, rules as catalog
@@ -62,25 +64,28 @@ def _outcome(name: str, evidence: Column, path: Column, parameters: Column | Non
         (none if parameters is None else F.transform(parameters, lambda p: p["name"])).alias("parameter_names"))
 
 
-def endpoint_findings(endpoints: DataFrame) -> DataFrame:
-    """Findings of the four endpoint rules, with their texts. Each endpoint is looked at once.
+def with_hits(endpoints: DataFrame) -> DataFrame:
+    """Endpoints with the outcomes of the four rules as an array ``hits``. Each endpoint is looked at once.
 
     ``endpoints`` needs: method, path, router_prefix, authentication_required, permission_required,
     security_scopes and parameters(name, location, python_type).
     """
-    path = paths.canonical_path(F.col("router_prefix"), F.col("path"))
-    method = F.upper(F.coalesce("method", F.lit("")))
+    prepared = endpoints.withColumns({
+        "_path": paths.canonical_path(F.col("router_prefix"), F.col("path")),
+        "_bare": paths.loose_path(F.col("router_prefix"), F.col("path")),
+        "_loose": F.filter("parameters", is_unvalidated),
+        "_uploads": F.filter("parameters", is_upload),
+        "method": F.upper(F.coalesce("method", F.lit(""))),
+    })
+    path, bare_path, loose, uploads, method = (F.col(n) for n in ("_path", "_bare", "_loose", "_uploads", "method"))
     safe = method.isin(*m.SAFE_METHODS)
     known = F.coalesce("authentication_required", F.lit(False))
     open_endpoint = ~known & ~paths.is_under(path, m.PUBLIC_PATHS)
     unscoped = known & ~F.coalesce("permission_required", F.lit(False)) & (F.coalesce(F.size("security_scopes"), F.lit(0)) <= 0)
-    loose = F.filter("parameters", is_unvalidated)
-    uploads = F.filter("parameters", is_upload)
     names = lambda found: F.array_join(F.transform(found, lambda p: F.coalesce(p["name"], F.lit(""))), ", ")
     no_auth = F.lit("authentication_required=False and no authentication dependency was discovered.")
     no_scope = F.lit("permission_required=False and no security scopes found.")
-    bare_path = paths.loose_path(F.col("router_prefix"), F.col("path"))
-    found = F.array_compact(F.array(
+    hits = F.array_compact(F.array(
         F.when(open_endpoint & safe, _outcome("open_read", no_auth, path)).when(open_endpoint, _outcome("open_write", no_auth, path)),
         F.when(unscoped & safe, _outcome("unscoped_read", no_scope, bare_path)).when(unscoped, _outcome("unscoped_write", no_scope, bare_path)),
         F.when(F.size(loose) > 0, _outcome("unvalidated", F.concat(
@@ -88,32 +93,55 @@ def endpoint_findings(endpoints: DataFrame) -> DataFrame:
         F.when(F.size(uploads) > 0, _outcome("upload", F.concat(
             F.size(uploads).cast("string"), F.lit(" upload parameter(s) detected: "), names(uploads), F.lit(".")), path, uploads)),
     ))
-    texts = F.broadcast(catalog.endpoint_rules(endpoints.sparkSession))
-    exploded = endpoints.withColumns({"method": method, "_path": path}).select(
-        *[c for c in endpoints.columns if c not in ("method", "parameters", "responses", "description", "path")],
-        "method", F.col("_path").alias("path"), F.posexplode(found).alias("rule_no", "found"))
-    return exploded.select("*", "found.*").drop("found").join(texts, "outcome").withColumn("status", F.lit("open"))
-
-
-def assess(endpoints: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Endpoint findings, enriched and free of repeats, and the scored assessment of every endpoint."""
-    spark = endpoints.sparkSession
-    found = endpoint_findings(endpoints).withColumn("seq", F.col("rule_no"))
-    enriched = finding_ops.enrich(found, catalog.knowledge(spark))
-    kept = finding_ops.normalise(enriched, keys)
-    totals = kept.groupBy(*keys).agg(
-        F.sum(scoring.weight(F.col("severity"), "calculator")).alias("_penalty"), F.count("*").alias("_found"))
-    assessed = (
-        endpoints.withColumns({
-            "method": F.upper("method"), "path": paths.canonical_path(F.col("router_prefix"), F.col("path")),
-            "authenticated": F.coalesce("authentication_required", F.lit(False)),
-            "authorization_required": F.coalesce("permission_required", F.lit(False)),
-        })
-        .join(totals, keys, "left")
-        .withColumn("score", F.greatest(F.lit(0), 100 - F.coalesce("_penalty", F.lit(0))).cast("bigint"))
-        .withColumn("finding_count", F.coalesce("_found", F.lit(0)).cast("bigint"))
-        .withColumn("severity", scoring.band(F.col("score"), "calculator"))
-        .select(*keys, "method", "path", "score", "severity", "finding_count", "authenticated", "authorization_required",
-                "security_schemes", "security_scopes")
+    return prepared.withColumn("hits", hits).withColumn("path", path).drop("_path", "_bare", "_loose", "_uploads")
+
+
+def findings_of(hit_endpoints: DataFrame) -> DataFrame:
+    """One row per outcome with the rule texts, enriched. Both dimensions are in-code tables of fixed size."""
+    spark = hit_endpoints.sparkSession
+    texts = F.broadcast(catalog.endpoint_rules(spark))
+    carried = [c for c in hit_endpoints.columns if c not in ("parameters", "responses", "description", "summary", "hits")]
+    exploded = hit_endpoints.select(*carried, F.posexplode("hits").alias("rule_no", "hit"))
+    found = exploded.select(*carried, "rule_no", "hit.*").join(texts, "outcome").withColumn("status", F.lit("open"))
+    return finding_ops.enrich(found, catalog.knowledge(spark))
+
+
+def assessments_of(hit_endpoints: DataFrame, keys: list[str]) -> DataFrame:
+    """Scored assessment of every endpoint, from its own row: no shuffle.
+
+    The rules yield one outcome per rule id, so removing repeats would change nothing here.
+    """
+    weights = {outcome[0]: scoring.WEIGHTS["calculator"][outcome[5]] for outcome in catalog.ENDPOINT_RULES}
+    points = F.create_map(*[part for name, value in weights.items() for part in (F.lit(name), F.lit(value))])
+    penalty = F.aggregate("hits", F.lit(0), lambda total, h: total + F.element_at(points, h["outcome"]))
+    return hit_endpoints.withColumn("score", F.greatest(F.lit(0), 100 - penalty).cast("bigint")).select(
+        *keys, "method", "path", "score",
+        scoring.band(F.col("score"), "calculator").alias("severity"),
+        F.size("hits").cast("bigint").alias("finding_count"),
+        F.coalesce("authentication_required", F.lit(False)).alias("authenticated"),
+        F.coalesce("permission_required", F.lit(False)).alias("authorization_required"),
+        "security_schemes", "security_scopes",
     )
-    return kept, assessed
+
+
+EndpointAnalyzer = Callable[[DataFrame], DataFrame]
+
+
+def assess(endpoints: DataFrame, keys: list[str], extra: tuple[EndpointAnalyzer, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Endpoint findings and assessments. ``extra`` analyzers map endpoints to further finding rows (the keys,
+    rule_id, title, description, severity and so on); with them, repeats are removed and scores aggregated."""
+    hit = with_hits(endpoints)
+    if not extra:
+        return findings_of(hit), assessments_of(hit, keys)
+    found = findings_of(hit).withColumn("seq", F.col("rule_no"))
+    for place, analyzer in enumerate(extra):
+        more = analyzer(endpoints).withColumn("seq", F.lit(100 + place))
+        found = found.unionByName(finding_ops.enrich(more, catalog.knowledge(endpoints.sparkSession)), allowMissingColumns=True)
+    kept = finding_ops.normalise(found, keys)
+    totals = kept.groupBy(*keys).agg(F.sum(scoring.weight(F.col("severity"), "calculator")).alias("_penalty"), F.count("*").alias("_n"))
+    base = assessments_of(hit, keys).drop("score", "severity", "finding_count")
+    scored = base.join(totals, keys, "left").withColumns({
+        "score": F.greatest(F.lit(0), 100 - F.coalesce("_penalty", F.lit(0))).cast("bigint"),
+        "finding_count": F.coalesce("_n", F.lit(0)).cast("bigint"),
+    })
+    return kept, scored.withColumn("severity", scoring.band(F.col("score"), "calculator")).drop("_penalty", "_n")

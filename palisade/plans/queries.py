@@ -6,7 +6,7 @@ from importlib import import_module
 
 from palisade.plans.catalogue import QUERIES, Registered
 
-MODULES = ("scoring", "summaries", "findings", "relations", "code")
+MODULES = ("scoring", "summaries", "findings", "relations", "code", "inventory")
 
 
 def registered() -> dict[str, Registered]:

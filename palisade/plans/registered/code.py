@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from palisade.catalog import rules as catalog
 from palisade.operators import discovery, endpoint_rules, facts, runs, source_rules
 from palisade.plans.catalogue import register, twin
 from palisade.session import cut_lineage
@@ -201,7 +202,7 @@ def route_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("source_rule_severities", "PY-1 CFG-1 EP-1 AN-1 AZ-1 SCO-5 FND-10", twin(
     f"""select s.project_id, r.analyzer, r.severity, r.confidence, r.category, r.cwe_id, r.owasp_reference, cast(count(*) as bigint) as n
 from scripts s join {values(EXPECTED_SCRIPT_FINDINGS, 'e(k, rule_id, line_start, column_start, function_name, class_name, evidence)')} on e.k = s.k
-join (values {", ".join("('" + "', '".join((r[0], r[1], r[4], r[5], r[6], r[8], r[9])) + "')" for r in __import__('palisade.catalog.rules', fromlist=['x']).SOURCE_RULES)})
+join (values {", ".join("('" + "', '".join((r[0], r[1], r[4], r[5], r[6], r[8], r[9])) + "')" for r in catalog.SOURCE_RULES)})
   r(rule_id, analyzer, category, severity, confidence, cwe_id, owasp_reference) on r.rule_id = e.rule_id
 group by all""", scripts=SCRIPT_ROWS))
 def source_rule_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,14 +287,27 @@ def stored_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""select s.project_id, s.relative_path, e.method, replace(e.path, '{{n}}', s.n) as path, e.rules, cast(e.score as bigint) as score
 from modules s join {values(EXPECTED_ASSESSMENTS, 'e(k, method, path, rules, score)')} on e.k = s.k""", modules=MODULE_ROWS))
 def endpoint_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["project_id", "relative_path", "seq", "route_no"]
-    listed = cut_lineage(discovery.endpoints(_module_facts(spark, sf_dir)).drop("summary", "description"))
-    keyed = listed.withColumn("endpoint_key", F.concat_ws("#", *keys))
-    found, assessed = endpoint_rules.assess(keyed, ["endpoint_key"])
-    # At most four rules can fire on an endpoint, so the list is bounded.
-    fired = found.groupBy("endpoint_key").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "rule_id", "severity"))), ",").alias("rules"))
-    return assessed.join(fired, "endpoint_key", "left").join(keyed.select("endpoint_key", "project_id", "relative_path"), "endpoint_key").select(
-        "project_id", "relative_path", "method", "path", F.coalesce("rules", F.lit("")).alias("rules"), "score")
+    hit = endpoint_rules.with_hits(discovery.endpoints(_module_facts(spark, sf_dir)))
+    assessed = endpoint_rules.assessments_of(hit.withColumn("rules", F.transform("hits", lambda h: h["outcome"])), ["project_id", "relative_path", "rules"])
+    severities = F.create_map(*[F.lit(part) for r in catalog.ENDPOINT_RULES for part in (r[0], f"{r[1]}:{r[5]}")])
+    fired = F.array_join(F.array_sort(F.transform("rules", lambda o: F.element_at(severities, o))), ",")
+    return assessed.select("project_id", "relative_path", "method", "path", fired.alias("rules"), "score")
+
+
+@register("endpoint_rule_findings", "EPR-1 EPR-2 EPR-3 EPR-4 EPR-5 FND-1 REM-6", twin(
+    f"""select s.project_id, split_part(rule, ':', 1) as rule_id, split_part(rule, ':', 2) as severity, case split_part(rule, ':', 1)
+  when 'AUTH-001' then 'CWE-306' when 'AUTH-002' then 'CWE-862' when 'VAL-001' then 'CWE-20' else 'CWE-434' end as cwe_id,
+  case split_part(rule, ':', 1) when 'AUTH-001' then 'Authentication' when 'AUTH-002' then 'Authorization' when 'VAL-001' then 'Validation' else 'File Upload' end as knowledge_category,
+  case split_part(rule, ':', 1) when 'VAL-001' then '1 potentially unvalidated request parameter(s) detected: file.' when 'FILE-001' then '1 upload parameter(s) detected: file.'
+    when 'AUTH-001' then 'authentication_required=False and no authentication dependency was discovered.' else 'permission_required=False and no security scopes found.' end as evidence,
+  case split_part(rule, ':', 1) when 'AUTH-001' then 'Broken Authentication' when 'AUTH-002' then 'Broken Function Level Authorization' else 'Security Misconfiguration' end as owasp_title
+from (select s.project_id, unnest(string_split(e.rules, ',')) as rule from modules s
+  join {values(EXPECTED_ASSESSMENTS, 'e(k, method, path, rules, score)')} on e.k = s.k where e.rules <> '') s""", modules=MODULE_ROWS))
+def endpoint_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = endpoint_rules.assess(discovery.endpoints(_module_facts(spark, sf_dir)), ["project_id"])
+    titles = catalog.owasp_categories(spark).select(F.col("owasp").alias("owasp_reference"), F.col("title").alias("owasp_title"))
+    return found.join(F.broadcast(titles), "owasp_reference", "left").select(
+        "project_id", "rule_id", "severity", "cwe_id", F.col("knowledge.category").alias("knowledge_category"), "evidence", "owasp_title")
 
 
 @register("analyzer_runs", "AGG-11 FND-9", twin(
