@@ -6,7 +6,9 @@ from importlib import import_module
 
 from palisade.plans.catalogue import QUERIES, Registered
 
-MODULES = ("scoring", "summaries", "findings", "relations", "code", "inventory")
+MODULES = (
+    "scoring", "summaries", "findings", "relations", "code", "inventory", "lifecycle", "guidance", "reporting",
+)
 
 
 def registered() -> dict[str, Registered]:
