@@ -101,7 +101,8 @@ def findings_of(hit_endpoints: DataFrame) -> DataFrame:
     spark = hit_endpoints.sparkSession
     texts = F.broadcast(catalog.endpoint_rules(spark))
     carried = [c for c in hit_endpoints.columns if c not in ("parameters", "responses", "description", "summary", "hits")]
-    exploded = hit_endpoints.select(*carried, F.posexplode("hits").alias("rule_no", "hit"))
+    # The outer form keeps the optimizer from adding a size test that would evaluate every rule twice.
+    exploded = hit_endpoints.select(*carried, F.posexplode_outer("hits").alias("rule_no", "hit")).filter("hit is not null")
     found = exploded.select(*carried, "rule_no", "hit.*").join(texts, "outcome").withColumn("status", F.lit("open"))
     return finding_ops.enrich(found, catalog.knowledge(spark))
 

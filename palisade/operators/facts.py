@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from palisade import session  # noqa: F401  (makes the helper below travel by value)
 from palisade.catalog import markers
 
 VALUE = (

@@ -357,9 +357,10 @@ def raw_hits(facts: DataFrame, compat_500: bool = False) -> DataFrame:
     """All hits of all rules, repeats included. ``compat_500`` tests only the first 500 characters of a function."""
     tests, picks, found = _built(facts.sparkSession.sparkContext.applicationId, compat_500)
     prepared = facts.filter(F.col("kind").isin("call", "assign", "function")).withColumns(tests).withColumns(picks)
+    # The outer form keeps the optimizer from adding a size test that would evaluate every rule twice.
     return prepared.select(
-        "project_id", "relative_path", "seq", "function_name", "class_name", F.explode(found).alias("hit"),
-    ).select(
+        "project_id", "relative_path", "seq", "function_name", "class_name", F.explode_outer(found).alias("hit"),
+    ).filter("hit is not null").select(
         "project_id", "relative_path", "seq", "function_name", "class_name", "hit.rule_id", "hit.place.*", "hit.evidence", "hit.detail",
     )
 

@@ -124,7 +124,8 @@ def framework_entries(files: DataFrame) -> DataFrame:
         .when(name.endswith(".csproj"), F.array(_entry("ASP.NET Core", web, extract(t.DOTNET_VERSION), 4, 0)))
         .when(name == "pubspec.yaml", F.array(_entry("Flutter", readable.rlike(t.FLUTTER_KEY), strip(extract(t.DART_SDK)), 5, 0)))
     )
-    return files.select("project_id", F.explode(entries).alias("e")).select("project_id", "e.*")
+    # The outer form keeps the optimizer from adding a size test that would evaluate every pattern twice.
+    return files.select("project_id", F.explode_outer(entries).alias("e")).filter("e is not null").select("project_id", "e.*")
 
 
 def frameworks(entries: DataFrame) -> DataFrame:

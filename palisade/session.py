@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
+import palisade
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Python functions of this package travel to the executors by value, so nothing has to be installed there.
+cloudpickle.register_pickle_by_value(palisade)
+
 # Settings that change results; every entry point applies them to the session it is given.
 RESULT_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from palisade import session  # noqa: F401  (makes the processor below travel by value)
 from palisade.operators.lifecycle import MAX_ATTEMPTS, STALE_AFTER_SECONDS
 
 STATE = "open boolean, heartbeat bigint, attempts int"
