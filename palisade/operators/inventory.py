@@ -58,9 +58,9 @@ def line_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_LINE_END)) + tail.cast("int")
 
 
-def skip_reason(filename: Column, size: Column, language: Column, content: Column, limit: int, unknown_text: bool) -> Column:
+def skip_reason(link: Column, filename: Column, size: Column, language: Column, content: Column, limit: int, unknown_text: bool) -> Column:
     """First reason to leave a file out, else null."""
-    chain = F.when(filename.isin(*t.IGNORED_FILES), "ignored_filename").when(size > limit, "file_too_large")
+    chain = F.when(link, "symbolic_link").when(filename.isin(*t.IGNORED_FILES), "ignored_filename").when(size > limit, "file_too_large")
     if not unknown_text:
         chain = chain.when(language.isNull(), "unsupported_file_type")
     return chain.when(is_binary(content), "binary_file")
@@ -77,7 +77,8 @@ def inventory(
     path = F.col("relative_path")
     named = files.filter(~in_ignored_directory(path, ignored_directories)).withColumns({
         "filename": filename_of(path), "extension": extension_of(filename_of(path)), "_language": language_of(filename_of(path))})
-    reason = skip_reason(F.col("filename"), F.col("size_bytes"), F.col("_language"), F.col("content"), limit, unknown_text)
+    link = F.coalesce("symbolic_link", F.lit(False)) if "symbolic_link" in files.columns else F.lit(False)
+    reason = skip_reason(link, F.col("filename"), F.col("size_bytes"), F.col("_language"), F.col("content"), limit, unknown_text)
     judged = named.withColumn("skip_reason", reason)
     kept = F.col("skip_reason").isNull()
     language = F.when(kept, F.coalesce("_language", F.lit("Unknown Text")))
@@ -110,7 +111,8 @@ def analysis_files(
     Files of other types are not part of the result, as they match none of the name patterns.
     """
     path = F.col("relative_path")
-    language = F.try_element_at(_map(t.ANALYSIS_LANGUAGES), extension_of(filename_of(path)))
+    # The name patterns match the case of the suffix.
+    language = F.try_element_at(_map(t.ANALYSIS_LANGUAGES), F.regexp_extract(filename_of(path), r"(\.[^.]+)$", 1))
     content = F.col("content")
     status = (
         F.when(in_ignored_directory(path, excluded) | (F.col("size_bytes") > limit), "skipped")

@@ -62,7 +62,7 @@ def remediate(findings: DataFrame, guidance: DataFrame, adapters: DataFrame, pat
     Guidance, adapters and patches are in-code tables of fixed size and are merged before they meet the
     findings: one row per rule and (framework, language) pair, not one merge per finding.
     """
-    contexts = resolve_adapters(findings, adapters)
+    contexts = resolve_adapters(findings, adapters).select(F.col("framework").alias("_cf"), F.col("language").alias("_cl"), "adapter")
     key = text.rule_key(F.col("rule_id"))
     rules = guidance.withColumn("_rule", key)
     patched = rules.join(
@@ -75,21 +75,17 @@ def remediate(findings: DataFrame, guidance: DataFrame, adapters: DataFrame, pat
         "metadata": F.when(F.col("_p_metadata").isNull(), F.col("metadata")).otherwise(F.map_concat("metadata", "_p_metadata")),
     })
     texts = [c for c in guidance.columns if c != "rule_id"]
-    plain = rules.select("_rule", F.struct(*texts).alias("guidance"), F.lit(None).cast("string").alias("patched_by"))
-    special = merged.filter("adapter is not null").select("_rule", F.struct(*texts).alias("guidance"), F.col("adapter").alias("patched_by"))
     # An adapter without a patch for the rule leaves the guidance as it is.
-    bare = rules.crossJoin(adapters.select("adapter")).join(patches.select("adapter", key.alias("_rule")), ["adapter", "_rule"], "left_anti").select(
-        "_rule", F.struct(*texts).alias("guidance"), F.col("adapter").alias("patched_by"))
-    options = F.broadcast(plain.unionByName(special).unionByName(bare))
-    placed = findings.withColumn("_rule", key).join(
-        contexts, [findings["framework"].eqNullSafe(contexts["framework"]), findings["language"].eqNullSafe(contexts["language"])], "left",
-    ).drop(contexts["framework"]).drop(contexts["language"])
-    joined = placed.alias("f").join(options.alias("o"), (F.col("f._rule") == F.col("o._rule")) & F.col("f.adapter").eqNullSafe(F.col("o.patched_by")))
+    plain = F.broadcast(rules.select("_rule", F.struct(*texts).alias("_plain")))
+    special = F.broadcast(merged.filter("adapter is not null").select("_rule", "adapter", F.struct(*texts).alias("_special")))
+    same_context = F.col("framework").eqNullSafe(F.col("_cf")) & F.col("language").eqNullSafe(F.col("_cl"))
+    placed = findings.withColumn("_rule", key).join(contexts, same_context, "left").drop("_cf", "_cl")
+    joined = placed.join(plain, "_rule").join(special, ["_rule", "adapter"], "left").withColumn("guidance", F.coalesce("_special", "_plain"))
     endpoint = F.when((F.coalesce("method", F.lit("")) != "") & (F.coalesce("path", F.lit("")) != ""), F.concat_ws(" ", F.upper("method"), F.col("path")))
-    return joined.drop(F.col("o._rule"), F.col("f._rule")).withColumns({
+    return joined.drop("_rule", "_plain", "_special").withColumns({
         "customized": F.col("adapter").isNotNull(),
         "estimated_time": estimated_time(F.col("guidance.estimated_minutes_min"), F.col("guidance.estimated_minutes_max")),
         "framework_remediation": F.when(F.col("adapter").isNotNull(), F.struct(
             F.lit(True).alias("applied"), F.col("adapter").alias("adapter"), F.col("framework").alias("framework"),
             F.col("language").alias("language"), endpoint.alias("endpoint"))),
-    }).drop("patched_by")
+    })

@@ -11,7 +11,7 @@ from palisade.sources import trees
 
 # Expected inventory of the document paths: source number, language by name, file name rule.
 PATH_ROWS = (
-    (0, "app/main_{d}.py", "Python", True, "python"), (1, "web/View{d}.TSX", "TypeScript", True, "typescript"),
+    (0, "app/main_{d}.py", "Python", True, "python"), (1, "web/View{d}.TSX", "TypeScript", True, None),
     (2, "Dockerfile", "Dockerfile", False, None), (3, "makefile", "Makefile", False, None), (4, ".env.local", "Environment", False, None),
     (5, "docs/readme_{d}.md", None, False, None), (6, "node_modules/a/b_{d}.js", "JavaScript", True, "javascript"),
     (7, "package.json", "Node.js Manifest", False, None), (8, "src/a_{d}.go", "Go", True, None), (9, "src/util_{d}.hpp", "C++ Header", True, None),

@@ -1,45 +1,127 @@
-"""Source trees as tables, read with the binary file source."""
+"""Source trees as tables.
+
+Spark's own file sources leave out names that start with a dot or an underscore and files of length zero, so
+``__init__.py`` and ``.env`` would be missing. A small Python data source lists the tree instead; the reading
+is spread over the folders below the projects.
+"""
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from palisade.catalog import technology as t
+from palisade.operators.inventory import analysis_files
 from palisade.session import prepare
 
 ANALYSIS_GLOB = "*.{py,js,jsx,ts,tsx,java}"
+TREE_SCHEMA = "project_id string, relative_path string, size_bytes bigint, modified_at timestamp, symbolic_link boolean, content binary"
+_ARROW = pa.schema([
+    ("project_id", pa.string()), ("relative_path", pa.string()), ("size_bytes", pa.int64()),
+    ("modified_at", pa.timestamp("us", tz="UTC")), ("symbolic_link", pa.bool_()), ("content", pa.binary()),
+])
+_BATCH_BYTES = 32 << 20
+_BATCH_ROWS = 2000
+
+
+class Folders(InputPartition):
+    """Folders one task reads: (path, whether its sub-folders belong to it)."""
+
+    def __init__(self, folders: list[tuple[str, bool]]):
+        super().__init__(folders)
+        self.folders = folders
+
 
+def _open(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
 
-def _layout(frame: DataFrame, root: str) -> DataFrame:
+
+class TreeReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.root = options["path"]
+        self.limit = int(options.get("limit", t.INVENTORY_SIZE_LIMIT))
+        self.ignored = frozenset(options.get("ignored", "").split("\n")) - {""}
+        self.endings = tuple(e for e in options.get("endings", "").split(",") if e)
+        self.tasks = max(1, int(options.get("tasks", 64)))
+
+    def partitions(self) -> list[Folders]:
+        """List two levels only: projects, and the folders directly below them, which split large projects."""
+        files, base = _open(self.root)
+        folders: list[tuple[str, bool]] = []
+        for project in files.get_file_info(fs.FileSelector(base)):
+            if project.type == fs.FileType.Directory:
+                folders.append((project.path, False))
+                folders += [(e.path, True) for e in files.get_file_info(fs.FileSelector(project.path)) if e.type == fs.FileType.Directory]
+        count = min(self.tasks, max(1, len(folders)))
+        return [Folders(folders[i::count]) for i in range(count)]
+
+    def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
+        files, base = _open(self.root)
+        rows, held = [], 0
+        for folder, recursive in partition.folders:
+            for info in files.get_file_info(fs.FileSelector(folder, recursive=recursive)):
+                if info.type != fs.FileType.File or (self.endings and not info.path.endswith(self.endings)):
+                    continue
+                project, _, relative = info.path[len(base.rstrip("/")) + 1:].partition("/")
+                # The content of large files and of files below ignored folders is not read.
+                hidden = any(part in self.ignored for part in relative.split("/")[:-1])
+                content = None
+                if not hidden and info.size <= self.limit:
+                    with files.open_input_stream(info.path) as handle:
+                        content = handle.read()
+                rows.append({
+                    "project_id": project, "relative_path": relative, "size_bytes": info.size, "modified_at": info.mtime,
+                    "symbolic_link": os.path.islink(info.path), "content": content})
+                held += len(content or b"")
+                if held >= _BATCH_BYTES or len(rows) >= _BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+
+class SourceTree(DataSource):
     """``root/project/relative/path``: the folder below the root is the project."""
-    inside = F.substr(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit(len(root.rstrip("/")) + 2))
-    return frame.select(
-        F.substring_index(inside, "/", 1).alias("project_id"),
-        F.regexp_replace(inside, "^[^/]*/", "").alias("relative_path"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified_at"),
-        "content",
-    )
-
-
-def source_tree(spark: SparkSession, root: str, glob: str | None = None, limit: int | None = None) -> DataFrame:
-    """Every file below ``root``. The size limit reaches the scan, so larger files are not opened; content is
-    read only by plans that use it."""
-    reader = prepare(spark).read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    frame = reader.load(root)
-    return _layout(frame.filter(F.col("length") <= limit) if limit else frame, root)
-
-
-def source_tree_stream(spark: SparkSession, root: str, glob: str = ANALYSIS_GLOB) -> DataFrame:
-    """New files below ``root`` as a stream."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    reader = prepare(spark).readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return _layout(reader.load(root), root)
+
+    @classmethod
+    def name(cls) -> str:
+        return "source_tree"
+
+    def schema(self) -> str:
+        return TREE_SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return TreeReader(self.options)
+
+
+def source_tree(
+    spark: SparkSession, root: str, limit: int = t.INVENTORY_SIZE_LIMIT, ignored: tuple[str, ...] = t.IGNORED_DIRECTORIES, endings: tuple[str, ...] = (), tasks: int = 64,
+) -> DataFrame:
+    """Every file below ``root``. Files over the limit or below ignored folders come without content."""
+    prepare(spark).dataSource.register(SourceTree)
+    reader = spark.read.format("source_tree").option("limit", limit).option("ignored", "\n".join(ignored)).option("endings", ",".join(endings))
+    return reader.option("tasks", tasks).load(root)
 
 
 def analysis_tree(spark: SparkSession, root: str) -> DataFrame:
-    from palisade.operators.inventory import analysis_files
+    """Files the source analysis looks at, with their load status."""
+    tree = source_tree(spark, root, t.ANALYSIS_SIZE_LIMIT, t.ANALYSIS_EXCLUDED_DIRECTORIES, tuple(t.ANALYSIS_LANGUAGES))
+    return analysis_files(tree)
+
+
+def source_tree_stream(spark: SparkSession, root: str, glob: str = ANALYSIS_GLOB, limit: int = t.ANALYSIS_SIZE_LIMIT) -> DataFrame:
+    """New files below ``root`` as a stream, from the binary file source; the size limit reaches its scan.
 
-    return analysis_files(source_tree(spark, root, ANALYSIS_GLOB), t.ANALYSIS_SIZE_LIMIT)
+    That source does not see names with a leading dot or underscore, nor empty files.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    reader = prepare(spark).readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    inside = F.substr(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit(len(root.rstrip("/")) + 2))
+    return reader.load(root).filter(F.col("length") <= limit).select(
+        F.substring_index(inside, "/", 1).alias("project_id"), F.regexp_replace(inside, "^[^/]*/", "").alias("relative_path"),
+        F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
