@@ -325,5 +325,5 @@ left join (select x.k, x.rule_id, case when x.rule_id in ('FASTAPI-AUTH-003', 'F
   from {values(EXPECTED_ROUTE_FINDINGS, 'x(k, rule_id, line_start, column_start, function_name, evidence)')}) e on e.k = s.k and e.analyzer = a.analyzer
 group by s.project_id, a.analyzer, s.k""", modules=MODULE_ROWS))
 def analyzer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = cut_lineage(_module_facts(spark, sf_dir))
+    known = cut_lineage(_module_facts(spark, sf_dir), "kind")
     return runs.analyzer_runs(known, source_rules.source_findings(known))

@@ -31,12 +31,12 @@ class ScanResult:
 def scan(files: DataFrame, projects: DataFrame) -> ScanResult:
     """Scan ``files(project_id, relative_path, language, content)`` of ``projects(project_id, name, framework)``.
 
-    The files are parsed once. The facts are written to the shared checkpoint folder, as several branches read
-    them; everything after that is relational.
+    The files are parsed once. The facts are written to a table in the shared checkpoint folder, one partition per
+    kind, as several branches read parts of them; everything after that is relational.
     """
     spark = files.sparkSession
     known = projects.withColumn("project_id", F.col("project_id").cast("string"))
-    facts = cut_lineage(fact_ops.code_facts(files))
+    facts = cut_lineage(fact_ops.code_facts(files), "kind")
     endpoints = discovery.endpoints(facts)
     endpoint_findings, assessments = endpoint_rules.assess(endpoints, ENDPOINT_KEYS)
     analyzers = catalog.analyzers(spark)

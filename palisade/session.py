@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import palisade
 import pyarrow as pa
@@ -53,18 +54,25 @@ def local_session(app: str = "palisade", cores: str = "8", shuffle_partitions: i
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset (a
-    local test) is a temporary folder used.
+    Only where that is unset (a local test) is a temporary folder used.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palisade-")
+    return f"{named.rstrip('/')}/palisade-{purpose}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it from there.
+
+    Unlike a checkpoint of rows, readers of the table take only the columns and partitions they need.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="palisade-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = shared_folder(spark, "table")
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palisade.operators import lifecycle
-from palisade.session import prepare
+from palisade.session import prepare, shared_folder
 
 LATENESS = "10 minutes"
 
@@ -35,10 +33,7 @@ def new_uploads(uploads: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 def run_folder(spark: SparkSession) -> str:
     """A fresh folder for the state and output of a run, below the shared checkpoint folder."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palisade-stream-")
-    return f"{base.rstrip('/')}/palisade-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def run_available(stream: DataFrame, folder: str, name: str) -> DataFrame:
