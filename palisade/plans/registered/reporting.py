@@ -19,7 +19,7 @@ from palisade.streaming.events import run_folder
 
 @register("report_documents", "FND-19 SRC-12", twin(
     """select c.project_id, c.endpoint_id, c.score, c.finding_count, cast(count(f.rule_id) as bigint) as listed,
-  string_agg(case when f.severity = 'critical' then f.rule_id end, ',' order by f.rule_id) as critical_rules
+  cast(count(*) filter (where f.severity = 'critical') as bigint) as critical, min(f.rule_id) as first_rule
 from calc c left join findings f on f.endpoint_id = c.endpoint_id group by all""", "endpoints", "findings", calc=CALC_ENDPOINT))
 def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents are split at three findings here, so that the parts of an endpoint have to be put together."""
@@ -27,11 +27,12 @@ def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scores.endpoint_scores(b.endpoints(spark, sf_dir), b.endpoint_severities(spark, sf_dir)).select(*keys, "method", "path", "score", "severity", "finding_count")
     found = b.findings(spark, sf_dir).select(*keys, "rule_id", "title", "severity", "status", "file_path", "line_number", F.col("seq.l_extendedprice").alias("price"))
     parts = reports.report_parts(scored, found, keys, size=3)
-    critical = F.transform(F.filter("findings", lambda f: f["severity"] == "critical"), lambda f: f["rule_id"])
-    joined = parts.groupBy(*keys, "assessment.score", "assessment.finding_count").agg(
-        F.coalesce(F.sum(F.size("findings")), F.lit(0)).cast("bigint").alias("listed"), F.flatten(F.collect_list(critical)).alias("_c"))
-    listed = F.when(F.size("_c") > 0, F.array_join(F.array_sort("_c"), ",")).alias("critical_rules")
-    return joined.withColumn("listed", F.greatest("listed", F.lit(0))).select(*keys, "score", "finding_count", "listed", listed)
+    critical = F.size(F.filter("findings", lambda f: f["severity"] == "critical"))
+    listed = F.greatest(F.size("findings"), F.lit(0))
+    return parts.groupBy(*keys, "assessment.score", "assessment.finding_count").agg(
+        F.sum(listed).cast("bigint").alias("listed"),
+        F.coalesce(F.sum(F.when(F.col("findings").isNotNull(), critical)), F.lit(0)).cast("bigint").alias("critical"),
+        F.min(F.array_min(F.transform("findings", lambda f: f["rule_id"]))).alias("first_rule"))
 
 
 ENDPOINT_SCORE = f"""select s.project_id, s.segment, s.k, coalesce(cast(round_even(avg(e.score), 0) as bigint), 100) as endpoint_score from modules s

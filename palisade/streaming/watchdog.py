@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from palisade import session  # noqa: F401  (makes the processor below travel by value)
 from palisade.operators.lifecycle import MAX_ATTEMPTS, STALE_AFTER_SECONDS
 
+INPUT = "scan_id bigint, event_id bigint, ts timestamp, kind string"
+INPUT_COLUMNS = ["scan_id", "event_id", "ts", "kind"]
 STATE = "open boolean, heartbeat bigint, attempts int"
 OUTPUT = "scan_id bigint, alarm_at timestamp, attempt int, action string"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -82,9 +84,27 @@ class Watchdog(StatefulProcessor):
         pass
 
 
+def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Drop heartbeats that lie between two others of the same scan and minute.
+
+    They cannot open a quiet period of fifteen minutes, so no alarm changes; what a busy scan sends to its one
+    state is bounded by the minutes it covers, not by its number of heartbeats.
+    """
+    for rows in batches:
+        rows = rows.sort_values(["scan_id", "ts", "event_id"])
+        alive = rows["kind"].isin(("heartbeat", "progress"))
+        minute = rows["ts"].dt.floor("min")
+
+        def continues(step: int) -> pd.Series:
+            return alive.shift(step, fill_value=False) & (rows["scan_id"].shift(step) == rows["scan_id"]) & (minute.shift(step) == minute)
+
+        yield rows[~(alive & continues(1) & continues(-1))]
+
+
 def watch(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Alarms of a stream of ``events(scan_id, event_id, ts, kind)``. Needs the RocksDB state store."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    keyed = events.select("scan_id", "event_id", "ts", "kind").withWatermark("ts", lateness).groupBy("scan_id")
+    thinned = events.select(INPUT_COLUMNS).mapInPandas(thin, INPUT)
+    keyed = thinned.withWatermark("ts", lateness).groupBy("scan_id")
     return keyed.transformWithStateInPandas(
         statefulProcessor=Watchdog(), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")

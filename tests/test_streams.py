@@ -101,3 +101,12 @@ def test_estimates(spark):
     rows = spark.createDataFrame([(NOW - timedelta(seconds=60), p) for p in (29, 30, 60, 99, 100)], "started timestamp, p int")
     ends = [r[0] for r in rows.select(lifecycle.seconds_remaining(lifecycle.remaining_estimate(F.col("started"), NOW, F.col("p")), NOW)).collect()]
     assert ends == [None, 140, 40, 5, None]
+
+
+def test_thinning_a_busy_scan_keeps_its_ends(spark):
+    import pandas as pd
+
+    seconds = [(1, i, START + timedelta(seconds=i), "heartbeat") for i in range(150)] + [(1, 200, START + timedelta(seconds=75, milliseconds=500), "completed")]
+    frame = pd.DataFrame(seconds, columns=["scan_id", "event_id", "ts", "kind"])
+    kept = next(watchdog.thin(iter([frame])))
+    assert list(kept["event_id"]) == [0, 59, 60, 75, 200, 76, 119, 120, 149]
