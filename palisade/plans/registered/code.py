@@ -255,7 +255,7 @@ def parameter_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("dependency_declarations", "DSC-10 DSC-11 DSC-12 DSC-13", twin(
-    """select project_id, case when k in (1, 17) then 'get_current_user' else 'get_current_user' end as dependency_name, 'Depends' as declaration_type,
+    """select project_id, 'get_current_user' as dependency_name, 'Depends' as declaration_type,
   true as authentication_required, false as permission_required from modules where k in (1, 4, 5, 8, 9, 10, 17, 19)""", modules=MODULE_ROWS))
 def dependency_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.dependency_rows(_module_facts(spark, sf_dir)).select(

@@ -48,9 +48,6 @@ def plan_of(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-JOIN_FREE = {"project_scan_summary": 1, "severity_summary": 2}
-
-
 @pytest.mark.parametrize("name", ["executive_summary", "report_view", "notification_outbox", "finding_changes", "remediation_guidance", "scan_history", "knowledge_summary", "overall_score"])
 def test_no_plan_pairs_everything_with_everything(spark, name):
     plan = plan_of(registered()[name].build(spark, TABLES))
