@@ -30,6 +30,9 @@ SPEED_SETTINGS = {
 }
 
 
+_LOCAL_FOLDER = "palisade.local.folder"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators need to a session somebody else built."""
     for key, value in RESULT_SETTINGS.items():
@@ -57,11 +60,17 @@ def local_session(app: str = "palisade", cores: str = "8", shuffle_partitions: i
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``.
+    """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that is unset (a local test) is a temporary folder used.
+    A local session that names none gets one folder of its own. Anywhere else an unnamed folder is an error: executors on other machines
+    would not see a folder of this one.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palisade-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_LOCAL_FOLDER, None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="palisade-")
+        spark.conf.set(_LOCAL_FOLDER, named)
     return f"{named.rstrip('/')}/palisade-{purpose}-{uuid.uuid4().hex}"
 
 
