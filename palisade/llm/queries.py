@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from palisade.llm import decontaminate, rules, secrets, urls
+from palisade.llm import archives, decontaminate, lines, mixing, rules, secrets, simhash, urls
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +35,47 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+@query()
+def op2_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the packages written for the table."""
+    return archives.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document, its source's size and target, and the words that the mix takes of it."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query()
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.clusters(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+_BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+LINE_TWIN = f"""
+with pieces as (select doc_id, string_split(coalesce(text, ''), chr(10)) as p from documents),
+lines as (select doc_id, i, p[i + 1] as line from (select doc_id, p, unnest(range(0, len(p))) as i from pieces)),
+full_ as (select doc_id, i, trim(line, {_BLANK}) as t from lines where trim(line, {_BLANK}) <> ''),
+windows as (select doc_id, i, lead(i, 2) over d as last, t, lead(t, 1) over d as t1, lead(t, 2) over d as t2 from full_ window d as (partition by doc_id order by i)),
+ranked as (select *, row_number() over (partition by t, t1, t2 order by doc_id, i) as n from windows where last is not null),
+gone as (select distinct doc_id, unnest(range(i, last + 1)) as i from ranked where n > 1),
+kept as (select doc_id, string_agg(line, chr(10) order by i) as text, count(*) as n from lines anti join gone using (doc_id, i) group by 1)
+select doc_id, coalesce(k.text, '') as text, cast(case when coalesce(d.text, '') = '' then 0 else len(p.p) end as bigint) as n_lines,
+  cast(len(p.p) - coalesce(k.n, 0) as bigint) as n_removed
+from documents d join pieces p using (doc_id) left join kept k using (doc_id)"""
+
+
+@query(LINE_TWIN)
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of every document without passages that stand elsewhere before, and the number of lines removed."""
+    done = lines.deduplicated(table(spark, sf_dir, "documents"))
+    return done.select("row.doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_lines", "n_removed")
+
+
 URL_RULES = (
     urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
     urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/"),
