@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from palisade.llm import archives, decontaminate, lines, mixing, rules, secrets, simhash, urls
+from palisade.llm import archives, cotraining, decontaminate, lines, mixing, pii, rules, secrets, simhash, urls
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +48,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query()
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calibrated scores of every document, by its words, by its metadata and by both, and whether it is kept."""
+    found = cotraining.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("row.doc_id", "scores.*").withColumn("kept", F.col("score") >= cotraining.KEEP_AT)
+
+
 @query()
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
@@ -103,6 +110,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, F.col("host").rlike(LISTED_HOST))
 
 
+@query()
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, as counts, a digest of the pattern spans and all spans."""
+    found = pii.find_personal(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query()
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document, whether the base rules reject it, and the verdict of the learned list."""
