@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from palisade.llm import archives, cotraining, decontaminate, lines, mixing, pii, rules, secrets, simhash, urls
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,3 +149,6 @@ from docs left join words using (doc_id) left join found using (doc_id)"""
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every document."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run

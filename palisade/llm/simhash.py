@@ -17,7 +17,7 @@ other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -110,64 +110,88 @@ def variants(fps: DataFrame, scheme: Scheme) -> DataFrame:
     return fps.select("fp", F.explode(F.concat(*keys)).alias("key")).select("key", "fp")
 
 
-def met(entries: DataFrame, radius: int, hot: int | None) -> DataFrame:
-    """``(a, b)`` links among the fingerprints that share a key; ``a = b`` marks members of buckets with over ``hot`` members.
+Pairs = list[tuple[np.ndarray, np.ndarray]]
 
-    Sorted entries stream past; a task holds one bucket, and of a larger one only what it needs to say that it is large. Without ``hot`` every
-    member is within the radius of every other, and links to the first.
-    """
-    def links(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        fps = np.unique(fps)
-        if hot is None:
-            return [(np.full(len(fps) - 1, fps[0]), fps[1:])]
+
+def within(radius: int) -> Callable[[np.ndarray], Pairs]:
+    """Links between the fingerprints of a bucket that differ in at most ``radius`` bits."""
+    def links(fps: np.ndarray) -> Pairs:
         out = []
         for i in range(len(fps) - 1):
             near = np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius
             out.append((np.full(int(near.sum()), fps[i]), fps[i + 1 :][near]))
         return out
 
+    return links
+
+
+def to_first(members: np.ndarray) -> Pairs:
+    return [(np.full(len(members) - 1, members[0]), members[1:])]
+
+
+def large(members: np.ndarray) -> tuple[Pairs, np.ndarray | None]:
+    """Marks the members of a large bucket, which is not compared."""
+    return [(members, members)], None
+
+
+def met(entries: DataFrame, links: Callable[[np.ndarray], Pairs], overflow: Callable[[np.ndarray], tuple[Pairs, np.ndarray | None]] | None = None) -> DataFrame:
+    """``(a, b)`` of ``links`` among the members of every bucket of ``entries(key, member)``.
+
+    Sorted entries stream past; a task holds one bucket, of at most ``HOT`` members where ``overflow`` is given: it turns what is held into
+    links and what to go on with, or with None into the marks of a large bucket, whose other members are passed to it as they come.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pack(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        def pack(found: Pairs) -> pa.RecordBatch:
             a, b = (np.concatenate([pair[i] for pair in found]) if found else np.empty(0, np.int64) for i in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        last, pending, large = None, np.empty(0, np.int64), False
+        none = np.empty(0, np.int64)
+        last, pending, over = None, none, False
         for batch in batches:
-            keys, fps = (batch.column(i).to_numpy() for i in (0, 1))
+            keys, members = (batch.column(i).to_numpy() for i in (0, 1))
             if not len(keys):
                 continue
             edges = np.flatnonzero(np.diff(keys)) + 1
             starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(keys)]))
-            found = []
+            found: Pairs = []
             # Only buckets of several entries matter, the first (which may go on from before) and the last (which may go on).
             for i in np.unique(np.concatenate(([0], np.flatnonzero(ends - starts > 1), [len(starts) - 1]))).tolist():
-                key, members = keys[starts[i]], fps[starts[i] : ends[i]]
+                key, more = keys[starts[i]], members[starts[i] : ends[i]]
                 if last is None or key != last:
-                    if len(pending) > 1 and not large:
+                    if len(pending) > 1 and not over:
                         found += links(pending)
-                    last, pending, large = key, np.empty(0, np.int64), False
-                pending = np.unique(np.concatenate((pending, members))) if not large else members
-                if hot is not None and (large or len(pending) > hot):
-                    found.append((pending, pending))
-                    pending, large = pending[:0], True
+                    last, pending, over = key, none, False
+                if over:
+                    found += overflow(more)[0]
+                    continue
+                pending = np.unique(np.concatenate((pending, more)))
+                while overflow is not None and len(pending) > HOT and not over:
+                    block, rest = pending[:HOT], pending[HOT:]
+                    pairs, held = overflow(block)
+                    found += pairs
+                    if held is None:
+                        found += overflow(rest)[0]
+                        pending, over = none, True
+                    else:
+                        pending = np.concatenate((held, rest))
             yield pack(found)
-        if len(pending) > 1 and not large:
+        if len(pending) > 1 and not over:
             yield pack(links(pending))
 
-    return entries.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+    member = entries.columns[1]
+    return entries.repartition("key").sortWithinPartitions("key", member).mapInArrow(run, "a long, b long")
 
 
 def linked(fps: DataFrame, scheme: Scheme) -> DataFrame:
     """Links ``(a, b)`` with ``a < b`` that connect whatever is within the radius, among distinct fingerprints ``fps(fp)``."""
     whole = Scheme(scheme.bits, scheme.radius)
     if scheme.parts == 1:
-        return met(variants(fps, scheme), scheme.radius, None).distinct()
-    found = cut_lineage(met(variants(fps, scheme), scheme.radius, HOT).distinct())
-    large = found.filter("a = b").select(F.col("a").alias("fp"))
-    pairs = found.filter("a < b")
-    if large.isEmpty():
+        return met(variants(fps, scheme), to_first).distinct()
+    found = cut_lineage(met(variants(fps, scheme), within(scheme.radius), large).distinct())
+    marked, pairs = found.filter("a = b").select(F.col("a").alias("fp")), found.filter("a < b")
+    if marked.isEmpty():
         return pairs
-    return pairs.unionByName(met(variants(large, whole), scheme.radius, None)).distinct()
+    return pairs.unionByName(met(variants(marked, whole), to_first)).distinct()
 
 
 # --- Components. ---
@@ -208,3 +232,117 @@ def clusters(documents: DataFrame, width: int = 4, scheme: Scheme = Scheme(parts
     named = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     by_fp = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+# --- Near-duplicates by the words that texts share. ---
+
+SMALL = 16
+
+
+@dataclass(frozen=True)
+class Similarity:
+    """Texts count as near-duplicates if their sets of shingles of ``width`` words have a Jaccard similarity of ``least``.
+
+    Candidates are texts that meet in one of ``tables`` independent fingerprints of their sets of words. At a similarity of 0.8 of five-word
+    shingles about 2 % of the words differ, and 2 bits of 40; a table finds such a pair in about three of four cases.
+    """
+
+    width: int = 5
+    least: float = 0.8
+    tables: int = 4
+    scheme: Scheme = Scheme(bits=40, radius=2)
+
+
+def mixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """Another hash of every hash, one function for each table."""
+    x = hashes + np.uint64((table * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def text_of(value: pa.Scalar) -> bytes:
+    return value.as_buffer().to_pybytes() if value.is_valid else b""
+
+
+def node_of(text: bytes) -> int:
+    """Texts of the same words in the same order are one node."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()), SEED)).astype(np.int64))
+
+
+def sketched(documents: DataFrame, similarity: Similarity) -> DataFrame:
+    """``(doc_id, body, node, prints)``; ``prints`` are the fingerprints with the number of their table in the bits above."""
+    bits = similarity.scheme.bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, prints = [], []
+            for value in batch.column(2):
+                text = text_of(value)
+                found = sorted(set(text.lower().split()))
+                hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in found), np.uint64, len(found))
+                nodes.append(node_of(text))
+                prints.append([(majority(mixed(hashes, t)) & ((1 << bits) - 1)) | (t << bits) for t in range(similarity.tables)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], ["doc_id", "body", "node", "prints"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = documents.select("doc_id", F.xxhash64(text_or_empty("text")).alias("body"), F.encode("text", "utf-8").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, body long, node long, prints array<long>")
+
+
+def shingle_sets(wanted: DataFrame, width: int) -> DataFrame:
+    """``(node, shingles)`` of ``wanted(text, node)``, as hashes, once for each node."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets = [], []
+            for value, node in zip(batch.column(0), batch.column(1).to_pylist()):
+                text = text_of(value)
+                if node_of(text) == node:
+                    nodes.append(node)
+                    sets.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(s, SEED) for s in shingles(text, width)), np.uint32)).view(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+
+    return wanted.select(F.encode("text", "utf-8").alias("text"), "node").mapInArrow(run, "node long, shingles array<int>").dropDuplicates(["node"])
+
+
+def candidate_pairs(members: np.ndarray) -> Pairs:
+    """All pairs of a small bucket; of a larger one each member with the next and with the first, which connects it as well and stays linear.
+
+    Members of a large bucket meet again, in another order, in many other buckets.
+    """
+    if len(members) <= SMALL:
+        i, j = np.triu_indices(len(members), 1)
+        return [(members[i], members[j])]
+    return [*to_first(members), (members[1:-1], members[2:])]
+
+
+def duplicates(documents: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
+    """``(doc_id, body)`` of every document that is a copy, or by links a near copy, of one that stays: the first of its group by id, nulls last.
+
+    ``body`` is the hash of the text. Rows of the same id and text stay or go together; texts without words are copies of each other.
+    """
+    marked = cut_lineage(sketched(documents, similarity))
+    known = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("prints").alias("prints")))
+    (_, flips), = similarity.scheme.masks()
+    numbers = F.expr("array(" + ",".join(f"{f}L" for f in flips) + ")")
+    entries = known.select(F.explode("prints").alias("print"), "node").select(F.explode(F.transform(numbers, lambda f: F.col("print").bitwiseXOR(f))).alias("key"), "node")
+    pairs = cut_lineage(met(entries, candidate_pairs, lambda m: (candidate_pairs(m), m[:1])).distinct())
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node", "doc"), "node").withColumnRenamed("doc", "wanted")
+    texts = documents.select("doc_id", "text").join(nodes, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text", "node")
+    sets = cut_lineage(shingle_sets(texts, similarity.width))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    roots = components(both.filter(shared >= similarity.least * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    members = marked.select("doc_id", "body", "node").join(roots, "node", "left").select("doc_id", "body", F.coalesce("root", "node").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "body")
+    first = members.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return members.join(first, "root").filter(order > F.col("first")).select("doc_id", "body").distinct()
+
+
+def deduplicated(documents: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
+    """``documents`` with one document of each group of copies and near copies."""
+    gone = cut_lineage(duplicates(documents, similarity)).withColumnsRenamed({"doc_id": "gone_id", "body": "gone_body"})
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_or_empty(F.col("row.text"))) == F.col("gone_body"))
+    return rows.join(gone, same, "left_anti").select("row.*")
