@@ -138,41 +138,54 @@ class Rule:
 
 
 def _tallies(rows: DataFrame, cuts: dict[str, list[float]]) -> list[tuple[Condition, int, int]]:
-    """Each possible threshold with the bad and good rows that it keeps: one aggregation, whose size is the number of thresholds."""
-    conditions = [Condition(f, above, v) for f, values in cuts.items() for v in values for above in (True, False)]
-    counts = []
-    for i, condition in enumerate(conditions):
-        counts += [F.count_if(condition.column() & F.col("bad")).alias(f"p{i}"), F.count_if(condition.column() & ~F.col("bad")).alias(f"n{i}")]
-    row = rows.filter("not held").agg(*counts).first()
-    return [(c, row[f"p{i}"], row[f"n{i}"]) for i, c in enumerate(conditions)]
+    """Each possible threshold with the bad and good rows that it keeps, from one count by (statistic, bin)."""
+    bins = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"bin_{f}").alias("bin")) for f in cuts)))
+    counted = rows.select("bad", bins.alias("at")).groupBy("at.feature", "at.bin").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect()
+    out = []
+    for feature, values in cuts.items():
+        own = {r["bin"]: (r["p"], r["n"]) for r in counted if r["feature"] == feature}
+        p, n = (sum(v[i] for v in own.values()) for i in (0, 1))
+        below_p = below_n = 0
+        for i, value in enumerate(values):  # bin i holds the values up to values[i]
+            below_p, below_n = below_p + own.get(i, (0, 0))[0], below_n + own.get(i, (0, 0))[1]
+            out += [(Condition(feature, False, value), below_p, below_n), (Condition(feature, True, value), p - below_p, n - below_n)]
+    return out
 
 
-def learn(labelled: DataFrame) -> list[Rule]:
-    """Decision list over ``labelled(bad, held, <features>)``; rows with ``held`` prune, the others grow."""
-    names = list(features())
+def thresholds(labelled: DataFrame) -> dict[str, list[float]]:
+    """Quantiles of each statistic among bad and among good rows, and the middle of each two, so that a rule need not start at a value seen."""
     shares = [i / QUANTILES for i in range(QUANTILES + 1)]
-    of = lambda name, bad: F.percentile_approx(F.when(F.col("bad") == bad, F.col(name)), shares, 1000)
-    quantiles = labelled.agg(*(F.concat(F.coalesce(of(n, True), F.array()), F.coalesce(of(n, False), F.array())).alias(n) for n in names)).first()
+    names = list(features())
+    rows = labelled.groupBy("bad").agg(*(F.percentile_approx(n, shares, 1000).alias(n) for n in names)).collect()
     cuts = {}
     for n in names:
-        values = sorted(set(quantiles[n] or []))
-        # Thresholds also lie between two quantiles, so that a rule need not start at the last value seen on the other side.
+        values = sorted({v for r in rows for v in r[n] or []})
         cuts[n] = sorted({*values, *((a + b) / 2 for a, b in zip(values, values[1:]))})
-    rest, rules = labelled, []
+    return cuts
+
+
+def learn(labelled: DataFrame) -> list[Rule]:
+    """Decision list over ``labelled(bad, held, <features>)``; rows with ``held`` prune, the others grow."""
+    cuts = thresholds(labelled)
+    bin_of = lambda n: F.size(F.filter(F.expr(f"array({', '.join(f'{v!r}D' for v in cuts[n])})"), lambda c: c < F.col(n)))
+    rest, rules = cut_lineage(labelled.withColumns({f"bin_{n}": bin_of(n) for n in cuts})), []
     while len(rules) < MAX_RULES:
-        total = rest.filter("not held").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).first()
-        p, n = total["p"], total["n"]
-        if p < LEAST_COVERED or n == 0:
-            break
-        rule, inside = Rule(), rest
-        while n and len(rule.conditions) < MAX_CONDITIONS:
+        rule, inside = Rule(), rest.filter("not held")
+        p = n = None
+        while len(rule.conditions) < MAX_CONDITIONS and n != 0:
+            tallies = _tallies(inside, cuts)
+            if p is None:
+                p, n = (tallies[0][i] + tallies[1][i] for i in (1, 2)) if tallies else (0, 0)
+            if p < LEAST_COVERED or n == 0:
+                break
+
             def gain(entry: tuple[Condition, int, int], p: int = p, n: int = n) -> tuple[float, float]:
                 """Gain of a threshold; of equal ones the one that rejects less is first."""
                 condition, p1, n1 = entry
                 worth = p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p / (p + n))) if p1 >= LEAST_COVERED else -math.inf
                 return worth, condition.value if condition.above else -condition.value
 
-            best = max(_tallies(inside, cuts), key=gain)
+            best = max(tallies, key=gain)
             if gain(best)[0] <= 0:
                 break
             rule.conditions.append(best[0])
