@@ -29,6 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 3_000
 ROUNDS = 30  # of message passing, at most
 CERTAIN = 0.9  # marginal of a label that makes a span
+AGREE = 8.0  # what equal labels on a skip link are worth before training
+EVIDENCE = 6.0  # what a pattern span is worth to the label of its tokens
 
 # --- Patterns. Each is matched in linear time: a run of one class is entered at its start only. ---
 
@@ -173,9 +175,12 @@ class Field:
         np.add.at(out, of, self.unary[np.concatenate(graph.active).astype(int)])
         return out
 
-    def marginals(self, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Loopy belief propagation in the log domain, damped, until messages settle."""
+    def marginals(self, graph: Graph, rounds: int = ROUNDS, known: np.ndarray | None = None) -> np.ndarray:
+        """Loopy belief propagation in the log domain, damped, until messages settle; ``known`` labels other than outside are evidence."""
         unary = self.potentials(graph)
+        if known is not None:
+            found = np.flatnonzero(known)
+            unary[found, known[found]] += EVIDENCE
         pairs = np.array(graph.chain + graph.skip, int).reshape(-1, 2)
         if len(pairs):
             weights = np.concatenate([np.repeat(self.chain[None], len(graph.chain), 0), np.repeat(self.skip[None], len(graph.skip), 0)])
@@ -199,7 +204,7 @@ class Field:
 
 
 def train(graph: Graph, labels: np.ndarray, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3, seed: int = 7) -> Field:
-    """Pseudo-likelihood: every node given the labels of its neighbours, by Adam. Links start as a mild wish to agree."""
+    """Pseudo-likelihood: every node given the labels of its neighbours, by Adam. Links start as a wish to agree."""
     rng = np.random.default_rng(seed)
     n = len(labels)
     of = np.repeat(np.arange(n), [len(a) for a in graph.active])
@@ -214,7 +219,7 @@ def train(graph: Graph, labels: np.ndarray, steps: int = 150, rate: float = 0.1,
             np.add.at(counts, (a, labels[b]), 1)
             np.add.at(counts, (b, labels[a]), 1)
         around.append(counts)
-    start = [np.zeros((len(FEATURES), LABELS)), 0.5 * np.eye(LABELS), 1.5 * np.eye(LABELS)]
+    start = [np.zeros((len(FEATURES), LABELS)), 0.5 * np.eye(LABELS), AGREE * np.eye(LABELS)]
     now, m, v = [w.copy() for w in start], [np.zeros_like(w) for w in start], [np.zeros_like(w) for w in start]
     truth = np.eye(LABELS)[labels]
     for step in range(1, steps + 1):
@@ -252,7 +257,7 @@ def field_spans(field: Field | None, texts: list[str], base: list[list[Span]]) -
                 add_document(graph, number, text)
     if not graph.places:
         return out
-    marginals = field.marginals(graph)
+    marginals = field.marginals(graph, known=weak_labels(graph, base))
     label = np.where(marginals.max(axis=1) >= CERTAIN, marginals.argmax(axis=1), 0)
     chained = {b: a for a, b in graph.chain}
     for i in np.flatnonzero(label).tolist():
