@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 3_000
 ROUNDS = 30  # of message passing, at most
-CERTAIN = 0.9  # marginal of a label that makes a span
+CERTAIN = 0.8  # marginal of a label that makes a span
 AGREE = 8.0  # what equal labels on a skip link are worth before training
 EVIDENCE = 6.0  # what a pattern span is worth to the label of its tokens
 
