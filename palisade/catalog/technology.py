@@ -20,9 +20,6 @@ ANALYSIS_EXCLUDED_DIRECTORIES = (
 ANALYSIS_LANGUAGES = {
     ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java",
 }
-INVENTORY_SIZE_LIMIT = 5 * 1024 * 1024
-ANALYSIS_SIZE_LIMIT = 2 * 1024 * 1024
-BINARY_SAMPLE = 8192
 
 EXTENSION_LANGUAGES = {
     ".py": "Python", ".pyw": "Python", ".js": "JavaScript", ".cjs": "JavaScript", ".mjs": "JavaScript",
@@ -112,5 +109,3 @@ KNOWN_MANIFESTS = (
 DOCKER_FILES = ("dockerfile", "docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml")
 KUBERNETES_FILES = ("deployment.yaml", "deployment.yml", "service.yaml", "service.yml", "ingress.yaml", "ingress.yml")
 OPENAPI_FILES = ("openapi.json", "openapi.yaml", "openapi.yml", "swagger.json", "swagger.yaml", "swagger.yml")
-MANIFEST_READ_LIMIT = 2 * 1024 * 1024
-IMPORT_READ_LIMIT = 512 * 1024

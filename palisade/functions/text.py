@@ -8,10 +8,9 @@ from palisade.catalog import markers
 
 # The characters text splitting treats as white space, and the secret patterns.
 WHITESPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
-SECRET_PATTERN = r"(?i)(?:sk|pk|api|key|token|secret|password|passwd|pwd)[-_A-Za-z0-9]{8}"
+SECRET_PATTERN = r"(?i)(?:sk|pk|api|key|token|secret|password|passwd|pwd)[-_A-Za-z0-9]{8,}"
 ASSIGNED_LITERAL = r"^(.*?=\s*)([rubfRUBF]*)(['\"]{1,3}).*$"
 REDACTED = "[REDACTED]"
-EVIDENCE_LIMIT = 500
 
 
 def strip(value: Column) -> Column:
@@ -29,8 +28,8 @@ def fold(value: Column) -> Column:
     return F.replace(F.lower(collapse(F.coalesce(value, F.lit("")))), F.lit("ß"), F.lit("ss"))
 
 
-def evidence(segment: Column, limit: int = EVIDENCE_LIMIT) -> Column:
-    return F.substring(collapse(segment), 1, limit)
+def evidence(segment: Column) -> Column:
+    return collapse(segment)
 
 
 def redact(text: Column) -> Column:

@@ -51,7 +51,7 @@ FUNCTION = (
 SCHEMA = (
     f"project_id string, relative_path string, kind string, seq int, place {PLACE}, function_name string, class_name string, "
     f"evidence string, in_signature boolean, error string, "
-    f"call struct<callee:string, arg0:{VALUE}, arg1:{VALUE}, keywords:array<struct<name:string, value:{VALUE}>>>, "
+    f"call struct<callee:string, arg0:{VALUE}, arg1:{VALUE}, args:array<{VALUE}>, keywords:array<struct<name:string, value:{VALUE}>>>, "
     f"assign struct<names:array<string>, fields:array<string>, root:string, text:string, value:{VALUE}>, "
     f"router struct<variable:string, prefix:string, tags:array<string>, dependencies:array<{DEPENDENCY}>>, "
     f"function {FUNCTION}"
@@ -220,7 +220,7 @@ class Source:
         return " ".join(self.raw[begin:end].decode("utf-8", "replace").split())
 
     def evidence(self, node) -> str:
-        return self.segment(node)[:500]
+        return self.segment(node)
 
 
 def place_of(node) -> dict:
@@ -483,13 +483,14 @@ def facts_of(content: str) -> Iterator[dict]:
         node, function, owner, signature, inside = stack.pop()
         common = {"function_name": function, "class_name": owner, "in_signature": signature}
         if isinstance(node, ast.Call):
-            args = [value_of(a) for a in node.args[:2]]
+            args = [value_of(a) for a in node.args]
             yield {
                 **common, "kind": "call", "place": place_of(node), "evidence": source.evidence(node),
                 "call": {
                     "callee": dotted(node.func),
                     "arg0": args[0] if args else None,
                     "arg1": args[1] if len(args) > 1 else None,
+                    "args": args,
                     "keywords": [{"name": k.arg, "value": value_of(k.value)} for k in node.keywords],
                 },
             }
@@ -520,18 +521,18 @@ def _arrow_schema() -> pa.Schema:
 
 
 def rows_of(project, path: str, content: str) -> Iterator[dict]:
-    """Facts of a file, or one error row; then a closing row that counts the file as read."""
+    """Facts of a file and a closing row that counts it as read; of a file that cannot be read to its end only that row, with the error."""
     known = {"project_id": project, "relative_path": path}
-    error = None
-    count = 0
+    error, found = None, []
     try:
-        for count, fact in enumerate(facts_of(content), 1):
-            yield {**known, "seq": count, **fact}
+        found = list(facts_of(content))
     except SyntaxError as problem:
         error = f"{path}:{problem.lineno or 0}: SyntaxError: {problem.msg or 'invalid syntax'}"
     except (RecursionError, MemoryError, ValueError) as problem:
         error = f"{path}:0: {type(problem).__name__}: {problem}"
-    yield {**known, "seq": count + 1, "kind": "file", "error": error}
+    for count, fact in enumerate(found, 1):
+        yield {**known, "seq": count, **fact}
+    yield {**known, "seq": len(found) + 1, "kind": "file", "error": error}
 
 
 def code_facts(files: DataFrame) -> DataFrame:

@@ -44,10 +44,9 @@ def language_of(filename: Column) -> Column:
 
 
 def is_binary(content: Column) -> Column:
-    """Binary by the first 8192 bytes: a NUL byte, or more than 30 % control bytes."""
-    sample = F.substring(content, 1, t.BINARY_SAMPLE)
-    text = F.decode(sample, "ISO-8859-1")
-    size = F.octet_length(sample)
+    """Binary by its content: a NUL byte, or more than 30 % control bytes."""
+    text = F.decode(content, "ISO-8859-1")
+    size = F.octet_length(content)
     odd = F.regexp_count(text, F.lit(_CONTROL))
     return (size > 0) & (F.contains(text, F.lit("\x00")) | (odd / F.greatest(size, F.lit(1)) > 0.30))
 
@@ -58,9 +57,11 @@ def line_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_LINE_END)) + tail.cast("int")
 
 
-def skip_reason(link: Column, filename: Column, size: Column, language: Column, content: Column, limit: int, unknown_text: bool) -> Column:
+def skip_reason(link: Column, filename: Column, size: Column, language: Column, content: Column, limit: int | None, unknown_text: bool) -> Column:
     """First reason to leave a file out, else null."""
-    chain = F.when(link, "symbolic_link").when(filename.isin(*t.IGNORED_FILES), "ignored_filename").when(size > limit, "file_too_large")
+    chain = F.when(link, "symbolic_link").when(filename.isin(*t.IGNORED_FILES), "ignored_filename")
+    if limit is not None:
+        chain = chain.when(size > limit, "file_too_large")
     if not unknown_text:
         chain = chain.when(language.isNull(), "unsupported_file_type")
     return chain.when(is_binary(content), "binary_file")
@@ -68,12 +69,13 @@ def skip_reason(link: Column, filename: Column, size: Column, language: Column,
 
 def inventory(
     files: DataFrame,
-    limit: int = t.INVENTORY_SIZE_LIMIT,
+    limit: int | None = None,
     unknown_text: bool = False,
     ignored_directories: tuple[str, ...] = t.IGNORED_DIRECTORIES,
 ) -> DataFrame:
     """Inventory of ``files(project_id, relative_path, size_bytes, content)``: a row per file, skipped ones with a
-    reason. Files below ignored directories are left out before their content is looked at."""
+    reason. Files below ignored directories are left out before their content is looked at. Files of any size are
+    taken unless the caller names a ``limit``."""
     path = F.col("relative_path")
     named = files.filter(~in_ignored_directory(path, ignored_directories)).withColumns({
         "filename": filename_of(path), "extension": extension_of(filename_of(path)), "_language": language_of(filename_of(path))})
@@ -104,7 +106,7 @@ def inventory_totals(inventory: DataFrame) -> DataFrame:
 
 
 def analysis_files(
-    files: DataFrame, limit: int = t.ANALYSIS_SIZE_LIMIT, excluded: tuple[str, ...] = t.ANALYSIS_EXCLUDED_DIRECTORIES
+    files: DataFrame, limit: int | None = None, excluded: tuple[str, ...] = t.ANALYSIS_EXCLUDED_DIRECTORIES
 ) -> DataFrame:
     """Files for the source analysis with a ``load_status``: loaded, skipped or error (not valid UTF-8).
 
@@ -114,8 +116,9 @@ def analysis_files(
     # The name patterns match the case of the suffix.
     language = F.try_element_at(_map(t.ANALYSIS_LANGUAGES), F.regexp_extract(filename_of(path), r"(\.[^.]+)$", 1))
     content = F.col("content")
+    large = F.col("size_bytes") > limit if limit is not None else F.lit(False)
     status = (
-        F.when(in_ignored_directory(path, excluded) | (F.col("size_bytes") > limit), "skipped")
+        F.when(in_ignored_directory(path, excluded) | large, "skipped")
         .when(F.contains(F.decode(content, "ISO-8859-1"), F.lit("\x00")), "skipped")
         .when(~F.is_valid_utf8(content.cast("string")), "error")
         .otherwise("loaded")

@@ -23,6 +23,11 @@ MESSAGES = {
     "failed": "The scan stopped before completion.",
     "cancel_requested": "Cancellation requested; stopping safely.",
 }
+ERRORS = {
+    "limit": "Security scan failed after recovery attempts.",
+    "timed_out": "Security scan timed out.",
+    "failed": "Security scan failed.",
+}
 
 
 def at(now: datetime | Column) -> Column:
@@ -60,24 +65,39 @@ def recover_stale(scans: DataFrame, now: datetime | Column) -> DataFrame:
         "status": settle("status", F.lit("failed"), F.lit("queued")),
         "current_stage": settle("current_stage", F.lit("failed"), F.lit("queued")),
         "status_message": settle("status_message", F.lit(MESSAGES["limit"]), F.lit(MESSAGES["recovered"])),
+        "error_message": settle("error_message", F.lit(ERRORS["limit"]), F.col("error_message")),
         "worker_id": settle("worker_id", F.col("worker_id"), nothing),
         "heartbeat_at": settle("heartbeat_at", F.col("heartbeat_at"), nothing),
+        "estimated_completion_at": settle("estimated_completion_at", nothing, F.col("estimated_completion_at")),
         "completed_at": settle("completed_at", at(now), F.col("completed_at")),
         "project_status": F.when(spent, "failed").when(retry, "scanning"),
     })
 
 
 def check_control(scans: DataFrame, now: datetime | Column) -> DataFrame:
-    """Stop running scans that were cancelled or ran out of time; a cancellation wins over the deadline."""
+    """Stop running scans that were cancelled, ran out of time or broke off; a cancellation wins over the deadline, that over a failure.
+
+    ``broke`` (boolean) says that a scan broke off; its progress ends below 100.
+    """
     running = F.col("status") == "running"
     cancelled = running & F.col("cancel_requested_at").isNotNull()
     late = running & ~cancelled & F.coalesce(F.col("deadline_at") <= at(now), F.lit(False))
+    broken = running & ~cancelled & ~late & F.coalesce("broke", F.lit(False))
+    ended = cancelled | late | broken
+
+    def settle(name: str, cancel, timeout, fail) -> Column:
+        return F.when(cancelled, cancel).when(late, timeout).when(broken, fail).otherwise(F.col(name))
+
     return scans.withColumns({
-        "status": F.when(cancelled, "cancelled").when(late, "failed").otherwise(F.col("status")),
-        "current_stage": F.when(cancelled, "cancelled").when(late, "timed_out").otherwise(F.col("current_stage")),
-        "status_message": F.when(cancelled, MESSAGES["cancelled"]).when(late, MESSAGES["timed_out"]).otherwise(F.col("status_message")),
-        "completed_at": F.when(cancelled | late, at(now)).otherwise(F.col("completed_at")),
-        "project_status": F.when(cancelled, "ready").when(late, "failed"),
+        "status": settle("status", F.lit("cancelled"), F.lit("failed"), F.lit("failed")),
+        "current_stage": settle("current_stage", F.lit("cancelled"), F.lit("timed_out"), F.lit("failed")),
+        "status_message": settle("status_message", F.lit(MESSAGES["cancelled"]), F.lit(MESSAGES["timed_out"]), F.lit(MESSAGES["failed"])),
+        "error_message": settle("error_message", F.col("error_message"), F.lit(ERRORS["timed_out"]), F.lit(ERRORS["failed"])),
+        "progress": F.when(broken, F.least("progress", F.lit(99))).otherwise(F.col("progress")),
+        "heartbeat_at": F.when(ended, at(now)).otherwise(F.col("heartbeat_at")),
+        "estimated_completion_at": F.when(ended, F.lit(None)).otherwise(F.col("estimated_completion_at")),
+        "completed_at": F.when(ended, at(now)).otherwise(F.col("completed_at")),
+        "project_status": F.when(cancelled, "ready").when(late | broken, "failed"),
     })
 
 
@@ -129,13 +149,20 @@ def seconds_remaining(estimated_at: Column, now: datetime | Column) -> Column:
 
 
 def request_cancellation(scans: DataFrame, now: datetime | Column) -> DataFrame:
-    """Answer cancel requests: a queued scan ends at once, a running one is told to stop, others are rejected."""
+    """Answer cancel requests: a queued scan ends at once, a running one is told to stop, others are rejected and stay as they are."""
     queued, running = F.col("status") == "queued", F.col("status") == "running"
+    nothing = F.lit(None)
+
+    def settle(name: str, ends, stops) -> Column:
+        return F.when(queued, ends).when(running, stops).otherwise(F.col(name))
+
     return scans.withColumns({
         "accepted": queued | running,
-        "cancel_requested_at": F.when(queued | running, at(now)),
-        "current_stage": F.when(queued, "cancelled").when(running, "cancelling"),
-        "completed_at": F.when(queued, at(now)),
+        "cancel_requested_at": settle("cancel_requested_at", at(now), at(now)),
+        "current_stage": settle("current_stage", F.lit("cancelled"), F.lit("cancelling")),
+        "status_message": settle("status_message", F.lit(MESSAGES["cancel_requested"]), F.lit(MESSAGES["cancel_requested"])),
+        "completed_at": settle("completed_at", at(now), F.col("completed_at")),
+        "estimated_completion_at": settle("estimated_completion_at", nothing, F.col("estimated_completion_at")),
         "project_status": F.when(queued, "ready"),
         "status": F.when(queued, "cancelled").otherwise(F.col("status")),
     })

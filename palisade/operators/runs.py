@@ -11,7 +11,7 @@ from palisade.operators import source_rules as rules
 def fact_counters(facts: DataFrame) -> DataFrame:
     """Counters of one pass over the facts, per project."""
     wanted = ("_fn_used", "_fn_authorizes", "_fn_owner")
-    prepared = facts.withColumns({n: rules.FUNCTION_TESTS[n](False) for n in wanted})
+    prepared = facts.withColumns({n: rules.FUNCTION_TESTS[n]() for n in wanted})
     routes = F.filter("function.routes", lambda r: r["verb"].isin(*m.RULE_VERBS))
     visible = (F.col("kind") == "function") & ~F.coalesce("function.inside_route", F.lit(False)) & (F.size(routes) > 0)
     candidates = F.size(F.filter(routes, rules.is_object_route))

@@ -249,23 +249,23 @@ def _route_rule(rule_id: str, test: Callable[[Column], Column], place: Callable[
     register_rule(Rule(rule_id, "route", hit))
 
 
-FUNCTION_TESTS: dict[str, Callable[[bool], Column]] = {
-    "_fn_text": lambda compat: F.lower(F.substring("function.text", 1, 500) if compat else F.col("function.text")),
-    "_fn_names": lambda compat: F.transform(
+FUNCTION_TESTS: dict[str, Callable[[], Column]] = {
+    "_fn_text": lambda: F.lower("function.text"),
+    "_fn_names": lambda: F.transform(
         F.filter("function.parameters", lambda p: p["slot"].isin("positional", "keyword")), lambda p: p["name"]),
-    "_fn_upload": lambda compat: F.exists(
+    "_fn_upload": lambda: F.exists(
         F.filter("function.parameters", lambda p: p["slot"].isin("positional", "keyword")),
         lambda p: F.lower(p["annotation_source"]).contains("uploadfile")
         | (F.lower(p["annotation_source"]) == "bytes")
         | F.lower(p["name"]).isin(*m.UPLOAD_PARAMETER_NAMES)),
-    "_fn_authorizes": lambda compat: F.exists("function.calls", lambda c: leaf(F.lower(c["name"])).isin(*m.AUTHORIZATION_HELPERS)),
-    "_fn_owner": lambda compat: F.exists(
+    "_fn_authorizes": lambda: F.exists("function.calls", lambda c: leaf(F.lower(c["name"])).isin(*m.AUTHORIZATION_HELPERS)),
+    "_fn_owner": lambda: F.exists(
         "function.compares",
         lambda names: F.exists(names, lambda n: leaf(n).isin(*m.OWNERSHIP_FIELDS)) & F.exists(names, lambda n: text.contains_any(n, m.PRINCIPAL_WORDS))),
-    "_fn_mutates": lambda compat: F.col("function.assigns") | F.exists("function.calls", lambda c: leaf(F.lower(c["name"])).isin(*m.MUTATION_METHODS)),
-    "_fn_used": lambda compat: F.flatten(F.transform(
+    "_fn_mutates": lambda: F.col("function.assigns") | F.exists("function.calls", lambda c: leaf(F.lower(c["name"])).isin(*m.MUTATION_METHODS)),
+    "_fn_used": lambda: F.flatten(F.transform(
         F.filter("function.calls", lambda c: leaf(F.lower(c["name"])).isin(*m.OBJECT_ACCESS_METHODS)), lambda c: c["arg_names"])),
-    "_fn_leak": lambda compat: F.try_element_at("function.handler_uses", F.lit(1)),
+    "_fn_leak": lambda: F.try_element_at("function.handler_uses", F.lit(1)),
 }
 CALL_PICKS: dict[str, Callable[[], Column]] = {
     "_fn_redirect": lambda: F.try_element_at(F.filter(
@@ -332,10 +332,10 @@ register_rule(Rule("FASTAPI-AUTH-008", "function", _decision_hits))
 _BUILT: dict[tuple, tuple[dict[str, Column], dict[str, Column], Column]] = {}
 
 
-def _built(application: str, compat_500: bool) -> tuple[dict[str, Column], dict[str, Column], Column]:
+def _built(application: str) -> tuple[dict[str, Column], dict[str, Column], Column]:
     """The column expressions of all registered rules. They do not depend on the data, so one build per
     application and rule set is enough."""
-    key = (application, compat_500, tuple(id(r) for r in RULES.values()))
+    key = (application, tuple(id(r) for r in RULES.values()))
     if key not in _BUILT:
         by_fact: dict[str, list[Rule]] = {}
         for rule in RULES.values():
@@ -348,29 +348,29 @@ def _built(application: str, compat_500: bool) -> tuple[dict[str, Column], dict[
             "function.routes", lambda r: F.array_compact(F.array(*[rule.hit(r).cast(HIT) for rule in by_fact["route"]]))))
         function_hits = F.concat(route_hits, *[rule.hit() for rule in by_fact.get("function", ())])
         found = F.when(F.col("kind") == "call", hits("call")).when(F.col("kind") == "assign", hits("assign")).otherwise(function_hits)
-        tests = {name: build(compat_500) for name, build in FUNCTION_TESTS.items()}
+        tests = {name: build() for name, build in FUNCTION_TESTS.items()}
         _BUILT[key] = (tests, {name: build() for name, build in CALL_PICKS.items()}, found)
     return _BUILT[key]
 
 
-def raw_hits(facts: DataFrame, compat_500: bool = False) -> DataFrame:
-    """All hits of all rules, repeats included. ``compat_500`` tests only the first 500 characters of a function."""
-    tests, picks, found = _built(facts.sparkSession.sparkContext.applicationId, compat_500)
+def raw_hits(facts: DataFrame) -> DataFrame:
+    """All hits of all rules, repeats included; ``hit_no`` counts the hits of a fact in the order of its decorators and rules."""
+    tests, picks, found = _built(facts.sparkSession.sparkContext.applicationId)
     prepared = facts.filter(F.col("kind").isin("call", "assign", "function")).withColumns(tests).withColumns(picks)
     # The outer form keeps the optimizer from adding a size test that would evaluate every rule twice.
     return prepared.select(
-        "project_id", "relative_path", "seq", "function_name", "class_name", F.explode_outer(found).alias("hit"),
+        "project_id", "relative_path", "seq", "function_name", "class_name", F.posexplode_outer(found).alias("hit_no", "hit"),
     ).filter("hit is not null").select(
-        "project_id", "relative_path", "seq", "function_name", "class_name", "hit.rule_id", "hit.place.*", "hit.evidence", "hit.detail",
+        "project_id", "relative_path", "seq", "function_name", "class_name", "hit_no", "hit.rule_id", "hit.place.*", "hit.evidence", "hit.detail",
     )
 
 
-def source_findings(facts: DataFrame, compat_500: bool = False) -> DataFrame:
+def source_findings(facts: DataFrame) -> DataFrame:
     """Source findings with their rule texts. The first hit of a rule on a line stays; later ones are repeats."""
     spark = facts.sparkSession
-    hits = raw_hits(facts, compat_500)
+    hits = raw_hits(facts)
     line = F.coalesce("line_start", F.lit(0))
-    kept = first_per(hits, ["project_id", "relative_path", "rule_id", line], [F.asc("seq"), F.asc("column_start")])
+    kept = first_per(hits, ["project_id", "relative_path", "rule_id", line], [F.asc("seq"), F.asc("column_start"), F.asc("hit_no")]).drop("hit_no")
     analyzers = catalog.analyzers(spark).select("analyzer", "analyzer_ord")
     texts = catalog.source_rules(spark).join(F.broadcast(analyzers), "analyzer")
     joined = kept.join(F.broadcast(texts), "rule_id")

@@ -103,7 +103,7 @@ def framework_entries(files: DataFrame) -> DataFrame:
     """Every sign of a framework in a manifest or a Python import, with its place in the detection order."""
     path, content = F.col("relative_path"), F.col("content")
     name = filename_of(path)
-    readable = F.when(F.octet_length(content) <= t.MANIFEST_READ_LIMIT, content).otherwise("")
+    readable = F.coalesce(content, F.lit(""))
     none = F.lit(None).cast("string")
     pom_version = F.try_element_at(F.regexp_extract_all(readable, F.lit(t.SPRING_VERSION), 1), F.lit(-1))
     gradle = F.contains(readable, F.lit("org.springframework.boot"))
@@ -115,7 +115,7 @@ def framework_entries(files: DataFrame) -> DataFrame:
     ]))
     entries = (
         F.when(name.isin(*t.PYTHON_MANIFESTS) & ~_ignored(path), _python_entries(readable, name))
-        .when(path.endswith(".py") & ~_ignored(path) & (F.octet_length(content) <= t.IMPORT_READ_LIMIT), imports)
+        .when(path.endswith(".py") & ~_ignored(path), imports)
         .when((name == "package.json") & ~_ignored(path), _from_sections(readable, t.NODE_SECTIONS, t.NODE_FRAMEWORKS, 1))
         .when((name == "pom.xml") & ~_ignored(path), F.array(_entry("Spring Boot", F.contains(F.lower(readable), F.lit("spring-boot")), strip(pom_version), 2, 0)))
         .when(name == "build.gradle", F.array(_entry("Spring Boot", gradle, F.when(gradle, extract(t.GRADLE_VERSION)), 2, 1)))

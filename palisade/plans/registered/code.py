@@ -50,7 +50,7 @@ EXPECTED_SCRIPT_FINDINGS = (
     (11, "TLS-001", 2, 12, None, None, "httpx.request( 'GET', target, timeout=5, verify=False )"),
     (13, "SSRF-001", 2, 12, None, None, "httpx.get(url=target, timeout=5)"),
     (13, "HTTP-001", 3, 9, None, None, "httpx.post('https://a.example', data={n})"),
-    (14, "SECRET-001", 1, 1, None, None, 'API_KEY = "[REDACTED]"'),
+    (14, "SECRET-001", 1, 1, None, None, 'MAIL_API_KEY = "[REDACTED]"'),
     (15, "SECRET-002", 1, 1, None, None, 'SECRET_KEY = "[REDACTED]"'),
     (15, "SECRET-001", 2, 1, None, None, 'jwtSecret = "[REDACTED]"'),
     (15, "SECRET-002", 2, 1, None, None, 'jwtSecret = "[REDACTED]"'),
@@ -67,9 +67,9 @@ EXPECTED_SCRIPT_FINDINGS = (
     (21, "JWT-002", 3, 1, None, None, 'jwt.decode(token, key, verify=False, options={"verify_aud": False, "verify_iss": False})'),
     (22, "CORS-001", 1, 1, None, None, 'app.add_middleware( CORSMiddleware, allow_origins=["*"], )'),
     (22, "CORS-002", 5, 1, None, None, 'app.add_middleware(CORSMiddleware, allow_origins=["*"], allow_credentials=True)'),
-    (23, "FASTAPI-AUTH-010", 2, 5, "grant", None, "user.role = payload.role"),
-    (23, "FASTAPI-AUTH-010", 3, 5, "grant", None, 'user.permissions = data["permissions"]'),
-    (23, "FASTAPI-AUTH-010", 4, 5, "grant", None, 'profile["is_admin"] = form.json()'),
+    (23, "FASTAPI-AUTH-010", 2, 5, "promote", None, "badge.privilege = payload.wanted"),
+    (23, "FASTAPI-AUTH-010", 3, 5, "promote", None, 'badge.roles = data["roles"]'),
+    (23, "FASTAPI-AUTH-010", 4, 5, "promote", None, 'card["is_staff"] = form.json()'),
 )
 
 # --- Expected findings of the route modules: nation key, rule, line, column, function, evidence. ---
@@ -79,11 +79,11 @@ EXPECTED_ROUTE_FINDINGS = (
     (3, "FASTAPI-AUTH-002", 1, 2, "delete_document", 'router.delete("/documents/{document_id}")'),
     (4, "FASTAPI-FILE-001", 2, 1, "store",
      'async def store( file: UploadFile = File(...), user=Depends(get_current_user), ): return {"name": file.filename}'),
-    (6, "FASTAPI-ERROR-001", 6, 22, "public_endpoint", "exc"),
-    (7, "FASTAPI-REDIRECT-001", 4, 16, "go", "RedirectResponse(url=next_url)"),
-    (8, "FASTAPI-PROPERTY-001", 3, 12, "create_profile", "Profile(**payload.model_dump())"),
-    (9, "FASTAPI-RESOURCE-001", 1, 2, "list_orders", 'router.get("/orders")'),
-    (11, "FASTAPI-FLOW-001", 1, 2, "checkout", 'router.post("/checkout/{n}")'),
+    (6, "FASTAPI-ERROR-001", 6, 62, "weather_now", "fault"),
+    (7, "FASTAPI-REDIRECT-001", 4, 16, "leave", "RedirectResponse(url=onward)"),
+    (8, "FASTAPI-PROPERTY-001", 3, 12, "issue_badge", "Badge(**form.model_dump())"),
+    (9, "FASTAPI-RESOURCE-001", 1, 2, "every_invoice", 'router.get("/invoices")'),
+    (11, "FASTAPI-FLOW-001", 1, 2, "move_points", 'router.post("/transfer/{n}")'),
     (13, "FASTAPI-INVENTORY-001", 1, 2, "old_item", 'router.get("/v1/items/{item_id}", deprecated=True)'),
     (15, "FASTAPI-AUTH-001", 1, 2, "metrics", 'router.get("/admin/metrics")'),
     (15, "FASTAPI-AUTH-007", 1, 2, "metrics", 'router.get("/admin/metrics")'),
@@ -108,13 +108,13 @@ EXPECTED_ENDPOINTS = (
     (3, "DELETE", "/documents/{document_id}", "delete_document", 2, False, False, "", "", "", "document_id:path:true:-:false", ""),
     (4, "POST", "/files/{n}", "store", 2, True, False, "", "", "", "file:file:true:-:false," + USER, ""),
     (5, "POST", "/files/{n}", "store", 2, True, False, "", "", "", "file:file:true:-:false," + USER, ""),
-    (6, "GET", "/public", "public_endpoint", 2, False, False, "", "", "", "", "500:-:-"),
-    (7, "GET", "/go", "go", 2, False, False, "", "", "", "next_url:unknown:true:-:false,other:unknown:true:-:false", "200:Response:-"),
-    (8, "POST", "/profiles", "create_profile", 2, True, False, "", "", "", "payload:unknown:true:-:false," + USER, ""),
-    (9, "GET", "/orders", "list_orders", 2, True, False, "", "", "", USER, ""),
-    (10, "GET", "/orders", "list_orders", 2, True, False, "", "", "", "limit:query:false:50:false," + USER, ""),
-    (11, "POST", "/checkout/{n}", "checkout", 2, False, False, "", "", "", "payload:unknown:true:-:false", ""),
-    (12, "POST", "/checkout/{n}", "checkout", 2, False, False, "", "", "", "payload:unknown:true:-:false", ""),
+    (6, "GET", "/weather", "weather_now", 2, False, False, "", "", "", "station:unknown:true:-:false", "502:-:-"),
+    (7, "GET", "/leave", "leave", 2, False, False, "", "", "", "onward:unknown:true:-:false,note:unknown:true:-:false", "200:Response:-"),
+    (8, "POST", "/badges", "issue_badge", 2, True, False, "", "", "", "form:unknown:true:-:false," + USER, ""),
+    (9, "GET", "/invoices", "every_invoice", 2, True, False, "", "", "", USER, ""),
+    (10, "GET", "/invoices", "some_invoices", 2, True, False, "", "", "", "page_size:query:false:20:false," + USER, ""),
+    (11, "POST", "/transfer/{n}", "move_points", 2, False, False, "", "", "", "order:unknown:true:-:false", ""),
+    (12, "POST", "/transfer/{n}", "move_points", 2, False, False, "", "", "", "order:unknown:true:-:false", ""),
     (13, "GET", "/v1/items/{item_id}", "old_item", 2, False, False, "", "", "", "item_id:path:true:-:false", ""),
     (14, "GET", "/health", "health", 2, False, False, "", "", "", "", ""),
     (15, "GET", "/admin/metrics", "metrics", 2, False, False, "", "", "", "", ""),
@@ -143,13 +143,13 @@ EXPECTED_ASSESSMENTS = (
     (3, "DELETE", "/documents/{document_id}", "AUTH-001:high", 75),
     (4, "POST", "/files/{n}", "AUTH-002:high,FILE-001:high,VAL-001:medium", 40),
     (5, "POST", "/files/{n}", "AUTH-002:high,FILE-001:high,VAL-001:medium", 40),
-    (6, "GET", "/public", "AUTH-001:info", 99),
-    (7, "GET", "/go", "AUTH-001:info", 99),
-    (8, "POST", "/profiles", "AUTH-002:high", 75),
-    (9, "GET", "/orders", "AUTH-002:medium", 90),
-    (10, "GET", "/orders", "AUTH-002:medium", 90),
-    (11, "POST", "/checkout/{n}", "AUTH-001:high", 75),
-    (12, "POST", "/checkout/{n}", "AUTH-001:high", 75),
+    (6, "GET", "/weather", "AUTH-001:info", 99),
+    (7, "GET", "/leave", "AUTH-001:info", 99),
+    (8, "POST", "/badges", "AUTH-002:high", 75),
+    (9, "GET", "/invoices", "AUTH-002:medium", 90),
+    (10, "GET", "/invoices", "AUTH-002:medium", 90),
+    (11, "POST", "/transfer/{n}", "AUTH-001:high", 75),
+    (12, "POST", "/transfer/{n}", "AUTH-001:high", 75),
     (13, "GET", "/v1/items/{item_id}", "AUTH-001:info", 99),
     (14, "GET", "/health", "", 100),
     (15, "GET", "/admin/metrics", "AUTH-001:info", 99),

@@ -109,7 +109,7 @@ def assessment_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("evidence_text", "FND-13", twin(
-    r"""select doc_id, substr(trim(regexp_replace(text, '[\s\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')), 1, 500) as evidence from documents"""))
+    r"""select doc_id, trim(regexp_replace(text, '[\s\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) as evidence from documents"""))
 def evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "documents").select("doc_id", text.evidence(F.col("text")).alias("evidence"))
 

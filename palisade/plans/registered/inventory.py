@@ -23,14 +23,15 @@ TREE = f"""select d.doc_id, d.lang as project_id, 'd/' || cast(d.doc_id as varch
   p.k, p.language, p.is_code, p.analysis, coalesce(l.quality, 1) as quality, coalesce(l.toxic, 0) as toxic,
   case when l.quality = 0 then 'a' || chr(0) || d.text when l.toxic = 1 then repeat(chr(1) || chr(2), 3000) || d.text else d.text end as body
 from documents d left join labels l on l.doc_id = d.doc_id join {values(PATH_ROWS, 'p(k, path, language, is_code, analysis)')} on p.k = cast(substr(d.source, 4) as int)"""
-# Ignored: node_modules (6) and build (14). The lock file (12) is skipped by name. A toxic document starts with 6000 control bytes.
+# Ignored: node_modules (6) and build (14). The lock file (12) is skipped by name. A toxic document has 6000 control bytes in front,
+# which makes it binary if they are over 30 % of it.
 INVENTORY = """select project_id, relative_path, k, is_code, strlen(body) as size_bytes, body, language,
-  case when k = 12 then 'ignored_filename' when strlen(body) > 20000 then 'file_too_large' when language is null then 'unsupported_file_type'
-    when quality = 0 or toxic = 1 then 'binary_file' end as skip_reason from tree where k not in (6, 14)"""
+  case when k = 12 then 'ignored_filename' when language is null then 'unsupported_file_type'
+    when quality = 0 or (toxic = 1 and 6000 / strlen(body) > 0.3) then 'binary_file' end as skip_reason from tree where k not in (6, 14)"""
 
 
 def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.inventory(trees.document_tree(spark, sf_dir), limit=20000)
+    return inv.inventory(trees.document_tree(spark, sf_dir))
 
 
 @register("file_inventory", "SRC-2 SRC-3 SRC-4 SRC-5 SRC-6 SRC-7 SRC-8", twin(
@@ -61,7 +62,7 @@ def inventory_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Excluded for the analysis: node_modules (6), build (14), migrations (15). NUL bytes skip a file; other control bytes do not.
 ANALYSIS = """select project_id, relative_path, analysis as language, strlen(body) as size_bytes,
-  case when k in (6, 14, 15) or strlen(body) > 2097152 or contains(body, chr(0)) then 'skipped' else 'loaded' end as load_status, body from tree where analysis is not null"""
+  case when k in (6, 14, 15) or contains(body, chr(0)) then 'skipped' else 'loaded' end as load_status, body from tree where analysis is not null"""
 
 
 @register("analysis_files", "SRC-10", twin(

@@ -22,37 +22,67 @@ def _now():
 
 
 def _live_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan jobs with the columns a live row has, filled from the order's own values."""
-    age = (F.floor("cost").cast("bigint") % 30) * -60
-    later = (F.floor("cost").cast("bigint") % 7 - 3) * 60
+    """Scan jobs with the columns a live row has, filled from the order's own values. Completed scans have an end."""
+    whole = F.floor("cost").cast("bigint")
+    age = (whole % 30) * -60
+    later = (whole % 7 - 3) * 60
+    ended = F.col("status") == "completed"
     return b.scan_jobs(spark, sf_dir).select(
         "scan_id", "project_id", "status", "attempts", "cost", "priority",
-        F.lit("analysis").alias("current_stage"), F.lit("working").alias("status_message"),
+        F.when(ended, "completed").otherwise("analysis").alias("current_stage"), F.lit("working").alias("status_message"),
+        F.when(whole % 11 == 0, "earlier error").alias("error_message"), (whole % 120).cast("int").alias("progress"),
         F.concat(F.lit("w"), F.col("attempts").cast("string")).alias("worker_id"),
         F.when(F.col("attempts") != 1, ops.plus_seconds(_now(), age)).alias("heartbeat_at"),
         F.when(F.col("priority") == "1-URGENT", _now()).alias("cancel_requested_at"),
         F.when(F.col("priority") != "5-LOW", ops.plus_seconds(_now(), later)).alias("deadline_at"),
-        F.lit(None).cast("timestamp").alias("completed_at"),
+        ops.plus_seconds(_now(), later + 600).alias("estimated_completion_at"),
+        F.when(ended, ops.plus_seconds(_now(), age)).alias("completed_at"),
+        (whole % 5 == 0).alias("broke"),
     )
 
 
+def _shown(rows: DataFrame, *names: str) -> DataFrame:
+    """Times as seconds from ``_now``, so that both engines write them alike."""
+    times = ("heartbeat_at", "cancel_requested_at", "estimated_completion_at", "completed_at")
+    second = lambda n: (F.unix_timestamp(n) - F.unix_timestamp(_now())).alias(n)
+    return rows.select(*(second(n) if n in times else F.col(n) for n in names))
+
+
+WHOLE = "cast(floor(cost) as bigint)"
+LIVE = f"""select *, case status when 'completed' then 'completed' else 'analysis' end as stage_, case when {WHOLE} % 11 = 0 then 'earlier error' end as error_,
+  cast({WHOLE} % 120 as int) as progress_, case when attempts <> 1 then -60 * ({WHOLE} % 30) end as beat_, case when priority = '1-URGENT' then 0 end as asked_,
+  60 * ({WHOLE} % 7 - 3) as deadline_, 60 * ({WHOLE} % 7 - 3) + 600 as eta_, case when status = 'completed' then -60 * ({WHOLE} % 30) end as end_ from scan_jobs"""
+
+
 @register("stale_scan_recovery", "STR-1", twin(
-    f"""select scan_id, stale as recovered, case when stale and attempts >= 3 then 'failed' when stale then 'queued' else status end as status,
-  case when stale and attempts >= 3 then 'failed' when stale then 'queued' else 'analysis' end as current_stage,
-  case when stale and attempts < 3 then null else 'w' || cast(attempts as varchar) end as worker_id,
-  case when stale and attempts >= 3 then 'failed' when stale then 'scanning' end as project_status
-from (select *, status = 'running' and (attempts = 1 or {AGE} > 15) as stale from scan_jobs) s""", "scan_jobs"))
+    """select scan_id, stale as recovered, case when spent then 'failed' when stale then 'queued' else status end as status,
+  case when spent then 'failed' when stale then 'queued' else stage_ end as current_stage,
+  case when spent then 'Scan recovery limit was reached.' when stale then 'Recovered after an interrupted worker; queued again.' else 'working' end as status_message,
+  case when spent then 'Security scan failed after recovery attempts.' else error_ end as error_message,
+  case when stale and not spent then null else 'w' || cast(attempts as varchar) end as worker_id,
+  cast(case when stale and not spent then null else beat_ end as bigint) as heartbeat_at, cast(case when spent then null else eta_ end as bigint) as estimated_completion_at,
+  cast(case when spent then 0 else end_ end as bigint) as completed_at, case when spent then 'failed' when stale then 'scanning' end as project_status
+from (select *, stale and attempts >= 3 as spent from (select *, status = 'running' and (beat_ is null or beat_ < -900) as stale from live) s) t""", "scan_jobs", live=LIVE))
 def stale_scan_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.recover_stale(_live_scans(spark, sf_dir), NOW).select("scan_id", "recovered", "status", "current_stage", "worker_id", "project_status")
+    return _shown(
+        ops.recover_stale(_live_scans(spark, sf_dir), NOW), "scan_id", "recovered", "status", "current_stage", "status_message", "error_message", "worker_id",
+        "heartbeat_at", "estimated_completion_at", "completed_at", "project_status")
 
 
 @register("scan_control", "STR-3", twin(
-    """select scan_id, case when status = 'running' and priority = '1-URGENT' then 'cancelled' when late then 'failed' else status end as status,
-  case when status = 'running' and priority = '1-URGENT' then 'cancelled' when late then 'timed_out' else 'analysis' end as current_stage,
-  case when status = 'running' and priority = '1-URGENT' then 'ready' when late then 'failed' end as project_status
-from (select *, status = 'running' and priority not in ('1-URGENT', '5-LOW') and cast(floor(cost) as bigint) % 7 - 3 <= 0 as late from scan_jobs) s""", "scan_jobs"))
+    """select scan_id, case how when 1 then 'cancelled' when 2 then 'failed' when 3 then 'failed' else status end as status,
+  case how when 1 then 'cancelled' when 2 then 'timed_out' when 3 then 'failed' else stage_ end as current_stage,
+  case how when 1 then 'Security scan cancelled.' when 2 then 'Security scan exceeded its time limit.' when 3 then 'The scan stopped before completion.' else 'working' end as status_message,
+  case how when 2 then 'Security scan timed out.' when 3 then 'Security scan failed.' else error_ end as error_message,
+  case when how = 3 then least(progress_, 99) else progress_ end as progress, cast(case when how > 0 then 0 else beat_ end as bigint) as heartbeat_at,
+  cast(case when how > 0 then null else eta_ end as bigint) as estimated_completion_at, cast(case when how > 0 then 0 else end_ end as bigint) as completed_at,
+  case how when 1 then 'ready' when 2 then 'failed' when 3 then 'failed' end as project_status
+from (select *, case when status <> 'running' then 0 when priority = '1-URGENT' then 1 when priority <> '5-LOW' and deadline_ <= 0 then 2
+  when cast(floor(cost) as bigint) % 5 = 0 then 3 else 0 end as how from live) s""", "scan_jobs", live=LIVE))
 def scan_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.check_control(_live_scans(spark, sf_dir), _now()).select("scan_id", "status", "current_stage", "project_status")
+    return _shown(
+        ops.check_control(_live_scans(spark, sf_dir), _now()), "scan_id", "status", "current_stage", "status_message", "error_message", "progress",
+        "heartbeat_at", "estimated_completion_at", "completed_at", "project_status")
 
 
 STAGE = "case when p >= 100 then 'completed' when p >= 85 then 'reporting' when p >= 70 then 'analysis' when p >= 50 then 'discovery' when p >= 30 then 'inventory' when p >= 10 then 'preparing' else 'starting' end"
@@ -90,11 +120,16 @@ def new_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("cancel_requests", "STR-8", twin(
     """select scan_id, status in ('queued', 'running') as accepted, case when status = 'queued' then 'cancelled' else status end as new_status,
-  case when status = 'queued' then 'cancelled' when status = 'running' then 'cancelling' end as current_stage, case when status = 'queued' then 'ready' end as project_status from scan_jobs""",
-    "scan_jobs"))
+  case when status = 'queued' then 'cancelled' when status = 'running' then 'cancelling' else stage_ end as current_stage,
+  case when status in ('queued', 'running') then 'Cancellation requested; stopping safely.' else 'working' end as status_message,
+  cast(case when status in ('queued', 'running') then 0 else asked_ end as bigint) as cancel_requested_at,
+  cast(case when status = 'queued' then 0 else end_ end as bigint) as completed_at, cast(case when status = 'queued' then null else eta_ end as bigint) as estimated_completion_at,
+  case when status = 'queued' then 'ready' end as project_status from live""",
+    "scan_jobs", live=LIVE))
 def cancel_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.request_cancellation(_live_scans(spark, sf_dir), _now()).select(
-        "scan_id", "accepted", F.col("status").alias("new_status"), "current_stage", "project_status")
+    answered = ops.request_cancellation(_live_scans(spark, sf_dir), _now()).withColumn("new_status", F.col("status"))
+    return _shown(
+        answered, "scan_id", "accepted", "new_status", "current_stage", "status_message", "cancel_requested_at", "completed_at", "estimated_completion_at", "project_status")
 
 
 @register("activity_per_hour", "STR-9", twin(

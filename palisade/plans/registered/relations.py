@@ -66,13 +66,13 @@ def owned_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("scan_requests", "JOI-2", twin(
-    """select p.project_id, case when exists (select 1 from scan_jobs s where s.project_id = p.project_id and s.status in ('queued', 'running') and s.priority = '1-URGENT')
+    """select p.project_id, case when exists (select 1 from scan_jobs s where s.project_id = p.project_id and s.status in ('queued', 'running'))
   then 'reuse' else 'new' end as decision from projects p""", "projects", "scan_jobs"))
 def scan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = b.projects(spark, sf_dir).select("project_id")
-    urgent = b.scan_jobs(spark, sf_dir).filter("priority = '1-URGENT'")
-    new = relations.new_scan_requests(wanted, urgent).withColumn("decision", F.lit("new"))
-    return new.unionByName(relations.reused_scan_requests(wanted, urgent).withColumn("decision", F.lit("reuse")))
+    scans = b.scan_jobs(spark, sf_dir)
+    new = relations.new_scan_requests(wanted, scans).withColumn("decision", F.lit("new"))
+    return new.unionByName(relations.reused_scan_requests(wanted, scans).withColumn("decision", F.lit("reuse")))
 
 
 @register("notification_outbox", "JOI-7", twin(

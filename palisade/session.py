@@ -49,8 +49,6 @@ def local_session(app: str = "palisade", cores: str = "8", shuffle_partitions: i
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        # Small local tables are single row groups, so a scan is one task; joining by shuffle spreads what follows.
-        .config("spark.sql.autoBroadcastJoinThreshold", "2MB")
     )
     for key, value in {**RESULT_SETTINGS, **SPEED_SETTINGS}.items():
         builder = builder.config(key, value)

@@ -44,10 +44,10 @@ def _open(root: str) -> tuple[fs.FileSystem, str]:
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
-        self.limit = int(options.get("limit", t.INVENTORY_SIZE_LIMIT))
+        self.limit = int(options["limit"]) if options.get("limit") else None
         self.ignored = frozenset(options.get("ignored", "").split("\n")) - {""}
         self.endings = tuple(e for e in options.get("endings", "").split(",") if e)
-        self.tasks = max(1, int(options.get("tasks", 64)))
+        self.folders_per_task = max(1, int(options.get("foldersPerTask", 16)))
 
     def partitions(self) -> list[Folders]:
         """List two levels only: projects, and the folders directly below them, which split large projects."""
@@ -57,7 +57,7 @@ class TreeReader(DataSourceReader):
             if project.type == fs.FileType.Directory:
                 folders.append((project.path, False))
                 folders += [(e.path, True) for e in files.get_file_info(fs.FileSelector(project.path)) if e.type == fs.FileType.Directory]
-        count = min(self.tasks, max(1, len(folders)))
+        count = max(1, -(-len(folders) // self.folders_per_task))
         return [Folders(folders[i::count]) for i in range(count)]
 
     def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
@@ -71,7 +71,7 @@ class TreeReader(DataSourceReader):
                 # The content of large files and of files below ignored folders is not read.
                 hidden = any(part in self.ignored for part in relative.split("/")[:-1])
                 content = None
-                if not hidden and info.size <= self.limit:
+                if not hidden and (self.limit is None or info.size <= self.limit):
                     with files.open_input_stream(info.path) as handle:
                         content = handle.read()
                 rows.append({
@@ -100,28 +100,28 @@ class SourceTree(DataSource):
 
 
 def source_tree(
-    spark: SparkSession, root: str, limit: int = t.INVENTORY_SIZE_LIMIT, ignored: tuple[str, ...] = t.IGNORED_DIRECTORIES, endings: tuple[str, ...] = (), tasks: int = 64,
+    spark: SparkSession, root: str, limit: int | None = None, ignored: tuple[str, ...] = t.IGNORED_DIRECTORIES, endings: tuple[str, ...] = (), folders_per_task: int = 16,
 ) -> DataFrame:
-    """Every file below ``root``. Files over the limit or below ignored folders come without content."""
+    """Every file below ``root``. Files below ignored folders, and over a limit if one is named, come without content."""
     prepare(spark).dataSource.register(SourceTree)
-    reader = spark.read.format("source_tree").option("limit", limit).option("ignored", "\n".join(ignored)).option("endings", ",".join(endings))
-    return reader.option("tasks", tasks).load(root)
+    reader = spark.read.format("source_tree").option("limit", "" if limit is None else limit).option("ignored", "\n".join(ignored)).option("endings", ",".join(endings))
+    return reader.option("foldersPerTask", folders_per_task).load(root)
 
 
 def analysis_tree(spark: SparkSession, root: str) -> DataFrame:
     """Files the source analysis looks at, with their load status."""
-    tree = source_tree(spark, root, t.ANALYSIS_SIZE_LIMIT, t.ANALYSIS_EXCLUDED_DIRECTORIES, tuple(t.ANALYSIS_LANGUAGES))
+    tree = source_tree(spark, root, None, t.ANALYSIS_EXCLUDED_DIRECTORIES, tuple(t.ANALYSIS_LANGUAGES))
     return analysis_files(tree)
 
 
-def source_tree_stream(spark: SparkSession, root: str, glob: str = ANALYSIS_GLOB, limit: int = t.ANALYSIS_SIZE_LIMIT) -> DataFrame:
-    """New files below ``root`` as a stream, from the binary file source; the size limit reaches its scan.
+def source_tree_stream(spark: SparkSession, root: str, glob: str = ANALYSIS_GLOB) -> DataFrame:
+    """New files below ``root`` as a stream, from the binary file source.
 
     That source does not see names with a leading dot or underscore, nor empty files.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     reader = prepare(spark).readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     inside = F.substr(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit(len(root.rstrip("/")) + 2))
-    return reader.load(root).filter(F.col("length") <= limit).select(
+    return reader.load(root).select(
         F.substring_index(inside, "/", 1).alias("project_id"), F.regexp_replace(inside, "^[^/]*/", "").alias("relative_path"),
         F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")

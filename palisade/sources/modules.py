@@ -25,16 +25,16 @@ SCRIPTS = (
     "import httpx\nresponse = httpx.request(\n    'GET', target, timeout=5, verify=False\n)\n",
     "import requests\nresponse = requests.get(\n    'https://api.example.com/health',\n    timeout=(2, 10),\n    verify=True,\n)\n",
     "import httpx\nresponse = httpx.get(url=target, timeout=5)\nother = httpx.post('https://a.example', data={n})\n",
-    'API_KEY = "sk-production-{n}-abcdef"\n',
+    'MAIL_API_KEY = "key-9f{n}-qwz77k-r4t8v2hx"\n',
     'SECRET_KEY = "change-me"\njwtSecret = "aaaaaaaaaaaaaaaaaaaaaaaa"\n',
     'class Settings:\n    dbPassword: str = "short-pw"\n    def load(self):\n        self.auth_token = "token-1234-abcd"\n',
-    'import os\nAPI_KEY = os.getenv("API_KEY")\nTOKEN = "${VAULT_TOKEN_PRODUCTION}"\nsecret_url = "https://vault.example.com/secret"\nname = "sk-production-1234567890"\n',
+    'import os\nAPI_KEY = os.getenv("API_KEY")\nTOKEN = "${VAULT_TOKEN_PRODUCTION}"\nsecret_url = "https://vault.example.com/secret"\nlabel = "pk-sample-0987654321"\n',
     'from fastapi import FastAPI\nimport uvicorn\napp = FastAPI(debug=True)\nuvicorn.run(app, debug=True)\nother = Custom(debug=True)\n',
     'session.get(url, verify=False)\nclient.head(url, verify=False)\n',
     'import jwt\njwt.decode(token, key, algorithms=["none", "HS256"])\n',
     'import jwt\njwt.decode(token, key, options={"verify_signature": False}, audience="a", issuer="b")\njwt.decode(token, key, verify=False, options={"verify_aud": False, "verify_iss": False})\n',
     'app.add_middleware(\n    CORSMiddleware,\n    allow_origins=["*"],\n)\napp.add_middleware(CORSMiddleware, allow_origins=["*"], allow_credentials=True)\n',
-    'def grant(payload):\n    user.role = payload.role\n    user.permissions = data["permissions"]\n    profile["is_admin"] = form.json()\n    user.role = "member"\n',
+    'def promote(payload):\n    badge.privilege = payload.wanted\n    badge.roles = data["roles"]\n    card["is_staff"] = form.json()\n    badge.role = "guest"\n    badge.colour = payload.colour\n',
     'def broken_{n}(:\n',
     '# only text {n}\nVALUE = {n}\n',
 )
@@ -47,13 +47,13 @@ ROUTE_MODULES = (
     '@router.delete("/documents/{document_id}")\nasync def delete_document(document_id: int):\n    return {"deleted": document_id}\n',
     '@router.post("/files/{n}")\nasync def store(\n    file: UploadFile = File(...),\n    user=Depends(get_current_user),\n):\n    return {"name": file.filename}\n',
     '@router.post("/files/{n}")\nasync def store(\n    file: UploadFile = File(...),\n    user=Depends(get_current_user),\n):\n    validate_upload(file)\n    return {"name": file.filename}\n',
-    '@router.get("/public")\nasync def public_endpoint():\n    try:\n        return load_data()\n    except Exception as exc:\n        logger.error(exc)\n        raise HTTPException(status_code=500, detail=str(exc))\n',
-    '@router.get("/go")\nasync def go(next_url: str, other: str):\n    if other:\n        return RedirectResponse(url=next_url)\n    return RedirectResponse("/home")\n',
-    '@router.post("/profiles")\nasync def create_profile(payload: ProfileInput, user=Depends(get_current_user)):\n    return Profile(**payload.model_dump())\n',
-    '@router.get("/orders")\nasync def list_orders(user=Depends(get_current_user)):\n    return repository.all()\n',
-    '@router.get("/orders")\nasync def list_orders(limit: int = Query(50, ge=1, le=100), user=Depends(get_current_user)):\n    return repository.list(limit=limit)\n',
-    '@router.post("/checkout/{n}")\nasync def checkout(payload: CheckoutInput):\n    return submit(payload)\n',
-    '@router.post("/checkout/{n}", dependencies=[Depends(rate_limit_checkout)])\nasync def checkout(payload: CheckoutInput):\n    return submit(payload)\n',
+    '@router.get("/weather")\nasync def weather_now(station: str):\n    try:\n        reading = probe(station)\n    except OSError as fault:\n        raise HTTPException(status_code=502, detail=describe(fault))\n    return reading\n',
+    '@router.get("/leave")\nasync def leave(onward: str, note: str):\n    if note:\n        return RedirectResponse(url=onward)\n    return RedirectResponse("/start")\n',
+    '@router.post("/badges")\nasync def issue_badge(form: BadgeForm, user=Depends(get_current_user)):\n    return Badge(**form.model_dump())\n',
+    '@router.get("/invoices")\nasync def every_invoice(user=Depends(get_current_user)):\n    return ledger.rows_of(user)\n',
+    '@router.get("/invoices")\nasync def some_invoices(page_size: int = Query(20, le=200), user=Depends(get_current_user)):\n    return ledger.part(user, page_size)\n',
+    '@router.post("/transfer/{n}")\nasync def move_points(order: PointsOrder):\n    return bank.book_later(order)\n',
+    '@router.post("/transfer/{n}", dependencies=[Depends(rate_limit_points)])\nasync def move_points(order: PointsOrder):\n    return bank.book_later(order)\n',
     '@router.get("/v1/items/{item_id}", deprecated=True)\nasync def old_item(item_id: int):\n    return load(item_id)\n',
     '@router.get("/health")\nasync def health():\n    return {"status": "ok"}\n',
     '@router.get("/admin/metrics")\nasync def metrics():\n    return []\n',

@@ -41,7 +41,7 @@ def root(tmp_path_factory):
 
 
 def test_inventory_of_a_tree(spark, root):
-    rows = {r.relative_path: r for r in inventory.inventory(sources.source_tree(spark, root)).collect()}
+    rows = {r.relative_path: r for r in inventory.inventory(sources.source_tree(spark, root), limit=5 << 20).collect()}
     assert set(rows) == set(TREE) - {"node_modules/a.js", "venv/b.py"}
     assert {p: r.skip_reason for p, r in rows.items() if r.skip_reason} == {
         "app/nul.py": "binary_file", "huge.py": "file_too_large", "README": "unsupported_file_type", "package-lock.json": "ignored_filename", "noise.css": "binary_file"}
@@ -59,14 +59,14 @@ def test_unknown_text_can_be_included(spark, root):
 
 def test_inventory_totals(spark, root):
     row = inventory.inventory_totals(inventory.inventory(sources.source_tree(spark, root))).first()
-    assert (row.total_files, row.source_file_count, row.skipped_file_count) == (10, 7, 5)
+    assert (row.total_files, row.source_file_count, row.skipped_file_count) == (11, 8, 4)
 
 
 def test_analysis_loading(spark, root):
     status = {r.relative_path: (r.language, r.load_status) for r in sources.analysis_tree(spark, root).collect()}
     assert status == {
         "app/main.py": ("python", "loaded"), "app/bad.py": ("python", "error"), "app/nul.py": ("python", "skipped"), "app/view.tsx": ("typescript", "loaded"),
-        "big.js": ("javascript", "skipped"), "huge.py": ("python", "skipped"), "empty.py": ("python", "loaded"), "node_modules/a.js": ("javascript", "skipped"),
+        "big.js": ("javascript", "loaded"), "huge.py": ("python", "loaded"), "empty.py": ("python", "loaded"), "node_modules/a.js": ("javascript", "skipped"),
         "migrations/m.py": ("python", "skipped"), "venv/b.py": ("python", "skipped")}
 
 
@@ -77,7 +77,7 @@ def test_links_and_large_files_are_not_read(spark, root, tmp_path):
     (tmp_path / "p" / "src" / "__init__.py").write_text("a = 1\n")
     (tmp_path / "p" / "big.py").write_text("#" * 50)
     os.symlink(tmp_path / "p" / "big.py", tmp_path / "p" / "link.py")
-    tree = sources.source_tree(spark, str(tmp_path), limit=20, tasks=3)
+    tree = sources.source_tree(spark, str(tmp_path), limit=20, folders_per_task=1)
     assert {r.relative_path: r.content is None for r in tree.collect()} == {"src/__init__.py": False, "big.py": True, "link.py": True}
     assert {r.relative_path: r.skip_reason for r in inventory.inventory(tree, limit=20).collect()} == {
         "src/__init__.py": None, "big.py": "file_too_large", "link.py": "symbolic_link"}

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from palisade.operators import lifecycle
@@ -77,22 +78,40 @@ def test_new_files_become_facts_once(spark, tmp_path):
 
 
 NOW = datetime(2024, 1, 1, 12)
-SCAN = "scan_id int, status string, attempts int, heartbeat_at timestamp, current_stage string, status_message string, worker_id string, completed_at timestamp, cancel_requested_at timestamp, deadline_at timestamp"
+SCAN = "scan_id int, status string, attempts int, heartbeat_at timestamp, current_stage string, status_message string, worker_id string, completed_at timestamp, cancel_requested_at timestamp, deadline_at timestamp, error_message string, estimated_completion_at timestamp, progress int, broke boolean"
 
 
 def test_stale_scans_are_requeued_or_failed(spark):
     hour, edge = NOW - timedelta(hours=1), NOW - timedelta(minutes=15)
     rows = [(1, "running", 1, hour), (2, "running", 3, None), (3, "running", 1, edge), (4, "queued", 9, None), (5, "running", 2, None)]
-    scans = spark.createDataFrame([(*r, "s", "m", "w", None, None, None) for r in rows], SCAN)
+    scans = spark.createDataFrame([(*r, "s", "m", "w", None, None, None, None, NOW, 5, None) for r in rows], SCAN)
     got = {r.scan_id: (r.status, r.worker_id, r.project_status, r.completed_at) for r in lifecycle.recover_stale(scans, NOW).collect()}
     assert got == {1: ("queued", None, "scanning", None), 2: ("failed", "w", "failed", NOW), 3: ("running", "w", None, None), 4: ("queued", "w", None, None), 5: ("queued", None, "scanning", None)}
 
 
 def test_cancellation_wins_over_the_deadline(spark):
-    rows = [(1, NOW, NOW), (2, None, NOW), (3, None, NOW + timedelta(seconds=1)), (4, None, None)]
-    scans = spark.createDataFrame([(i, "running", 1, None, "s", "m", "w", None, c, d) for i, c, d in rows], SCAN)
+    rows = [(1, NOW, NOW), (2, None, NOW), (3, None, NOW + timedelta(seconds=1)), (4, None, None), (5, None, None)]
+    scans = spark.createDataFrame([(i, "running", 1, None, "s", "m", "w", None, c, d, None, NOW, 100, i == 5) for i, c, d in rows], SCAN)
     got = {r.scan_id: (r.status, r.current_stage, r.project_status) for r in lifecycle.check_control(scans, NOW).collect()}
-    assert got == {1: ("cancelled", "cancelled", "ready"), 2: ("failed", "timed_out", "failed"), 3: ("running", "s", None), 4: ("running", "s", None)}
+    assert got == {1: ("cancelled", "cancelled", "ready"), 2: ("failed", "timed_out", "failed"), 3: ("running", "s", None), 4: ("running", "s", None), 5: ("failed", "failed", "failed")}
+    assert {r.scan_id: (r.progress, r.error_message) for r in lifecycle.check_control(scans, NOW).collect()} == {
+        1: (100, None), 2: (100, "Security scan timed out."), 3: (100, None), 4: (100, None), 5: (99, "Security scan failed.")}
+
+
+def test_a_finished_scan_is_not_cancelled(spark):
+    scans = spark.createDataFrame([(1, "completed", 1, None, "completed", "m", "w", NOW, None, None, None, NOW, 100, None)], SCAN)
+    before, after = scans.first(), lifecycle.request_cancellation(scans, NOW).first()
+    assert not after.accepted and all(after[c] == before[c] for c in scans.columns)
+
+
+def test_intermediates_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from palisade.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://cluster:7077")), "table")
 
 
 def test_estimates(spark):
