@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from palisade.functions import scoring
+from palisade.operators import ranking
 
 # Limits of a scan, and the progress each stage starts at.
 STALE_AFTER_SECONDS = 15 * 60
@@ -177,8 +178,8 @@ def activity_per_hour(events: DataFrame) -> DataFrame:
 def activity_sessions(events: DataFrame, key: str, gap_seconds: int = STALE_AFTER_SECONDS) -> DataFrame:
     """Sessions of activity: events closer than the gap belong together.
 
-    Days of a key are sessionised apart, then the partial sessions of a key are merged. A day can hold at most
-    ``86400 / gap`` of them, so the merge stays small however busy the key is.
+    Ranges of a key's events are sessionised apart, then the partial sessions of a key that lie next to a bound are merged: a
+    key has at most one partial session more for each range it reaches into.
     """
     micros = F.unix_micros("ts")
     gap = gap_seconds * 1_000_000
@@ -190,9 +191,14 @@ def activity_sessions(events: DataFrame, key: str, gap_seconds: int = STALE_AFTE
         numbered = rows.withColumn("_new", opened).withColumn("_no", F.sum("_new").over(order))
         return numbered.groupBy(*keys, "_no").agg(F.min("_start").alias("_start"), F.max("_end").alias("_end"), F.sum("_n").alias("_n")).drop("_no")
 
-    points = events.select(key, F.date_trunc("day", "ts").alias("_day"), micros.alias("_start"), micros.alias("_end")).groupBy(
-        key, "_day", "_start", "_end").agg(F.count("*").alias("_n"))
-    merged = merge(merge(points, [key, "_day"]).drop("_day"), [key])
+    points = events.select(key, micros.alias("_start"), micros.alias("_end")).groupBy(key, "_start", "_end").agg(F.count("*").alias("_n"))
+    partial = merge(ranking.ranges(points, [key], [F.col("_start").asc()]), [key, "_slice"])
+    # Only the first and the last partial session of a range can go on in another one.
+    inside = W.partitionBy(key, "_slice")
+    edge = (F.col("_start") == F.min("_start").over(inside)) | (F.col("_end") == F.max("_end").over(inside))
+    placed = partial.withColumn("_edge", edge)
+    columns = [key, "_start", "_end", "_n"]
+    merged = merge(placed.filter("_edge").select(*columns), [key]).select(*columns).unionByName(placed.filter("not _edge").select(*columns))
     return merged.select(
         key, F.timestamp_micros("_start").alias("session_start"),
         F.timestamp_micros(F.col("_end") + gap).alias("session_end"), F.col("_n").cast("bigint").alias("events"))

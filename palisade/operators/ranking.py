@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from palisade.session import cut_lineage
+
 
 def first_per(df: DataFrame, keys: list[str | Column], order: list[Column]) -> DataFrame:
     """The first row of each key. The rank limit is also applied before the shuffle, so at most one row per
@@ -18,25 +20,26 @@ def latest_per(df: DataFrame, keys: list[str], *newest: str) -> DataFrame:
     return first_per(df, keys, [F.desc(c) for c in newest])
 
 
-def numbered(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    bucket: Column,
-    name: str = "position",
-    total: str | None = None,
-    newest_first: bool = False,
-) -> DataFrame:
+def ranges(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with ``_slice``: partitions of about equal size along the keys and the order.
+
+    The bounds of the ranges come from a sample of the rows, so a key that owns much of the data is cut as often as it needs, wherever its
+    times lie. The rows are stored, as the bounds may differ in another run of the plan.
+    """
+    cut = [F.col(k).asc_nulls_first() for k in keys] + order
+    return cut_lineage(df.repartitionByRange(*cut).withColumn("_slice", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "position", total: str | None = None) -> DataFrame:
     """Row numbers per key without one task holding a whole key.
 
-    ``bucket`` cuts a key into slices that follow the order (a day of the ordering time, for example). Rows
-    are numbered inside their slice; each slice then starts after the rows of the slices before it. Only the
-    table of slice sizes is ever windowed by key alone.
+    Rows are numbered inside their range; the rows of a key in each range then start after those in the ranges before it. Only the table
+    of (key, range) sizes is ever windowed by key alone, one row for each range that a key reaches into.
     """
-    sliced = df.withColumn("_slice", bucket)
+    sliced = ranges(df, keys, order)
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_size"))
     by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    along = by_key.orderBy(F.desc("_slice") if newest_first else F.asc("_slice"))
+    along = by_key.orderBy("_slice")
     before = F.sum("_size").over(along.rowsBetween(W.unboundedPreceding, -1))
     sizes = sizes.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
@@ -55,50 +58,45 @@ def numbered(
 
 
 def with_next(df: DataFrame, keys: list[str], time: str, tie: str, name: str) -> DataFrame:
-    """The time of the next row of the key, null for the last one; days of a key are handled apart.
+    """The time of the next row of the key, null for the last one; ranges of a key are handled apart.
 
-    Inside a day the next row is a window away. The last row of a day looks up the first time of the key's
-    next day, taken from the table of first times per day.
+    Inside a range the next row is a window away. The last row of a range looks up the first time of the key's
+    next range, taken from the table of first times per range.
     """
-    day = df.withColumn("_day", F.date_trunc("day", time))
-    firsts = day.groupBy(*keys, "_day").agg(F.min(time).alias("_first"))
+    sliced = ranges(df, keys, [F.col(time).asc(), F.col(tie).asc()])
+    firsts = sliced.groupBy(*keys, "_slice").agg(F.min(time).alias("_first"))
     firsts = firsts.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_day").alias("_d"),
-        F.lead("_first").over(W.partitionBy(*keys).orderBy("_day")).alias("_later"),
+        F.col("_slice").alias("_s"),
+        F.lead("_first").over(W.partitionBy(*keys).orderBy("_slice")).alias("_later"),
     )
-    here = F.lead(time).over(W.partitionBy(*keys, "_day").orderBy(time, tie))
+    here = F.lead(time).over(W.partitionBy(*keys, "_slice").orderBy(time, tie))
     match = reduce(
-        lambda a, b: a & b, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)], F.col("_day") == F.col("_d")
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_slice") == F.col("_s")
     )
-    joined = day.withColumn("_here", here).join(firsts, match)
+    joined = sliced.withColumn("_here", here).join(firsts, match)
     return joined.withColumn(name, F.coalesce("_here", "_later")).drop(
-        "_day", "_here", "_later", "_d", *[f"_k{i}" for i in range(len(keys))]
+        "_slice", "_here", "_later", "_s", *[f"_k{i}" for i in range(len(keys))]
     )
 
 
 def scan_history(scans: DataFrame) -> DataFrame:
     """Scans of a project, newest first (ties by id), with their number and the project's total."""
     return numbered(
-        scans, ["project_id"], [F.desc("created_at"), F.desc("scan_id")],
-        F.date_trunc("month", "created_at"), "scan_no", "total", newest_first=True,
+        scans, ["project_id"], [F.desc("created_at"), F.desc("scan_id")], "scan_no", "total",
     )
 
 
 def scan_queue(scans: DataFrame) -> DataFrame:
-    """Position of every queued scan, oldest first. The order is global, so it is numbered by day."""
-    return numbered(
-        scans.filter("status = 'queued'"), [], [F.asc("created_at"), F.asc("scan_id")],
-        F.date_trunc("day", "created_at"), "queue_position",
-    )
+    """Position of every queued scan, oldest first, in one global order."""
+    return numbered(scans.filter("status = 'queued'"), [], [F.asc("created_at"), F.asc("scan_id")], "queue_position")
 
 
 def owner_projects(projects: DataFrame, user_id: int | None = None) -> DataFrame:
     """Projects of an owner, newest first, with the owner's total."""
     chosen = projects if user_id is None else projects.filter(F.col("user_id") == user_id)
     return numbered(
-        chosen, ["user_id"], [F.desc("created_at"), F.desc("project_id")],
-        F.date_trunc("month", "created_at"), "position", "total", newest_first=True,
+        chosen, ["user_id"], [F.desc("created_at"), F.desc("project_id")], "position", "total",
     )
 
 

@@ -120,7 +120,9 @@ def evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
   else file_path || ':' || cast(line_number as varchar) end as display
 from (select file_path, nullif(line_number, 1) as line_number from findings) f group by file_path, line_number""", "findings"))
 def location_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = b.findings(spark, sf_dir).select("file_path", F.nullif("line_number", F.lit(1)).alias("line_number"))
+    # The text alone decides, so neither project nor rule is joined.
+    lines = b.table(spark, sf_dir, "lineitem")
+    placed = lines.select(F.concat(F.lit("src/s"), F.col("l_suppkey").cast("string"), F.lit(".py")).alias("file_path"), F.nullif("l_linenumber", F.lit(1)).alias("line_number"))
     counted = placed.groupBy("file_path", "line_number").agg(F.count("*").alias("n"))
     line = F.col("line_number")
     last = F.when(line % 3 == 0, line + 4).when(line % 3 == 1, line)

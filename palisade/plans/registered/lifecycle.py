@@ -151,7 +151,7 @@ def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("project_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "events")
 
 
-# --- Streams over the event files. Append mode emits what the final watermark (last event less ten minutes) closes. ---
+# --- Streams over the event files, run to their end: the results are those of the batch forms. ---
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -166,18 +166,17 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("stream_activity_per_hour", "STR-9", twin(
-    """select cast(epoch(date_trunc('hour', ts)) as bigint) as window_start, kind, cast(count(*) as bigint) as events from scan_events
-where date_trunc('hour', ts) + interval 1 hour <= (select date_trunc('milliseconds', max(ts)) from scan_events) - interval 10 minutes group by 1, 2""", "scan_events"))
+    "select cast(epoch(date_trunc('hour', ts)) as bigint) as window_start, kind, cast(count(*) as bigint) as events from scan_events group by 1, 2", "scan_events"))
 def stream_activity_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = streams.run_available(streams.hourly_activity(_stream(spark, sf_dir)), streams.run_folder(spark), "hourly")
+    done = streams.run_to_end(_stream(spark, sf_dir), streams.hourly_activity, streams.run_folder(spark), "hourly")
     return done.withColumn("window_start", F.unix_timestamp("window_start"))
 
 
 @register("stream_sessions", "STR-9", twin(
-    """select project_id, epoch_us(first_ts) as session_start, epoch_us(last_ts) + 900000000 as session_end, cast(n as bigint) as events from sessions
-where last_ts + interval 15 minutes <= (select date_trunc('milliseconds', max(ts)) from scan_events) - interval 10 minutes""", "scan_events", sessions=SESSIONS))
+    "select project_id, epoch_us(first_ts) as session_start, epoch_us(last_ts) + 900000000 as session_end, cast(n as bigint) as events from sessions",
+    "scan_events", sessions=SESSIONS))
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = streams.run_available(streams.sessions(_stream(spark, sf_dir)), streams.run_folder(spark), "sessions")
+    done = streams.run_to_end(_stream(spark, sf_dir), streams.sessions, streams.run_folder(spark), "sessions")
     return done.select("project_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "events")
 
 
@@ -188,9 +187,8 @@ from (select *, row_number() over (partition by project_id, spell order by ts, e
     lead(ts) over (partition by project_id order by ts, event_id) as next_ts
   from (select *, count(*) filter (where kind = 'queued') over (partition by project_id order by ts, event_id rows between unbounded preceding and current row) as spell from scan_events) a) b
   where closed = 0 and kind in ('queued', 'heartbeat', 'progress')
-    and ((next_ts is not null and epoch_us(next_ts) // 1000 - epoch_us(ts) // 1000 > 900000)
-      or (next_ts is null and epoch_us(ts) // 1000 + 900000 <= (select epoch_us(max(ts)) // 1000 from scan_events) - 600000))) c where no <= 3""", "scan_events"))
+    and (next_ts is null or epoch_us(next_ts) // 1000 - epoch_us(ts) // 1000 > 900000)) c where no <= 3""", "scan_events"))
 def stream_stale_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alarms = watchdog.watch(_stream(spark, sf_dir).withColumnRenamed("project_id", "scan_id"))
-    done = streams.run_available(alarms, streams.run_folder(spark), "alarms")
+    events = _stream(spark, sf_dir).withColumnRenamed("project_id", "scan_id")
+    done = streams.run_to_end(events, watchdog.watch, streams.run_folder(spark), "alarms")
     return done.select("scan_id", F.unix_millis("alarm_at").alias("alarm_ms"), "attempt", "action")

@@ -84,7 +84,7 @@ left join (select project_id, count(*) filter (where severity = 'critical') as c
   on v.project_id = p.project_id where s.status <> 'queued'""",
     "scan_jobs", "projects", "users", "endpoints", "findings", calc=CALC_ENDPOINT, calc_project=CALC_PROJECT))
 def notification_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = b.findings(spark, sf_dir)
+    found = b.project_findings(spark, sf_dir)
     scored = scores.project_scores(scores.endpoint_scores(b.endpoints(spark, sf_dir), b.endpoint_severities(spark, sf_dir)))
     results = scored.select("project_id", "score").join(aggregates.severity_summary(found, ["project_id"]), "project_id", "left")
     finished = b.scan_jobs(spark, sf_dir).filter("status <> 'queued'")

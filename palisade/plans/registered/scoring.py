@@ -32,7 +32,7 @@ def _endpoint(spark: SparkSession, sf_dir: str, profile: str = "calculator") ->
 
 
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.findings(spark, sf_dir).filter("confidence = 'medium'")
+    return b.project_findings(spark, sf_dir).filter("confidence = 'medium'")
 
 
 def _overall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ from calc_project c left join (select project_id, count(*) filter (where severit
   count(*) filter (where severity = 'low') as low from findings where status = 'open' group by project_id) s on s.project_id = c.project_id""",
     "endpoints", "findings", calc=CALC_ENDPOINT, calc_project=CALC_PROJECT))
 def project_posture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    open_counts = aggregates.severity_summary(b.findings(spark, sf_dir), ["project_id"], only_open=True)
+    open_counts = aggregates.severity_summary(b.project_findings(spark, sf_dir), ["project_id"], only_open=True)
     return scores.project_posture(scores.project_scores(_endpoint(spark, sf_dir)), open_counts)
 
 

@@ -36,7 +36,7 @@ def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("severity_summary", "AGG-1", twin(f"select project_id, {SEVERITY_COUNTS} from findings group by project_id", "findings"))
 def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.severity_summary(b.findings(spark, sf_dir), ["project_id"])
+    return aggregates.severity_summary(b.project_findings(spark, sf_dir), ["project_id"])
 
 
 @register("rule_summary", "AGG-2", twin(RULES, "findings"))
@@ -57,7 +57,7 @@ def affected_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("open_severity_counts", "AGG-5", twin(
     f"select project_id, {SEVERITY_COUNTS.replace(chr(39) + ')', chr(39) + ' and status = ' + chr(39) + 'open' + chr(39) + ')')} from findings group by project_id", "findings"))
 def open_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.severity_summary(b.findings(spark, sf_dir), ["project_id"], only_open=True)
+    return aggregates.severity_summary(b.project_findings(spark, sf_dir), ["project_id"], only_open=True)
 
 
 @register("open_category_counts", "AGG-6", twin(f"select project_id, {CATEGORY_COUNTS} from findings group by project_id", "findings"))
@@ -125,7 +125,7 @@ def executive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""select project_id, {SEVERITY_COUNTS} from (select project_id, severity from findings where confidence = 'high' and status = 'open'
 union all select project_id, severity from findings where confidence = 'medium') u group by project_id""", "findings"))
 def combined_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.combined_severity_counts(b.findings(spark, sf_dir).filter("confidence = 'high'"), _source(spark, sf_dir))
+    return aggregates.combined_severity_counts(*(b.project_findings(spark, sf_dir).filter(F.col("confidence") == c) for c in ("high", "medium")))
 
 
 @register("language_counts", "AGG-12", twin(
@@ -151,7 +151,7 @@ def project_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
   cast(sum(s.low) as bigint) as low from projects p join (select project_id, {SEVERITY_COUNTS} from findings where status = 'open' group by project_id) s
   on s.project_id = p.project_id group by p.user_id""", "projects", "findings"))
 def portfolio_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = aggregates.severity_summary(b.findings(spark, sf_dir).filter("status = 'open'"), ["project_id"])
+    counts = aggregates.severity_summary(b.project_findings(spark, sf_dir).filter("status = 'open'"), ["project_id"])
     reported = counts.join(b.projects(spark, sf_dir).select("project_id", "user_id"), "project_id")
     return aggregates.portfolio_severities(reported, ["user_id"])
 
@@ -160,7 +160,7 @@ def portfolio_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select project_id, cast(count(*) as bigint) as finding_count,
   cast(count(*) filter (where severity in ('critical', 'high')) as bigint) as critical_high_count from findings group by project_id""", "findings"))
 def critical_high_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.critical_high_counts(b.findings(spark, sf_dir), ["project_id"])
+    return aggregates.critical_high_counts(b.project_findings(spark, sf_dir), ["project_id"])
 
 
 @register("top_rules", "TOP-7 AGG-9", twin(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palisade.operators import lifecycle
@@ -36,6 +38,25 @@ def run_folder(spark: SparkSession) -> str:
     return shared_folder(spark, "stream")
 
 
+# Later than any event: the watermark that follows it closes every window, session and quiet period.
+END_OF_INPUT = "2200-01-01 00:00:00"
+
+
+def run_to_end(events: DataFrame, plan: Callable[[DataFrame], DataFrame], folder: str, name: str) -> DataFrame:
+    """Like ``run_available``, for a bounded input that must end complete: ``plan`` of all ``events``, also of what is still open at the end.
+
+    When everything is read, a row that says so follows, with the event time ``END_OF_INPUT`` and nothing else. Its own window never closes,
+    so it leaves no trace in the output. The state cannot take events after that.
+    """
+    spark, marks = events.sparkSession, f"{folder}/{name}-end"
+    spark.createDataFrame([], events.schema).write.mode("append").parquet(marks)
+    stream = plan(events.unionByName(spark.readStream.schema(events.schema).parquet(marks)))
+    run_available(stream, folder, name)
+    ends = [F.lit(END_OF_INPUT if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in events.schema]
+    spark.range(1).select(*ends).write.mode("append").parquet(marks)
+    return run_available(stream, folder, name)
+
+
 def run_available(stream: DataFrame, folder: str, name: str) -> DataFrame:
     """Process what is there, append the results to files and read them back. Nothing passes the driver."""
     out = f"{folder}/{name}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from palisade import session  # noqa: F401  (makes the processor below travel by value)
@@ -91,7 +91,7 @@ def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     state is bounded by the minutes it covers, not by its number of heartbeats.
     """
     for rows in batches:
-        rows = rows.sort_values(["scan_id", "ts", "event_id"])
+        rows = rows.sort_values(["scan_id", "ts", "event_id"], na_position="last")
         alive = rows["kind"].isin(("heartbeat", "progress"))
         minute = rows["ts"].dt.floor("min")
 
@@ -104,7 +104,9 @@ def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def watch(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Alarms of a stream of ``events(scan_id, event_id, ts, kind)``. Needs the RocksDB state store."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    thinned = events.select(INPUT_COLUMNS).mapInPandas(thin, INPUT)
+    # The row that ends a bounded input has no ids; -1 keeps the columns whole numbers in pandas.
+    whole = [F.coalesce(c, F.lit(-1)).alias(c) if c in ("scan_id", "event_id") else F.col(c) for c in INPUT_COLUMNS]
+    thinned = events.select(whole).mapInPandas(thin, INPUT)
     keyed = thinned.withWatermark("ts", lateness).groupBy("scan_id")
     return keyed.transformWithStateInPandas(
         statefulProcessor=Watchdog(), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")

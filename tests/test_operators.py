@@ -60,13 +60,20 @@ def hot_rows(n=3000):
 def test_numbering_in_slices_equals_a_plain_window(spark, newest_first):
     frame = spark.createDataFrame(hot_rows(), "project_id int, created_at timestamp, scan_id int")
     order = [F.desc("created_at"), F.desc("scan_id")] if newest_first else [F.asc("created_at"), F.asc("scan_id")]
-    sliced = ranking.numbered(frame, ["project_id"], order, F.date_trunc("day", "created_at"), "no", "total", newest_first)
+    sliced = ranking.numbered(frame, ["project_id"], order, "no", "total")
     plain = frame.withColumn("no", F.row_number().over(W.partitionBy("project_id").orderBy(*order)).cast("bigint")).withColumn(
         "total", F.count("*").over(W.partitionBy("project_id")))
     columns = ["project_id", "scan_id", "no", "total"]
     assert sorted(sliced.select(columns).collect()) == sorted(plain.select(columns).collect())
 
 
+def test_one_key_on_one_day_keeps_several_tasks_busy(spark):
+    start = datetime(2024, 1, 1)
+    frame = spark.createDataFrame([(1, start + timedelta(seconds=i % 9000), i) for i in range(20_000)], "project_id int, created_at timestamp, scan_id int")
+    cut = ranking.ranges(frame, ["project_id"], [F.desc("created_at"), F.desc("scan_id")]).groupBy("_slice").count().collect()
+    assert len(cut) > 1 and max(r["count"] for r in cut) < 0.6 * 20_000
+
+
 def test_next_time_in_slices_equals_lead(spark):
     frame = spark.createDataFrame(hot_rows(), "user_id int, created_at timestamp, token_id int")
     sliced = ranking.with_next(frame, ["user_id"], "created_at", "token_id", "next_at").select("token_id", "next_at").collect()
