@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.functions import scoring, text
-from palisade.operators.ranking import first_per
+from palisade.operators.ranking import first_per, numbered
 
 REQUIRED_TEXT = ("rule_id", "title", "description", "category", "remediation")
 
@@ -45,8 +45,8 @@ def report_order(findings: DataFrame) -> list[Column]:
 
 
 def severity_first(findings: DataFrame, within: list[str]) -> DataFrame:
-    """Findings sorted for reading. A range sort, so no key has to fit into one task."""
-    return findings.orderBy(*within, *report_order(findings))
+    """Findings with their ``position`` in the report of each ``within``, ties by ``seq``; no endpoint has to fit into one task."""
+    return numbered(findings, within, [*report_order(findings), F.asc("seq")])
 
 
 def endpoint_fingerprint() -> Column:

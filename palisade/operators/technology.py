@@ -105,7 +105,9 @@ def framework_entries(files: DataFrame) -> DataFrame:
     name = filename_of(path)
     readable = F.coalesce(content, F.lit(""))
     none = F.lit(None).cast("string")
-    pom_version = F.try_element_at(F.regexp_extract_all(readable, F.lit(t.SPRING_VERSION), 1), F.lit(-1))
+    # Comments hold no elements, and a file that does not end its root element has no version.
+    pom = F.regexp_replace(readable, r"(?s)<!--.*?-->", "")
+    pom_version = F.when(pom.rlike(r"</(\w+:)?project\s*>\s*\z"), F.try_element_at(F.regexp_extract_all(pom, F.lit(t.SPRING_VERSION), 1), F.lit(-1)))
     gradle = F.contains(readable, F.lit("org.springframework.boot"))
     web = reduce(lambda a, b: a | b, [F.contains(readable, F.lit(m)) for m in t.DOTNET_MARKERS])
     extract = lambda pattern: F.nullif(F.regexp_extract(readable, pattern, 1), F.lit(""))

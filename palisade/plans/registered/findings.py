@@ -24,14 +24,15 @@ def _endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("normalised_findings", "FND-3 FND-4", twin(
-    f"""select project_id, endpoint_id, rule_id, severity, title, status, file_path, cast({SEVERITY_RANK} as int) as severity_rank
+    f"""select project_id, endpoint_id, rule_id, severity, title, status, file_path, cast({SEVERITY_RANK} as int) as severity_rank,
+  cast(row_number() over (partition by project_id, endpoint_id order by {SEVERITY_RANK}, rule_id, {FOLD.format('title')}, line_number, {SEQ}) as bigint) as position
 from (select *, row_number() over (partition by endpoint_id, rule_id, severity, {FOLD.format('title')}, {FOLD.format('description')} order by {SEQ}) as rn from findings) t
 where rn = 1""", "findings"))
 def normalised_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = ops.normalise(b.findings(spark, sf_dir))
     return ops.severity_first(kept, ["project_id", "endpoint_id"]).select(
         "project_id", "endpoint_id", "rule_id", "severity", "title", "status", "file_path",
-        scoring.severity_rank(F.col("severity")).alias("severity_rank"))
+        scoring.severity_rank(F.col("severity")).alias("severity_rank"), "position")
 
 
 @register("endpoint_fingerprints", "FND-5", twin(

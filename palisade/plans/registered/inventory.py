@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palisade.operators import aggregates, inventory as inv, technology
+from palisade.operators import aggregates, facts, inventory as inv, source_rules, technology
 from palisade.plans.catalogue import register, twin
-from palisade.plans.registered.code import values
-from palisade.sources import trees
+from palisade.plans.registered.code import EXPECTED_SCRIPT_FINDINGS, SCRIPT_ROWS, values
+from palisade.sources import modules, trees
 
 # Expected inventory of the document paths: source number, language by name, file name rule.
 PATH_ROWS = (
@@ -73,14 +73,19 @@ def analysis_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("source_run_totals", "AGG-7 SRC-10", twin(
-    """select project_id, cast(count(*) filter (where load_status = 'loaded') as bigint) as files_scanned,
-  cast(count(*) filter (where load_status = 'skipped') as bigint) as skipped_file_count, cast(0 as bigint) as error_count,
-  cast(sum(len(regexp_extract_all(case when load_status = 'loaded' then body else '' end, 'token = "[0-9a-f]{40}"'))) as bigint) as issue_count
-from analysis group by project_id""", tree=TREE, analysis=ANALYSIS))
+    f"""select s.project_id, cast(count(distinct s.relative_path) filter (where s.k not in (12, 25)) as bigint) as files_scanned,
+  cast(count(distinct s.relative_path) filter (where s.k = 12) as bigint) as skipped_file_count, cast(count(distinct s.relative_path) filter (where s.k = 25) as bigint) as error_count,
+  cast(count(e.rule_id) as bigint) as issue_count
+from scripts s left join {values(EXPECTED_SCRIPT_FINDINGS, 'e(k, rule_id, line_start, column_start, function_name, class_name, evidence)')} on e.k = s.k
+group by s.project_id""", scripts=SCRIPT_ROWS))
 def source_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = inv.analysis_files(trees.document_tree(spark, sf_dir))
-    issues = files.filter("load_status = 'loaded'").select("project_id", F.explode(F.regexp_extract_all("content", F.lit('token = "[0-9a-f]{40}"'), 0)))
-    return aggregates.source_run_totals(files, issues)
+    """The scripts as files: one text gets a NUL byte and is skipped, another a byte that is no UTF-8 and is an error; issues come from the rules."""
+    content, text = F.encode("content", "utf-8"), F.col("content")
+    body = F.when(text.contains("api.example.com/health"), F.concat(content, F.lit(b"\x00"))).when(text.startswith("# only text"), F.concat(F.lit(b"\xff"), content)).otherwise(content)
+    scripts = modules.scripts(spark, sf_dir).select("project_id", "relative_path", body.alias("content"))
+    files = inv.analysis_files(scripts.withColumn("size_bytes", F.octet_length("content").cast("bigint")))
+    issues = source_rules.source_findings(facts.code_facts(files.filter("load_status = 'loaded'")))
+    return aggregates.source_run_totals(files, issues.select("project_id"))
 
 
 # Expected detection: kind, language, languages, frameworks, framework, version, tools, manifests, confidence.

@@ -6,12 +6,11 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palisade.catalog import rules as catalog
 from palisade.functions import scoring
 from palisade.operators import discovery, endpoint_rules, facts, scores
 from palisade.plans import scan as scans
 from palisade.plans.catalogue import register, twin
-from palisade.plans.registered.code import EXPECTED_ASSESSMENTS, EXPECTED_ROUTE_FINDINGS, MODULE_ROWS, values
+from palisade.plans.registered.code import EXPECTED_ASSESSMENTS, EXPECTED_ROUTE_FINDINGS, EXPECTED_RULES, MODULE_ROWS, values
 from palisade.plans.registered.scoring import CALC_ENDPOINT
 from palisade.sources import bindings as b, modules, reports
 from palisade.streaming.events import run_folder
@@ -37,7 +36,7 @@ def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ENDPOINT_SCORE = f"""select s.project_id, s.segment, s.k, coalesce(cast(round_even(avg(e.score), 0) as bigint), 100) as endpoint_score from modules s
 left join {values(EXPECTED_ASSESSMENTS, 'e(k, method, path, rules, score)')} on e.k = s.k group by s.project_id, s.segment, s.k"""
-RULE_SEVERITY = "(values " + ", ".join(f"('{r[0]}', '{r[5]}')" for r in catalog.SOURCE_RULES) + ") r(rule_id, severity)"
+RULE_SEVERITY = values(tuple((r[0], r[3]) for r in EXPECTED_RULES), "r(rule_id, severity)")
 SCAN_SCORES = f"""select p.project_id, p.endpoint_score, greatest(0, 100 - cast(coalesce(sum(case r.severity when 'critical' then 25 when 'high' then 15 when 'medium' then 8 when 'low' then 3 else 0 end), 0) as bigint)) as source_score
 from endpoint_score p left join {values(EXPECTED_ROUTE_FINDINGS, 'f(k, rule_id, line_start, column_start, function_name, evidence)')} on f.k = p.k and p.segment = 'BUILDING'
 left join {RULE_SEVERITY} on r.rule_id = f.rule_id group by p.project_id, p.endpoint_score"""

@@ -115,7 +115,7 @@ def executive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scores.project_scores(scores.endpoint_scores(listed, b.endpoint_severities(spark, sf_dir)))
     affected = aggregates.affected_endpoints(endpoint_finding_counts(spark, sf_dir))
     top = aggregates.top_rules_per_project(aggregates.rule_summary(found))
-    summary = aggregates.executive_summary(scored, affected, aggregates.severity_summary(found, ["project_id"]), top)
+    summary = aggregates.executive_summary(scored, affected, aggregates.severity_summary(b.project_findings(spark, sf_dir), ["project_id"]), top)
     shown = F.transform("top_rules", lambda r: F.concat(r["rule"], F.lit("="), r["count"].cast("string")))
     return summary.withColumn("top_rules", F.concat_ws(",", shown)).withColumn(
         "top_rules", F.when(F.col("finding_count") > 0, F.col("top_rules")))
