@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palisade.functions import scoring
+from palisade.functions import scoring, text
 from palisade.operators import discovery, endpoint_rules, facts, scores
 from palisade.plans import scan as scans
 from palisade.plans.catalogue import register, twin
@@ -42,10 +42,10 @@ from endpoint_score p left join {values(EXPECTED_ROUTE_FINDINGS, 'f(k, rule_id,
 left join {RULE_SEVERITY} on r.rule_id = f.rule_id group by p.project_id, p.endpoint_score"""
 
 
-def _scan(spark: SparkSession, sf_dir: str) -> tuple[scans.ScanResult, DataFrame]:
+def _scan(spark: SparkSession, sf_dir: str, store: bool = False) -> tuple[scans.ScanResult, DataFrame]:
     framework = F.when(F.col("framework") == "building", "FastAPI").otherwise(F.col("framework"))
     projects = b.projects(spark, sf_dir).select(F.col("project_id").cast("string").alias("project_id"), "name", framework.alias("framework"))
-    return scans.scan(modules.route_modules(spark, sf_dir), projects), projects
+    return scans.scan(modules.route_modules(spark, sf_dir), projects, store), projects
 
 
 @register("full_scan_scores", "EPR-5 FND-9 SCO-3 SCO-5 SCO-6 SCO-8", twin(
@@ -57,23 +57,58 @@ def full_scan_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.scores.select("project_id", "endpoint_score", "source_score", "overall_score", "severity")
 
 
+SOURCE_ISSUES = f"""select m.project_id, count(*) as issues from modules m
+join {values(EXPECTED_ROUTE_FINDINGS, 'f(k, rule_id, line_start, column_start, function_name, evidence)')} on f.k = m.k and m.segment = 'BUILDING' group by 1"""
+
+
 @register("stored_reports", "SRC-11 SRC-12 FND-19", twin(
-    """select project_id, '1.0' as report_version, overall as score, true as report_available from (select project_id,
-  cast(round_even((endpoint_score + source_score) / 2.0, 0) as bigint) as overall from scan_scores) t""",
-    modules=MODULE_ROWS, endpoint_score=ENDPOINT_SCORE, scan_scores=SCAN_SCORES))
+    f"""select s.project_id, '1.0' as report_version, cast(round_even((endpoint_score + source_score) / 2.0, 0) as bigint) as score, true as report_available,
+  cast(coalesce(e.endpoints, 0) as bigint) as endpoint_count, cast(1 as bigint) as files_scanned, cast(case when m.k = 24 then 1 else 0 end as bigint) as error_count,
+  cast(coalesce(i.issues, 0) as bigint) as issue_count, cast(coalesce(i.issues, 0) as bigint) as stored_issues, cast(coalesce(e.endpoints, 0) as bigint) as endpoint_rows,
+  coalesce(e.found, 0) as listed_findings, 'python' as language
+from scan_scores s join modules m on m.project_id = s.project_id left join source_issues i on i.project_id = s.project_id
+left join (select k, count(*) as endpoints, cast(sum(case rules when '' then 0 else len(string_split(rules, ',')) end) as bigint) as found
+  from {values(EXPECTED_ASSESSMENTS, 'a(k, method, path, rules, score)')} group by k) e on e.k = m.k""",
+    modules=MODULE_ROWS, endpoint_score=ENDPOINT_SCORE, scan_scores=SCAN_SCORES, source_issues=SOURCE_ISSUES))
 def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the report heads of a scan, read them back and flag the scans that have one."""
-    result, projects = _scan(spark, sf_dir)
+    """Store a scan with everything it found, read the tables back and compare documents, issues and endpoint rows."""
+    result, projects = _scan(spark, sf_dir, store=True)
     runs = projects.select("project_id", F.lit(1).alias("scan_id"))
-    heads = reports.report_summaries(projects, runs, result.scores, result.severity_counts, datetime(2024, 1, 1))
-    out = f"{run_folder(spark)}/reports"
-    # Partitioned by scan here: one folder per project would be thousands of tiny files on this data.
-    heads.write.mode("overwrite").partitionBy("scan_id").json(out)
-    stored = spark.read.schema("project_id string, report string, scan_id int").json(out)
-    flagged = reports.with_report_available(runs, stored)
-    report = F.from_json("report", "report_version string, summary struct<score:bigint>")
-    return stored.withColumn("r", report).join(flagged, ["project_id", "scan_id"]).select(
-        "project_id", F.col("r.report_version").alias("report_version"), F.col("r.summary.score").alias("score"), "report_available")
+    root = run_folder(spark)
+    scans.write(result, projects.withColumn("language", F.lit("python")), runs, root, datetime(2024, 1, 1))
+    read = lambda name: reports.read_report(spark, f"{root}/reports", name)
+    counted = lambda name, as_: read(name).groupBy("project_id").agg(F.count("*").alias(as_))
+    report = F.from_json("report", "report_version string, project struct<language:string>, summary struct<score:bigint>, source_analysis struct<issue_count:bigint>, "
+                         "scan struct<endpoint_count:bigint, files_scanned:bigint, error_count:bigint>")
+    heads = read("summary").withColumn("r", report)
+    found = read("assessments").groupBy("project_id").agg(F.sum(F.greatest(F.size("findings"), F.lit(0))).cast("bigint").alias("listed_findings"))
+    joined = heads.join(reports.with_report_available(runs, heads), ["project_id", "scan_id"])
+    for other in (counted("source_findings", "stored_issues"), counted("endpoints", "endpoint_rows"), found):
+        joined = joined.join(other, "project_id", "left")
+    zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+    return joined.select(
+        "project_id", "r.report_version", "r.project.language", "r.summary.score", "report_available", "r.scan.endpoint_count", "r.scan.files_scanned", "r.scan.error_count",
+        "r.source_analysis.issue_count", zero("stored_issues"), zero("endpoint_rows"), zero("listed_findings"))
+
+
+@register("stored_summaries", "SRC-12", twin(
+    """select scan_id, cast(case when scan_id % 4 < 3 then scan_id % 101 end as bigint) as score from scan_jobs""", "scan_jobs"))
+def stored_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they were stored over time: plain, wrapped in a report, wrapped in data, and without a summary."""
+    scan, own = F.col("scan_id"), F.concat(F.lit('{"summary": {"score": '), (F.col("scan_id") % 101).cast("string"), F.lit("}}"))
+    payload = F.when(scan % 4 == 0, own).when(scan % 4 == 1, F.concat(F.lit('{"report": '), own, F.lit("}"))).when(
+        scan % 4 == 2, F.concat(F.lit('{"summary": null, "data": '), own, F.lit("}"))).otherwise(F.lit('{"data": []}'))
+    found = reports.stored_summary(payload)
+    return b.scan_jobs(spark, sf_dir).select("scan_id", F.from_json(found, "score bigint")["score"].alias("score"))
+
+
+@register("project_search", "SRC-15", twin(
+    """select project_id from projects where lower(name || ' building site ' || framework) like '%site mach%' or lower(name) like '%0042%'""", "projects"))
+def project_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches over name, description, language, framework and status of the projects."""
+    shown = b.projects(spark, sf_dir).withColumns({"description": F.lit("Building site"), "detected_language": F.lit(""), "status": F.lit(None).cast("string")})
+    fields = [F.col(c) for c in ("name", "description", "detected_language", "framework", "status")]
+    return shown.filter(text.search_match(fields, " SITE mach") | text.search_match(fields[:1], "0042 ")).select("project_id")
 
 
 @register("discovery_snapshot", "SRC-13", twin(

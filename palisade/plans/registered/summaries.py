@@ -26,7 +26,8 @@ left join rule_knowledge k on k.rule_id = r.rule_id"""
 
 def _by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     knowledge = b.rule_knowledge(spark, sf_dir).select(
-        "rule_id", F.array("owasp").alias("owasp_api_categories"), F.array("cwe").alias("cwe_ids"), "cvss_score")
+        "rule_id", F.array("owasp").alias("owasp_api_categories"), F.array("cwe").alias("cwe_ids"),
+        F.array(F.replace("cwe", F.lit("CWE"), F.lit("CAPEC"))).alias("capec_ids"), "cvss_score")
     return aggregates.knowledge_by_rule(b.findings(spark, sf_dir), knowledge)
 
 
@@ -86,12 +87,14 @@ def knowledge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("knowledge_histogram", "AGG-8 REM-6", twin(
     """select project_id, 'owasp' as kind, owasp as entry, cast(sum(n) as bigint) as finding_count from by_rule where known group by project_id, owasp
-union all select project_id, 'cwe', cwe, cast(sum(n) as bigint) from by_rule where known group by project_id, cwe""",
+union all select project_id, 'cwe', cwe, cast(sum(n) as bigint) from by_rule where known group by project_id, cwe
+union all select project_id, 'capec', replace(cwe, 'CWE', 'CAPEC'), cast(sum(n) as bigint) from by_rule where known group by project_id, cwe""",
     "findings", "rule_knowledge", by_rule=BY_RULE))
 def knowledge_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _by_rule(spark, sf_dir).filter("known").select("project_id", "n", F.explode(F.concat(
         F.transform("owasp_api_categories", lambda e: F.struct(F.lit("owasp").alias("kind"), e.alias("entry"))),
         F.transform("cwe_ids", lambda e: F.struct(F.lit("cwe").alias("kind"), e.alias("entry"))),
+        F.transform("capec_ids", lambda e: F.struct(F.lit("capec").alias("kind"), e.alias("entry"))),
     )).alias("e"))
     return entries.groupBy("project_id", "e.kind", "e.entry").agg(F.sum("n").alias("finding_count"))
 

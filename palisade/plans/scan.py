@@ -28,19 +28,21 @@ class ScanResult:
     severity_counts: DataFrame
 
 
-def scan(files: DataFrame, projects: DataFrame) -> ScanResult:
+def scan(files: DataFrame, projects: DataFrame, store: bool = False) -> ScanResult:
     """Scan ``files(project_id, relative_path, language, content)`` of ``projects(project_id, name, framework)``.
 
     The files are parsed once. The facts are written to a table in the shared checkpoint folder, one partition per
-    kind, as several branches read parts of them; everything after that is relational.
+    kind, as several branches read parts of them; everything after that is relational. With ``store``, endpoints, assessments and
+    findings are written too: whoever stores reports reads each of them several times.
     """
     spark = files.sparkSession
     known = projects.withColumn("project_id", F.col("project_id").cast("string"))
     facts = cut_lineage(fact_ops.code_facts(files), "kind")
-    endpoints = discovery.endpoints(facts)
-    endpoint_findings, assessments = endpoint_rules.assess(endpoints, ENDPOINT_KEYS)
+    keep = cut_lineage if store else (lambda frame: frame)
+    endpoints = keep(discovery.endpoints(facts))
+    endpoint_findings, assessments = map(keep, endpoint_rules.assess(endpoints, ENDPOINT_KEYS))
     analyzers = catalog.analyzers(spark)
-    source_findings = finding_ops.applicable(source_rules.source_findings(facts), known, analyzers)
+    source_findings = keep(finding_ops.applicable(source_rules.source_findings(facts), known, analyzers))
     severity_counts = aggregates.combined_severity_counts(endpoint_findings, source_findings)
     endpoint_level = scores.project_scores(assessments.select("project_id", "score", "finding_count"), known)
     overall = scores.overall_scores(endpoint_level, scores.source_scores(known, source_findings))
@@ -54,8 +56,18 @@ def write(result: ScanResult, projects: DataFrame, scans: DataFrame, root: str,
     known = projects.withColumn("project_id", F.col("project_id").cast("string"))
     numbered = scans.withColumn("project_id", F.col("project_id").cast("string"))
     reports.replace_discovery(discovery.stored_endpoints(result.endpoints), f"{root}/endpoints")
-    summaries = reports.report_summaries(known, numbered, result.scores, result.severity_counts, generated_at)
+    analysis = reports.source_analysis(result.runs, result.source_findings, result.errors, result.endpoints)
+    numbers = numbered.select("project_id", "scan_id")
     texts = result.endpoint_findings.select(
         *ENDPOINT_KEYS, "rule_id", "title", "description", "category", "severity", "confidence", "remediation", "owasp_reference", "cwe_id", "evidence", "status")
-    parts = reports.report_parts(result.assessments, texts, ENDPOINT_KEYS).join(numbered.select("project_id", "scan_id"), "project_id")
-    reports.write_reports(summaries, parts, f"{root}/reports")
+    issues = result.source_findings.select(
+        "project_id", "relative_path", "rule_id", "analyzer", "severity", "confidence", "category", "line_start", "column_start", "function_name", "class_name", "evidence",
+        "detail", "fingerprint")
+    reports.write_reports({
+        "summary": reports.report_summaries(known, numbered, result.scores, result.severity_counts, generated_at, analysis),
+        "assessments": reports.report_parts(result.assessments, texts, ENDPOINT_KEYS).join(numbers, "project_id"),
+        "endpoints": reports.endpoint_report(result.assessments.join(numbers, "project_id")),
+        "source_findings": issues.join(numbers, "project_id"),
+        "runs": result.runs.join(numbers, "project_id"),
+        "errors": result.errors.join(numbers, "project_id"),
+    }, f"{root}/reports")
