@@ -14,6 +14,7 @@ kept with the score 1; repeated rows get the same score; other columns pass thro
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -180,20 +181,19 @@ def samples(documents: DataFrame, labels: DataFrame, names: list[str], labelled:
     return cut_lineage(features(rows.select("text", "good", *(f"m{i}" for i in range(len(names)))), [f"m{i}" for i in range(len(names))]))
 
 
-def fit(rows: list, rounds: int = ROUNDS) -> Model | None:
-    """Co-training on sampled features; None without both classes."""
+def fit(rows: list[dict], rounds: int = ROUNDS) -> Model | None:
+    """Co-training on sampled features (``words`` and ``layout`` are arrays); None without both classes."""
     # Copies of a text count once, and never on both sides of the hold-out.
     unique = {}
     for r in rows:
-        key = (r["good"] is None, tuple(sorted(r["words"])))
-        unique.setdefault(key, r)
+        unique.setdefault((r["good"] is None, hashlib.sha256(np.sort(r["words"]).tobytes()).digest()), r)
     rows = [unique[k] for k in sorted(unique)]
     known = [r for r in rows if r["good"] is not None]
     if len({r["good"] for r in known}) < 2:
         return None
     shapes = np.array([r["layout"] for r in rows])
     edges = np.quantile(shapes, np.arange(1, BINS) / BINS, axis=0).T
-    texts = lambda some: [np.array(r["words"], np.int32) for r in some]
+    texts = lambda some: [r["words"] for r in some]
     metas = lambda some: [meta_slots(r["names"], r["layout"], edges) for r in some]
     held, train = known[::4], [r for i, r in enumerate(known) if i % 4]
     if len({r["good"] for r in held}) < 2 or len({r["good"] for r in train}) < 2:
@@ -226,6 +226,15 @@ def fit(rows: list, rounds: int = ROUNDS) -> Model | None:
     return Model(edges, text.weights, meta.weights, calibrated(z[:, :1], y_held), calibrated(z[:, 1:], y_held), calibrated(z, y_held))
 
 
+def rows_of(sample: pa.Table) -> list[dict]:
+    """Rows of ``features`` whose arrays are views of the table, which takes a tenth of the memory of Python numbers."""
+    columns = {n: sample.column(n).combine_chunks() for n in ("words", "layout")}
+    views = {n: (c.values.to_numpy(), c.offsets.to_numpy()) for n, c in columns.items()}
+    cut = lambda n, i: views[n][0][views[n][1][i] : views[n][1][i + 1]]
+    named = zip(sample.column("good").to_pylist(), sample.column("names").to_pylist())
+    return [{"good": g, "names": names, "words": cut("words", i), "layout": cut("layout", i)} for i, (g, names) in enumerate(named)]
+
+
 SCORES = "p_text double, p_meta double, score double"
 
 
@@ -247,7 +256,7 @@ def scorer(model: Model | None):
 def scored(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
     """``(row, scores)`` of every document: its columns as they are, and ``p_text``, ``p_meta`` and ``score``, the chance that it is good."""
     names = [n for n in META_NAMES if n in documents.columns]
-    model = fit([r.asDict() for r in samples(documents, labels, names, labelled, pool).collect()])
+    model = fit(rows_of(samples(documents, labels, names, labelled, pool).toArrow()))
     columns: list[Column] = [F.col(f"`{c}`") for c in documents.columns]
     named = F.array(*(F.col(n).cast("string") for n in names)) if names else F.array().cast("array<string>")
     return documents.select(F.struct(*columns).alias("row"), scorer(model)(F.encode("text", "utf-8"), named).alias("scores"))
