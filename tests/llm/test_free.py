@@ -88,9 +88,10 @@ def test_held_out_accuracy(spark):
 def test_views_teach_each_other():
     """Words tell half of the documents apart, metadata the others; pseudo-labels carry what one view knows to the other."""
     rng = random.Random(3)
+
     def row(i, good):
         words = [rng.randrange(1000, 4000) for _ in range(30)] + ([1 if good else 2] if i % 2 else [])
-        return {"good": good if i < 60 else None, "words": words, "names": ["x"], "layout": [float(good if i % 2 == 0 else 0.5), 0.0] + [rng.random() for _ in range(7)]}
+        return {"good": good if i < 60 else None, "words": np.array(words, np.int32), "names": ["x"], "layout": [float(good if i % 2 == 0 else 0.5), 0.0] + [rng.random() for _ in range(7)]}
     model = cotraining.fit([row(i, i % 4 < 2) | {"good": int(i % 4 < 2) if i < 400 else None} for i in range(1200)])
     assert model is not None and abs(model.both[0]) > 0 and abs(model.both[1]) > 0
 
