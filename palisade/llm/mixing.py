@@ -106,10 +106,11 @@ def cell_copies(cells: DataFrame, solved: DataFrame, most: int = MOST) -> DataFr
     # Sums of doubles end a little beside whole numbers.
     whole = lambda value: F.floor(value + 1e-7)
     copies = lambda u: whole(F.col("upto") + u) - whole(F.col("upto") - F.col("expected") + u)
-    tried = [F.lit((k + 0.5) / OFFSETS) for k in range(OFFSETS)]
-    sums = placed.groupBy("source").agg(F.first("target").alias("target"), *(F.sum(copies(u) * F.col("size")).alias(f"w{k}") for k, u in enumerate(tried)))
-    best = sums.select(F.col("source").alias("s"), F.array_min(F.array(*(
-        F.struct(F.abs(F.col(f"w{k}") - F.col("target")).alias("miss"), u.alias("u")) for k, u in enumerate(tried))))["u"].alias("u"))
+    offset = lambda k: (k + 0.5) / OFFSETS
+    tried = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))))
+    sums = tried.groupBy("source", "k").agg(F.first("target").alias("target"), F.sum(copies(offset(F.col("k"))) * F.col("size")).alias("words"))
+    best = sums.groupBy(F.col("source").alias("s")).agg(F.min(F.struct(F.abs(F.col("words") - F.col("target")).alias("miss"), "k"))["k"].alias("k"))
+    best = best.select("s", offset(F.col("k")).alias("u"))
     chosen = placed.join(best, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", F.least(copies(F.col("u")), F.col("n") * most))
     each = F.floor(F.col("copies") / F.col("n"))
     return chosen.select("source", "size", "n", each.alias("each"), (F.col("copies") - each * F.col("n")).alias("more"))
