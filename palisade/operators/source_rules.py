@@ -196,8 +196,11 @@ def _secret(rule_id: str) -> Column:
     # A value is called weak only where it also passes for a hard-coded secret, or is a placeholder.
     weak = placeholder | (hard_coded & text.is_weak_secret(secret_value()))
     test = sensitive_target().isNotNull() & F.col("assign.text").isNotNull() & (hard_coded if rule_id == "SECRET-001" else weak)
-    reason = F.when(placeholder, "placeholder-value").when(F.lit(rule_id == "SECRET-002"), "low-entropy").otherwise("literal")
-    return F.when(_yes(test), _struct(rule_id, at_place(), text.redact(at_text()), variable_name=sensitive_target(), reason=reason))
+    if rule_id == "SECRET-001":
+        more = {"secret_length": F.char_length(secret_value()).cast("string")}
+    else:
+        more = {"reason": F.when(placeholder, "placeholder-value").otherwise("low-entropy")}
+    return F.when(_yes(test), _struct(rule_id, at_place(), text.redact(at_text()), variable_name=sensitive_target(), **more))
 
 
 def _privilege() -> Column:
@@ -232,18 +235,21 @@ def _declares(r: Column, words, form: str) -> Column:
     return F.exists(calls, lambda c: text.contains_any(F.lower(c[form]), words))
 
 
-def _route_struct(rule_id: str, r: Column, place: Column | None = None, evidence: Column | None = None) -> Column:
+def _route_struct(rule_id: str, r: Column, place: Column | None = None, evidence: Column | None = None, **more: Column) -> Column:
     return _struct(
         rule_id,
         r["place"] if place is None else place,
         r["evidence"] if evidence is None else evidence,
-        endpoint_method=F.upper(r["verb"]), endpoint_path=_path(r),
+        endpoint_method=F.upper(r["verb"]), endpoint_path=_path(r), **more,
     )
 
 
-def _route_rule(rule_id: str, test: Callable[[Column], Column], place: Callable[[], Column] | None = None, evidence: Callable[[], Column] | None = None) -> None:
+def _route_rule(
+    rule_id: str, test: Callable[[Column], Column], place: Callable[[], Column] | None = None, evidence: Callable[[], Column] | None = None,
+    more: Callable[[Column], dict[str, Column]] | None = None,
+) -> None:
     def hit(r: Column) -> Column:
-        found = _route_struct(rule_id, r, place() if place else None, evidence() if evidence else None)
+        found = _route_struct(rule_id, r, place() if place else None, evidence() if evidence else None, **(more(r) if more else {}))
         return F.when(_yes(r["verb"].isin(*m.RULE_VERBS) & test(r)), found)
 
     register_rule(Rule(rule_id, "route", hit))
@@ -287,6 +293,12 @@ def _controlled(r: Column) -> Column:
     return text.contains_any(F.col("_fn_text"), m.ABUSE_CONTROL_WORDS) | _declares(r, m.ABUSE_CONTROL_WORDS, "text")
 
 
+def _identifiers(r: Column) -> dict[str, Column]:
+    """The path parameters that the function uses to read an object."""
+    used = F.array_intersect(text.path_parameters(_path(r)), F.col("_fn_used"))
+    return {"object_identifiers": F.array_join(F.array_sort(used), ",")}
+
+
 def is_object_route(r: Column) -> Column:
     """The route reads an object by an identifier of its path and nothing visible guards it."""
     used = F.arrays_overlap(text.path_parameters(_path(r)), F.col("_fn_used"))
@@ -311,8 +323,8 @@ _route_rule("FASTAPI-RESOURCE-001", lambda r: (r["verb"] == "get") & _collection
 _route_rule("FASTAPI-FLOW-001", lambda r: text.contains_any(_subject(r), m.SENSITIVE_FLOW_WORDS) & ~_controlled(r))
 _route_rule("FASTAPI-INVENTORY-001", lambda r: r["deprecated"] == "True")
 _route_rule("FASTAPI-AUTH-007", lambda r: text.contains_any(_subject(r), m.ADMIN_WORDS) & ~_declares(r, m.ADMIN_AUTH_WORDS, "expression"))
-_route_rule("FASTAPI-AUTH-003", lambda r: (r["verb"] == "get") & is_object_route(r))
-_route_rule("FASTAPI-AUTH-009", lambda r: F.upper(r["verb"]).isin(*m.MUTATING_VERBS) & is_object_route(r) & F.col("_fn_mutates"))
+_route_rule("FASTAPI-AUTH-003", lambda r: (r["verb"] == "get") & is_object_route(r), more=_identifiers)
+_route_rule("FASTAPI-AUTH-009", lambda r: F.upper(r["verb"]).isin(*m.MUTATING_VERBS) & is_object_route(r) & F.col("_fn_mutates"), more=_identifiers)
 
 
 def _decision_hits() -> Column:

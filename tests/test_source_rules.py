@@ -102,6 +102,18 @@ def test_of_two_decorators_the_first_names_the_finding(spark):
     assert found.rule_id == "FASTAPI-REDIRECT-001" and found.detail["endpoint_path"] == "/one"
 
 
+def test_findings_carry_their_metadata(spark):
+    source = (
+        'MAIL_API_KEY = "key-77zq-0987654321lm"\nTOKEN = "change-me"\n'
+        '@r.get("/shelves/{shelf_id}/boxes/{box_id}")\nasync def box(shelf_id: int, box_id: int, db: Session):\n    return db.get(Box, box_id, shelf_id)\n')
+    files = spark.createDataFrame([("p", "a.py", "python", source)], "project_id string, relative_path string, language string, content string")
+    detail = {r.rule_id: r.detail for r in source_rules.source_findings(facts.code_facts(files)).collect()}
+    assert detail["SECRET-001"] == {"variable_name": "MAIL_API_KEY", "secret_length": "21"}
+    assert detail["SECRET-002"]["reason"] == "placeholder-value"
+    assert detail["FASTAPI-AUTH-003"] == {
+        "endpoint_method": "GET", "endpoint_path": "/shelves/{shelf_id}/boxes/{box_id}", "object_identifiers": "box_id,shelf_id"}
+
+
 def test_a_file_not_read_to_its_end_has_no_facts():
     deep = "eval(x)\n" + "x = " + "-" * 20_000 + "1\n"
     rows = list(facts.rows_of("p", "deep.py", deep))
