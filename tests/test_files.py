@@ -153,14 +153,20 @@ def test_whole_scan_and_its_reports(spark, tmp_path):
     assert run["fastapi-authorization-security"].idor_candidates == 1 and not run["python-ast-security"].successful and run["python-ast-security"].issue_count == 1
     root = str(tmp_path / "out")
     scans.write(result, projects, spark.createDataFrame([(1, 7), (2, 8)], "project_id int, scan_id int"), root, datetime(2024, 5, 1))
-    head = spark.read.json(f"{root}/reports/json/summary").filter("project_id = 1").first()
+    stored_table = lambda name: reports.read_report(spark, f"{root}/reports", name)
+    head = stored_table("summary").filter("project_id = '1'").first()
     import json
 
     report = json.loads(head.report)
     assert report["summary"]["score"] == 66 and report["summary"]["severity_counts"]["critical"] == 2 and report["project"]["name"] == "Shop"
     assert list(report) == sorted(report)
-    parts = spark.read.parquet(f"{root}/reports/table/assessments")
-    assert parts.filter("project_id = 1 and scan_id = 7").count() == 2
+    assert report["scan"] == {"endpoint_count": 2, "error_count": 1, "files_scanned": 2, "id": 7}
+    assert report["source_analysis"]["issue_count"] == 2 and len(report["source_analysis"]["analyzers"]) == len(run)
+    parts = stored_table("assessments")
+    assert parts.filter("project_id = '1' and scan_id = 7").count() == 2 and stored_table("endpoints").count() == 2
+    assert {r.rule_id for r in stored_table("source_findings").collect()} == {"CODE-001", "FASTAPI-AUTH-003"} and stored_table("errors").count() == 1
+    reports.export_json(spark, f"{root}/reports", "summary", f"{root}/json")
+    assert spark.read.json(f"{root}/json").count() == 2
     scans_table = spark.createDataFrame([("1", 7), ("1", 9)], "project_id string, scan_id int")
     stored = parts.select(F.col("project_id").cast("string").alias("project_id"), "scan_id")
     assert {r.scan_id: r.report_available for r in reports.with_report_available(scans_table, stored).collect()} == {7: True, 9: False}
