@@ -243,8 +243,10 @@ SMALL = 16
 class Similarity:
     """Texts count as near-duplicates if their sets of shingles of ``width`` words have a Jaccard similarity of ``least``.
 
-    Candidates are texts that meet in one of ``tables`` independent fingerprints of their sets of words. At a similarity of 0.8 of five-word
-    shingles about 2 % of the words differ, and 2 bits of 40; a table finds such a pair in about three of four cases.
+    First candidates are texts that meet in one of ``tables`` independent fingerprints of their sets of words. Where single words all over a text
+    differ, a similarity of 0.8 of five-word shingles means about 2 % of the words, and 2 bits of 40; a table finds such a pair in about three of
+    four cases. Where a block is cut, added or replaced, 10 to 20 % of the words differ and most pairs do not meet: these, and all others that the
+    fingerprints miss, come from the prefixes of the shingle sets (``prefix_pairs``), which miss none.
     """
 
     width: int = 5
@@ -306,6 +308,138 @@ def shingle_sets(wanted: DataFrame, width: int) -> DataFrame:
     return wanted.select(F.encode("text", "utf-8").alias("text"), "node").mapInArrow(run, "node long, shingles array<int>").dropDuplicates(["node"])
 
 
+# --- Exact candidates: prefixes of the shingle sets. ---
+
+SAMPLED = 4_096  # documents that the order of the shingles is taken from
+FREQUENT = 1 << 19  # shingles of the sample that the order knows
+BLOCK = 1 << 17  # pairs of one batch
+CROWD = 64  # members of a bucket that is compared completely at once
+
+
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The set of shingles of a text as sorted 64-bit hashes, each from the hashes of its words."""
+    found = text.lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(found)}
+    hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    n = max(1, len(found) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(width, len(found))):
+        out = mixed(out + hashes[i : i + n], i + 1)
+    return np.unique(out)
+
+
+def frequent_shingles(documents: DataFrame, similarity: Similarity, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample share, sorted, and how many do.
+
+    They only set the order in which prefixes are taken. Any order is exact; this one keeps widespread shingles out of the prefixes.
+    """
+    every = max(1, -(-total // SAMPLED))
+    width = similarity.width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(text_of(value), width).view(np.int64) for value in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int64()))], ["shingles"])
+
+    some = documents.filter(F.pmod(F.xxhash64(text_or_empty("text")), F.lit(every)) == 0).select(F.encode("text", "utf-8").alias("text"))
+    counts = cut_lineage(some.mapInArrow(run, "shingles array<long>").select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
+        F.count(F.lit(1)).cast("int").alias("n")).filter("n > 2"))
+    least, held = 3, 0
+    for row in counts.groupBy("n").agg(F.count(F.lit(1)).alias("shingles")).orderBy(F.desc("n")).collect():
+        held += row["shingles"]
+        if held > FREQUENT:
+            least = row["n"] + 1
+            break
+    table = counts.filter(F.col("n") >= least).toArrow()
+    keys, n = table.column("shingle").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefixes(documents: DataFrame, similarity: Similarity, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``(node, size, prefix)`` of every node, once: the size of the shingle set and its first shingles, rare ones first.
+
+    Of two sets in one order, with a similarity of ``least``, the larger has at most ``size - least * size`` shingles that the other lacks, and so
+    has the smaller; one shingle more of each must hold one that both have, the first that both have among them.
+    """
+    width, least = similarity.width, similarity.least
+    shared = documents.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = shared.value
+        for batch in batches:
+            nodes, sizes, firsts = [], [], []
+            for value in batch.column(0):
+                text = text_of(value)
+                found = shingle_hashes(text, width)
+                if not len(found):
+                    continue
+                often = np.zeros(len(found), np.int32)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                    often = np.where(keys[at] == found, counts[at], 0)
+                n = len(found)
+                nodes.append(node_of(text))
+                sizes.append(n)
+                firsts.append(found[np.lexsort((found, often))[: n - int(np.ceil(least * n - 1e-9)) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["node", "size", "prefix"])
+
+    return documents.select(F.encode("text", "utf-8").alias("text")).mapInArrow(run, "node long, size int, prefix array<long>").dropDuplicates(["node"])
+
+
+def prefix_pairs(sets: DataFrame, roots: DataFrame, similarity: Similarity, whole: bool = True) -> DataFrame:
+    """``(a, b)`` of every two nodes of ``sets(node, size, prefix)`` that may be similar and are not yet connected by ``roots(node, root)``.
+
+    A bucket is compared completely, however large, in the order of sizes: a pair is left out only if its sizes, or the shingles behind the one
+    that it meets in, cannot give the similarity, or if it is connected already. Not ``whole``, a bucket of over ``CROWD`` gives a share of its pairs
+    and its members as pairs with themselves, to be compared completely once what these pairs connect is known.
+    """
+    least = similarity.least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compare(node: np.ndarray, root: np.ndarray, size: np.ndarray, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ends, found, held = np.searchsorted(size, size / least + 1e-6, "right"), [], 0
+            if (root == root[0]).all():
+                return
+            share = 0 if whole or len(node) <= CROWD else (1 << (len(node) // CROWD).bit_length()) - 1
+            if share:
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node)], ["a", "b"])
+            for i in range(len(node) - 1):
+                j = np.arange(i + 1, ends[i])
+                j = j[(root[j] != root[i]) & (np.minimum(rest[j], rest[i]) + 1 >= least / (1 + least) * (size[j] + size[i]) - 1e-6)]
+                if share:
+                    j = j[mixed((node[j] ^ node[i]).view(np.uint64), 1) & np.uint64(share) == 0]
+                found.append((np.minimum(node[j], node[i]), np.maximum(node[j], node[i])))
+                held += len(j)
+                if held > BLOCK or (held and i == len(node) - 2):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in found])) for k in (0, 1)], ["a", "b"])
+                    found, held = [], 0
+
+        pending: list[np.ndarray] = []
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            if not len(columns[0]):
+                continue
+            if pending:
+                columns = [np.concatenate(pair) for pair in zip(pending, columns)]
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(columns[0])) + 1, [len(columns[0])]))
+            # The last bucket may go on in the next batch.
+            for i in np.flatnonzero(np.diff(edges[:-1]) > 1).tolist():
+                yield from compare(*(c[edges[i] : edges[i + 1]] for c in columns[1:]))
+            pending = [c[edges[-2] :] for c in columns]
+        if pending and len(pending[0]) > 1:
+            yield from compare(*pending[1:])
+
+    marked = sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", F.posexplode("prefix").alias("at", "key"))
+    entries = marked.select("key", "node", "root", "size", (F.col("size") - 1 - F.col("at")).alias("rest"))
+    return entries.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+# --- Groups of copies and near copies. ---
+
+
 def candidate_pairs(members: np.ndarray) -> Pairs:
     """All pairs of a small bucket; of a larger one each member with the next and with the first, which connects it as well and stays linear.
 
@@ -317,6 +451,23 @@ def candidate_pairs(members: np.ndarray) -> Pairs:
     return [*to_first(members), (members[1:-1], members[2:])]
 
 
+def similar(documents: DataFrame, known: DataFrame, pairs: DataFrame, similarity: Similarity) -> DataFrame:
+    """The ``pairs(a, b)`` of nodes of ``known(node, doc)`` whose shingle sets are similar."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node", "doc"), "node").withColumnRenamed("doc", "wanted")
+    texts = documents.select("doc_id", "text").join(nodes, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text", "node")
+    sets = cut_lineage(shingle_sets(texts, similarity.width))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return cut_lineage(both.filter(shared >= similarity.least * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+
+
+def grown(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots(node, root)`` with further ``links(a, b)``."""
+    if links.isEmpty():
+        return roots
+    return cut_lineage(components(links.unionByName(roots.filter("node > root").select(F.col("root").alias("a"), F.col("node").alias("b")))))
+
+
 def duplicates(documents: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
     """``(doc_id, body)`` of every document that is a copy, or by links a near copy, of one that stays: the first of its group by id, nulls last.
 
@@ -328,12 +479,15 @@ def duplicates(documents: DataFrame, similarity: Similarity = Similarity()) -> D
     numbers = F.expr("array(" + ",".join(f"{f}L" for f in flips) + ")")
     entries = known.select(F.explode("prints").alias("print"), "node").select(F.explode(F.transform(numbers, lambda f: F.col("print").bitwiseXOR(f))).alias("key"), "node")
     pairs = cut_lineage(met(entries, candidate_pairs, lambda m: (candidate_pairs(m), m[:1])).distinct())
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node", "doc"), "node").withColumnRenamed("doc", "wanted")
-    texts = documents.select("doc_id", "text").join(nodes, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text", "node")
-    sets = cut_lineage(shingle_sets(texts, similarity.width))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    roots = components(both.filter(shared >= similarity.least * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    links = similar(documents, known, pairs, similarity)
+    roots = cut_lineage(components(links))
+    sets = cut_lineage(prefixes(documents, similarity, frequent_shingles(documents, similarity, marked.count())))
+    met_first = cut_lineage(prefix_pairs(sets, roots, similarity, whole=False))
+    roots = grown(roots, similar(documents, known, met_first.filter("a < b"), similarity))
+    crowded = met_first.filter("a = b").select(F.col("a").alias("node"))
+    if not crowded.isEmpty():
+        rest = cut_lineage(prefix_pairs(sets.join(crowded, "node", "left_semi"), roots, similarity))
+        roots = grown(roots, similar(documents, known, rest, similarity))
     members = marked.select("doc_id", "body", "node").join(roots, "node", "left").select("doc_id", "body", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "body")
     first = members.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")

@@ -181,6 +181,21 @@ def test_near_copies_go(spark, awkward, no_documents, monkeypatch, small, hot):
     assert simhash.deduplicated(no_documents).isEmpty()
 
 
+def shuffled_blocks(rng, n):
+    """Pairs of texts of similarity 0.8 or more whose differences stand in one block."""
+    new = lambda k: [f"n{rng.randrange(10**9)}" for _ in range(k)]
+    for i in range(n):
+        words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        yield words, (words[:248], words[:272], words + new(64), words[:150] + new(24) + words[174:], words[50:])[i % 5]
+
+
+def test_near_copies_of_block_edits_all_go(spark):
+    some = [(i, " ".join(w)) for i, w in enumerate(itertools.chain.from_iterable(shuffled_blocks(random.Random(7), 60)))]
+    some += [(1000, "one two"), (1001, "ONE  two"), (1002, "two one"), (1003, None), (1004, "")]
+    gone = {r.doc_id for r in simhash.duplicates(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+    assert gone == set(range(1, 120, 2)) | {1001, 1004}
+
+
 # --- Personal data. ---
 
 
