@@ -443,7 +443,8 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame, similarity: Similarity, whol
 def candidate_pairs(members: np.ndarray) -> Pairs:
     """All pairs of a small bucket; of a larger one each member with the next and with the first, which connects it as well and stays linear.
 
-    Members of a large bucket meet again, in another order, in many other buckets.
+    The other pairs of a large bucket, which mostly holds texts of one vocabulary in different orders, are left to ``prefix_pairs``: there they meet
+    by shingles, and its buckets are compared completely.
     """
     if len(members) <= SMALL:
         i, j = np.triu_indices(len(members), 1)

@@ -196,6 +196,19 @@ def test_near_copies_of_block_edits_all_go(spark):
     assert gone == set(range(1, 120, 2)) | {1001, 1004}
 
 
+def test_near_copies_among_pages_of_one_vocabulary_all_go(spark):
+    rng, some = random.Random(9), []
+    for i in range(650):
+        words = [f"w{k}" for k in range(60)]
+        rng.shuffle(words)
+        some.append((i, " ".join(words)))
+        if i < 50:
+            some.append((1000 + i, " ".join([*words[:-2], words[-1], words[-2]])))
+    rows = spark.createDataFrame(some, "doc_id long, text string")
+    assert simhash.sketched(rows, simhash.Similarity()).select("prints").distinct().count() == 1
+    assert {r.doc_id for r in simhash.duplicates(rows).collect()} == set(range(1000, 1050))
+
+
 # --- Personal data. ---
 
 
