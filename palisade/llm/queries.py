@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from palisade.llm import archives, cotraining, decontaminate, lines, mixing, pii, rules, secrets, simhash, urls
+from palisade.llm import archives, cotraining, decontaminate, lines, mixing, pii, rules, search, secrets, simhash, tokens, tries, urls
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,4 +151,73 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_CRC_STEP = "case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+_CRC_TABLE = "range(256)"
+for _ in range(8):
+    _CRC_TABLE = f"list_transform({_CRC_TABLE}, lambda c: {_CRC_STEP})"
+_CRC = "xor(list_reduce(list_transform(string_split(cast(conv_id as varchar), ''), lambda s: cast(ascii(s) as bigint)), lambda r, b: xor(r >> 8, t[(xor(r, b) & 255) + 1]), 4294967295), 4294967295)"
+TRIE_TWIN = f"""
+with crc as (select {_CRC_TABLE} as t),
+own as (
+  select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as turns
+  from conversations where conv_id is not null group by 1),
+heads as (select conv_id, turns, {_CRC} % 6 as h from own, crc),
+rebuilt as (
+  select o.conv_id, list_concat(coalesce(b.turns[1:h], []), o.turns[h + 1:]) as turns from heads o left join own b on b.conv_id = o.conv_id - o.conv_id % 100),
+prefixes as (select conv_id, d, turns[1:d] as path, len(turns) = d as ends from (select conv_id, turns, unnest(range(len(turns) + 1)) as d from rebuilt)),
+named as (select *, min(conv_id) over (partition by d, path) as node from prefixes),
+nodes as (
+  select node, d, count(*) as n_convs, coalesce(len(any_value(path)[d].text), 0) as chars,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '')) as ends_sha256
+  from named group by 1, 2),
+up as (select n.node, n.d, p.node as parent from nodes n left join named p on p.conv_id = n.node and p.d = n.d - 1),
+children as (select parent as node, d - 1 as d, count(*) as n from up where d > 0 group by 1, 2),
+subtree as (
+  select a.node, a.d, count(*) filter (coalesce(c.n, 0) = 0) as n_leaves, sum((n.n_convs - 1) * n.chars) as saved
+  from nodes n join named a on a.conv_id = n.node and a.d <= n.d left join children c on c.node = n.node and c.d = n.d group by 1, 2)
+select n.node as conv_id, n.d as depth, u.parent as parent_conv_id, n.n_convs, cast(coalesce(c.n, 0) as bigint) as n_children,
+  cast(s.n_leaves as bigint) as n_leaves, cast(s.saved as bigint) as saved_tokens, n.ends_sha256
+from nodes n join up u using (node, d) join subtree s using (node, d) left join children c using (node, d)"""
+
+
+@query(TRIE_TWIN)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations."""
+    nodes = tries.prefix_trie(tries.rebuilt(table(spark, sf_dir, "conversations")))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query()
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has more tokens than a context of 512."""
+    import public_tokenizers
+
+    vocabulary = tokens.vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    counted = table(spark, sf_dir, "documents").select("doc_id", tokens.token_counts(F.col("text"), vocabulary).alias("counts"))
+    return counted.select("doc_id", "counts.n_bytes", "counts.n_tokens", (F.col("counts.n_tokens") > 512).alias("over_limit"))
+
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SEARCH_TWIN = f"""
+with items as (select item_id, term, count(*) as times from (select item_id, unnest({_TERMS}) as term from benchmark) group by 1, 2),
+docs as (select row_number() over () as row, doc_id, {_TERMS} as w from documents),
+sizes as (select row, doc_id, len(w) as n from docs where len(w) > 0),
+held as (
+  select row, term, count(*) as tf from (select row, unnest(w) as term from docs) where term in (select term from items) group by 1, 2),
+total as (select count(*) as big_n, cast(sum(n) as bigint) as big_l from sizes),
+weights as (select term, cast(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) as bigint) as w
+  from (select term, count(*) as df from held group by 1), total),
+scored as (
+  select i.item_id, s.doc_id, cast(sum(i.times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) as bigint) as score
+  from held join items i using (term) join weights using (term) join sizes s using (row), total group by i.item_id, s.row, s.doc_id),
+ranked as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as int) as rank from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10"""
+
+
+@query(SEARCH_TWIN)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
