@@ -57,14 +57,22 @@ def line_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_LINE_END)) + tail.cast("int")
 
 
-def skip_reason(link: Column, filename: Column, size: Column, language: Column, content: Column, limit: int | None, unknown_text: bool) -> Column:
-    """First reason to leave a file out, else null."""
-    chain = F.when(link, "symbolic_link").when(filename.isin(*t.IGNORED_FILES), "ignored_filename")
+def skip_reason(
+    link: Column, filename: Column, size: Column, language: Column, content: Column, limit: int | None, unknown_text: bool, failure: Column | None = None,
+) -> Column:
+    """First reason to leave a file out, else null. ``failure`` says what the reader could not do; a file it could not read is not called binary."""
+    failure = F.lit(None) if failure is None else failure
+    chain = F.when(link, "symbolic_link").when(filename.isin(*t.IGNORED_FILES), "ignored_filename").when(failure == "stat_failed", "stat_failed")
     if limit is not None:
         chain = chain.when(size > limit, "file_too_large")
     if not unknown_text:
         chain = chain.when(language.isNull(), "unsupported_file_type")
-    return chain.when(is_binary(content), "binary_file")
+    return chain.when(is_binary(content), "binary_file").when(failure == "read_failed", "read_failed")
+
+
+def failure_of(files: DataFrame) -> Column:
+    """What the reader of the files could not do, null where it does not say."""
+    return F.col("failure") if "failure" in files.columns else F.lit(None).cast("string")
 
 
 def inventory(
@@ -80,7 +88,7 @@ def inventory(
     named = files.filter(~in_ignored_directory(path, ignored_directories)).withColumns({
         "filename": filename_of(path), "extension": extension_of(filename_of(path)), "_language": language_of(filename_of(path))})
     link = F.coalesce("symbolic_link", F.lit(False)) if "symbolic_link" in files.columns else F.lit(False)
-    reason = skip_reason(link, F.col("filename"), F.col("size_bytes"), F.col("_language"), F.col("content"), limit, unknown_text)
+    reason = skip_reason(link, F.col("filename"), F.col("size_bytes"), F.col("_language"), F.col("content"), limit, unknown_text, failure_of(files))
     judged = named.withColumn("skip_reason", reason)
     kept = F.col("skip_reason").isNull()
     language = F.when(kept, F.coalesce("_language", F.lit("Unknown Text")))
@@ -108,7 +116,7 @@ def inventory_totals(inventory: DataFrame) -> DataFrame:
 def analysis_files(
     files: DataFrame, limit: int | None = None, excluded: tuple[str, ...] = t.ANALYSIS_EXCLUDED_DIRECTORIES
 ) -> DataFrame:
-    """Files for the source analysis with a ``load_status``: loaded, skipped or error (not valid UTF-8).
+    """Files for the source analysis with a ``load_status``: loaded, skipped or error (not valid UTF-8, or not to be read).
 
     Files of other types are not part of the result, as they match none of the name patterns.
     """
@@ -118,7 +126,9 @@ def analysis_files(
     content = F.col("content")
     large = F.col("size_bytes") > limit if limit is not None else F.lit(False)
     status = (
-        F.when(in_ignored_directory(path, excluded) | large, "skipped")
+        F.when(in_ignored_directory(path, excluded), "skipped")
+        .when(failure_of(files).isNotNull(), "error")
+        .when(large, "skipped")
         .when(F.contains(F.decode(content, "ISO-8859-1"), F.lit("\x00")), "skipped")
         .when(~F.is_valid_utf8(content.cast("string")), "error")
         .otherwise("loaded")

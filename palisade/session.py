@@ -25,6 +25,8 @@ SPEED_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Filters reach the readers of source trees.
+    "spark.sql.python.filterPushdown.enabled": "true",
     # Call-site capture per column expression; the rule plan has thousands of them.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

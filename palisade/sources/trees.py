@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import stat
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from palisade.sources import walk
 from palisade.sources.bindings import table
 
 # One list of (path, content) per kind of project; the kind follows from the nation key. ``{n}`` is the customer key.
@@ -57,3 +64,68 @@ def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(
         "doc_id", F.col("lang").alias("project_id"), F.concat_ws("/", F.lit("d"), F.col("doc_id").cast("string"), path).alias("relative_path"),
         F.octet_length(content).cast("bigint").alias("size_bytes"), content.alias("content"))
+
+
+# --- Trees on a file system, written and thinned by the executors. ---
+
+
+def _each(rows: DataFrame, columns: list[str], root: str, act) -> int:
+    """``act(file system, path, values)`` for every row, and how many there were. Acts are safe to repeat."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = walk.opened(root)
+        done = 0
+        for batch in batches:
+            for project, path, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                act(system, f"{base}/{project}/{path}", values)
+                done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["done"])
+
+    return rows.select("project_id", "relative_path", *columns).mapInArrow(run, "done bigint").agg(F.coalesce(F.sum("done"), F.lit(0))).first()[0]
+
+
+def write_tree(rows: DataFrame, root: str) -> int:
+    """Write ``rows(project_id, relative_path, kind, content)`` below ``root``. ``kind`` is a file, an empty folder, a link or a socket.
+
+    Links and sockets, which readers must not follow or wait for, only exist on a file system of the machine; elsewhere they are files.
+    """
+    def act(system: fs.FileSystem, path: str, values: list) -> None:
+        kind, content = values
+        system.create_dir(path if kind == "folder" else os.path.dirname(path), recursive=True)
+        if kind == "folder":
+            return
+        if kind == "file" or not isinstance(system, fs.LocalFileSystem):
+            with system.open_output_stream(path) as handle:
+                handle.write(content or b"")
+        elif not os.path.lexists(path):
+            if kind == "link":
+                os.symlink(".", f"{path}.folder")
+                os.symlink("nowhere", path)
+            else:
+                os.mknod(path, stat.S_IFSOCK | 0o600)
+
+    return _each(rows, ["kind", "content"], root, act)
+
+
+def remove_files(rows: DataFrame, root: str) -> int:
+    """Delete the files of ``rows(project_id, relative_path)`` that are there."""
+    def act(system: fs.FileSystem, path: str, values: list) -> None:
+        if system.get_file_info(path).type != fs.FileType.NotFound:
+            system.delete_file(path)
+
+    return _each(rows, [], root, act)
+
+
+def odd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of ``document_tree``, and for some documents what a walk must survive: a file that will be gone, a socket, links, an empty folder."""
+    documents = document_tree(spark, sf_dir)
+    own = documents.select("project_id", "relative_path", F.lit("file").alias("kind"), "content")
+    key = F.col("doc_id").cast("string")
+    at = lambda name: F.concat(F.lit("d/"), key, F.lit("/"), F.lit(name))
+    rest = documents.select("project_id", F.explode(F.array(
+        F.struct((F.col("doc_id") % 7 == 0).alias("has"), at("gone.py").alias("relative_path"), F.lit("file").alias("kind"), F.lit(b"x = 1\n").alias("content")),
+        F.struct((F.col("doc_id") % 7 == 1).alias("has"), at("socket.py").alias("relative_path"), F.lit("socket").alias("kind"), F.lit(None).cast("binary").alias("content")),
+        F.struct((F.col("doc_id") % 7 == 2).alias("has"), at("link.py").alias("relative_path"), F.lit("link").alias("kind"), F.lit(None).cast("binary").alias("content")),
+        F.struct((F.col("doc_id") % 7 == 3).alias("has"), at("empty/folder").alias("relative_path"), F.lit("folder").alias("kind"), F.lit(None).cast("binary").alias("content")),
+        F.struct((F.col("doc_id") % 7 == 4).alias("has"), at("pkg/__init__.py").alias("relative_path"), F.lit("file").alias("kind"), F.lit(b"").alias("content")),
+    )).alias("f")).filter("f.has")
+    return own.unionByName(rest.select("project_id", "f.relative_path", "f.kind", "f.content"))
