@@ -109,12 +109,16 @@ def current_progress(events: DataFrame, keys: list[str]) -> DataFrame:
     """
     latest = F.max_by(F.struct("kind", "progress", "ts"), F.struct("ts", "event_id"))
     folded = events.groupBy(*keys).agg(latest.alias("_e"), F.count("*").alias("events"))
-    progress = F.floor(scoring.clamp(F.col("_e.progress"), 0, 100)).cast("int")
+    progress = clamped_progress(F.col("_e.progress"))
     return folded.select(
         *keys, F.col("_e.kind").alias("kind"), progress.alias("progress"), stage_of(progress).alias("current_stage"),
         F.col("_e.ts").alias("heartbeat_at"), "events")
 
 
+def clamped_progress(progress: Column) -> Column:
+    return F.floor(scoring.clamp(progress, 0, 100)).cast("int")
+
+
 def stage_of(progress: Column) -> Column:
     chain = None
     for name, start in reversed(STAGES):
@@ -175,6 +179,22 @@ def activity_per_hour(events: DataFrame) -> DataFrame:
         F.col("w.start").alias("window_start"), "kind", "events")
 
 
+def panes(events: DataFrame, slide: str) -> DataFrame:
+    """Events per kind in panes as long as the slide of the windows they will make up."""
+    return events.groupBy(F.window("ts", slide)["start"].alias("pane_start"), "kind").agg(F.count("*").alias("events"))
+
+
+def windows_of_panes(panes: DataFrame, length: str, slide: str) -> DataFrame:
+    """Windows that overlap, from panes: each counts in every window that covers it. Only the panes are multiplied, not the events."""
+    windows = panes.select(F.window("pane_start", length, slide)["start"].alias("window_start"), "kind", "events")
+    return windows.groupBy("window_start", "kind").agg(F.sum("events").alias("events"))
+
+
+def sliding_activity(events: DataFrame, length: str = "1 hour", slide: str = "15 minutes") -> DataFrame:
+    """Events per kind in sliding windows."""
+    return windows_of_panes(panes(events, slide), length, slide)
+
+
 def activity_sessions(events: DataFrame, key: str, gap_seconds: int = STALE_AFTER_SECONDS) -> DataFrame:
     """Sessions of activity: events closer than the gap belong together.
 

@@ -17,11 +17,11 @@ AGE = "cast(floor(cost) as bigint) % 30"
 BEAT = f"case when attempts = 1 then null else {AS_OF} - to_minutes(cast({AGE} as int)) end"
 
 
-def _now():
+def now():
     return F.to_timestamp(F.lit("2000-01-01 12:00:00"))
 
 
-def _live_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def live_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan jobs with the columns a live row has, filled from the order's own values. Completed scans have an end."""
     whole = F.floor("cost").cast("bigint")
     age = (whole % 30) * -60
@@ -32,19 +32,19 @@ def _live_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ended, "completed").otherwise("analysis").alias("current_stage"), F.lit("working").alias("status_message"),
         F.when(whole % 11 == 0, "earlier error").alias("error_message"), (whole % 120).cast("int").alias("progress"),
         F.concat(F.lit("w"), F.col("attempts").cast("string")).alias("worker_id"),
-        F.when(F.col("attempts") != 1, ops.plus_seconds(_now(), age)).alias("heartbeat_at"),
-        F.when(F.col("priority") == "1-URGENT", _now()).alias("cancel_requested_at"),
-        F.when(F.col("priority") != "5-LOW", ops.plus_seconds(_now(), later)).alias("deadline_at"),
-        ops.plus_seconds(_now(), later + 600).alias("estimated_completion_at"),
-        F.when(ended, ops.plus_seconds(_now(), age)).alias("completed_at"),
+        F.when(F.col("attempts") != 1, ops.plus_seconds(now(), age)).alias("heartbeat_at"),
+        F.when(F.col("priority") == "1-URGENT", now()).alias("cancel_requested_at"),
+        F.when(F.col("priority") != "5-LOW", ops.plus_seconds(now(), later)).alias("deadline_at"),
+        ops.plus_seconds(now(), later + 600).alias("estimated_completion_at"),
+        F.when(ended, ops.plus_seconds(now(), age)).alias("completed_at"),
         (whole % 5 == 0).alias("broke"),
     )
 
 
 def _shown(rows: DataFrame, *names: str) -> DataFrame:
-    """Times as seconds from ``_now``, so that both engines write them alike."""
+    """Times as seconds from ``now``, so that both engines write them alike."""
     times = ("heartbeat_at", "cancel_requested_at", "estimated_completion_at", "completed_at")
-    second = lambda n: (F.unix_timestamp(n) - F.unix_timestamp(_now())).alias(n)
+    second = lambda n: (F.unix_timestamp(n) - F.unix_timestamp(now())).alias(n)
     return rows.select(*(second(n) if n in times else F.col(n) for n in names))
 
 
@@ -65,7 +65,7 @@ LIVE = f"""select *, case status when 'completed' then 'completed' else 'analysi
 from (select *, stale and attempts >= 3 as spent from (select *, status = 'running' and (beat_ is null or beat_ < -900) as stale from live) s) t""", "scan_jobs", live=LIVE))
 def stale_scan_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(
-        ops.recover_stale(_live_scans(spark, sf_dir), NOW), "scan_id", "recovered", "status", "current_stage", "status_message", "error_message", "worker_id",
+        ops.recover_stale(live_scans(spark, sf_dir), NOW), "scan_id", "recovered", "status", "current_stage", "status_message", "error_message", "worker_id",
         "heartbeat_at", "estimated_completion_at", "completed_at", "project_status")
 
 
@@ -81,7 +81,7 @@ from (select *, case when status <> 'running' then 0 when priority = '1-URGENT'
   when cast(floor(cost) as bigint) % 5 = 0 then 3 else 0 end as how from live) s""", "scan_jobs", live=LIVE))
 def scan_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(
-        ops.check_control(_live_scans(spark, sf_dir), _now()), "scan_id", "status", "current_stage", "status_message", "error_message", "progress",
+        ops.check_control(live_scans(spark, sf_dir), now()), "scan_id", "status", "current_stage", "status_message", "error_message", "progress",
         "heartbeat_at", "estimated_completion_at", "completed_at", "project_status")
 
 
@@ -102,9 +102,9 @@ from (select scan_id, cast(cast(floor(cost) as bigint) % 120 as int) as p, cast(
 def scan_time_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.floor("cost").cast("bigint")
     timed = b.scan_jobs(spark, sf_dir).select(
-        "scan_id", (whole % 120).cast("int").alias("progress"), ops.plus_seconds(_now(), -(whole % 5000)).alias("started_at"))
-    eta = ops.remaining_estimate(F.col("started_at"), _now(), F.col("progress"))
-    return timed.select("scan_id", "progress", ops.seconds_remaining(eta, _now()).alias("seconds_remaining"))
+        "scan_id", (whole % 120).cast("int").alias("progress"), ops.plus_seconds(now(), -(whole % 5000)).alias("started_at"))
+    eta = ops.remaining_estimate(F.col("started_at"), now(), F.col("progress"))
+    return timed.select("scan_id", "progress", ops.seconds_remaining(eta, now()).alias("seconds_remaining"))
 
 
 @register("new_scans", "STR-6 TOP-1", twin(
@@ -114,7 +114,7 @@ def scan_time_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def new_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     uploads = b.uploads(spark, sf_dir).withColumn("file_size", F.col("file_size") * 1000)
     latest = ranking.latest_per(uploads, ["project_id"], "upload_id")
-    created = ops.new_scan(latest.select("project_id"), latest, _now())
+    created = ops.new_scan(latest.select("project_id"), latest, now())
     return created.select("project_id", "estimate_seconds", F.unix_timestamp("deadline_at").alias("deadline"))
 
 
@@ -127,7 +127,7 @@ def new_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
   case when status = 'queued' then 'ready' end as project_status from live""",
     "scan_jobs", live=LIVE))
 def cancel_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answered = ops.request_cancellation(_live_scans(spark, sf_dir), _now()).withColumn("new_status", F.col("status"))
+    answered = ops.request_cancellation(live_scans(spark, sf_dir), now()).withColumn("new_status", F.col("status"))
     return _shown(
         answered, "scan_id", "accepted", "new_status", "current_stage", "status_message", "cancel_requested_at", "completed_at", "estimated_completion_at", "project_status")
 
@@ -156,7 +156,7 @@ def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = streams.event_stream(spark, sf_dir, EVENT_SCHEMA, glob="events.parquet")
     kind = F.col("event_type")
     return raw.select(
@@ -168,7 +168,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("stream_activity_per_hour", "STR-9", twin(
     "select cast(epoch(date_trunc('hour', ts)) as bigint) as window_start, kind, cast(count(*) as bigint) as events from scan_events group by 1, 2", "scan_events"))
 def stream_activity_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = streams.run_to_end(_stream(spark, sf_dir), streams.hourly_activity, streams.run_folder(spark), "hourly")
+    done = streams.run_to_end(stream(spark, sf_dir), streams.hourly_activity, streams.run_folder(spark), "hourly")
     return done.withColumn("window_start", F.unix_timestamp("window_start"))
 
 
@@ -176,7 +176,7 @@ def stream_activity_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select project_id, epoch_us(first_ts) as session_start, epoch_us(last_ts) + 900000000 as session_end, cast(n as bigint) as events from sessions",
     "scan_events", sessions=SESSIONS))
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = streams.run_to_end(_stream(spark, sf_dir), streams.sessions, streams.run_folder(spark), "sessions")
+    done = streams.run_to_end(stream(spark, sf_dir), streams.sessions, streams.run_folder(spark), "sessions")
     return done.select("project_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "events")
 
 
@@ -189,6 +189,6 @@ from (select *, row_number() over (partition by project_id, spell order by ts, e
   where closed = 0 and kind in ('queued', 'heartbeat', 'progress')
     and (next_ts is null or epoch_us(next_ts) // 1000 - epoch_us(ts) // 1000 > 900000)) c where no <= 3""", "scan_events"))
 def stream_stale_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _stream(spark, sf_dir).withColumnRenamed("project_id", "scan_id")
+    events = stream(spark, sf_dir).withColumnRenamed("project_id", "scan_id")
     done = streams.run_to_end(events, watchdog.watch, streams.run_folder(spark), "alarms")
     return done.select("scan_id", F.unix_millis("alarm_at").alias("alarm_ms"), "attempt", "action")

@@ -55,7 +55,8 @@ def write(result: ScanResult, projects: DataFrame, scans: DataFrame, root: str,
     """Store the discovery and the reports of a scan; ``scans(project_id, scan_id)`` numbers the runs."""
     known = projects.withColumn("project_id", F.col("project_id").cast("string"))
     numbered = scans.withColumn("project_id", F.col("project_id").cast("string"))
-    reports.replace_discovery(discovery.stored_endpoints(result.endpoints), f"{root}/endpoints")
+    last = numbered.agg(F.max("scan_id")).first()[0]
+    reports.replace_discovery(discovery.stored_endpoints(result.endpoints), f"{root}/endpoints", last, known)
     analysis = reports.source_analysis(result.runs, result.source_findings, result.errors, result.endpoints)
     numbers = numbered.select("project_id", "scan_id")
     texts = result.endpoint_findings.select(

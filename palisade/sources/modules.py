@@ -79,22 +79,24 @@ def _spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
 
 
-def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scripts(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    """One script a part; ``shift`` gives every part the text of a later brand, as if the project had changed."""
     part = _spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type", "p_brand"), "p_partkey")
     brand = F.substring("p_brand", 7, 10).cast("int")
     return part.select(
         F.col("p_size").cast("string").alias("project_id"),
         F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/part_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("relative_path"),
         F.lit("python").alias("language"),
-        _filled(SCRIPTS, brand, F.col("p_partkey")).alias("content"),
+        _filled(SCRIPTS, (brand - 1 + shift) % len(SCRIPTS) + 1, F.col("p_partkey")).alias("content"),
     )
 
 
-def route_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def route_modules(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    """One module a customer; ``shift`` gives every customer the text of a later kind, as if the project had changed."""
     customer = _spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
     return customer.select(
         F.col("c_custkey").cast("string").alias("project_id"),
         F.concat(F.lit("app/api/c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("relative_path"),
         F.lit("python").alias("language"),
-        _filled(ROUTE_MODULES, F.col("c_nationkey") + 1, F.col("c_custkey")).alias("content"),
+        _filled(ROUTE_MODULES, (F.col("c_nationkey") + shift) % len(ROUTE_MODULES) + 1, F.col("c_custkey")).alias("content"),
     )

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.functions import scoring
+from palisade.sources import snapshots
 
 REPORT_VERSION = "1.0"
 FINDINGS_PER_PART = 1000
@@ -105,10 +106,11 @@ def with_report_available(scans: DataFrame, reports: DataFrame) -> DataFrame:
     return scans.join(stored, ["project_id", "scan_id"], "left").withColumn("report_available", F.coalesce("_stored", F.lit(False))).drop("_stored")
 
 
-def replace_discovery(endpoints: DataFrame, path: str) -> None:
-    """Store the discovery of the projects in ``endpoints``; what was stored for them before is replaced."""
-    endpoints.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("project_id").parquet(path)
+def replace_discovery(endpoints: DataFrame, path: str, scan_id: int | None = None, projects: DataFrame | None = None) -> int:
+    """Store the discovery of a scan as a new version; what was stored for its projects before is replaced, also for those of ``projects`` without endpoints."""
+    return snapshots.replace(endpoints, path, ["project_id"], scan_id, projects)
 
 
-def read_discovery(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_discovery(spark: SparkSession, path: str, scan_id: int | None = None) -> DataFrame:
+    """The discovery as it is now, or as it was after a scan."""
+    return snapshots.read(spark, path, scan_id)

@@ -10,9 +10,7 @@ A folder that cannot be listed, a file that is gone when it is looked at, and on
 
 from __future__ import annotations
 
-import json
 import os
-import re
 import stat
 from collections.abc import Iterator
 
@@ -21,6 +19,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palisade.session import cut_lineage, shared_folder
+from palisade.sources import commits
+from palisade.sources.commits import opened
 
 FOLDERS_PER_TASK = 64
 FILES_PER_TASK = 5000
@@ -34,14 +34,6 @@ _INDEX = pa.schema([
     ("modified_at", pa.timestamp("us", tz="UTC")), ("failure", pa.string())])
 
 
-def opened(root: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI or a plain path."""
-    if re.match(r"[a-z0-9]+:/", root):
-        system, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", root))
-        return system, path.rstrip("/")
-    return fs.LocalFileSystem(), os.path.abspath(root)
-
-
 def _shown(name: str) -> str:
     """A name that is not UTF-8 is shown with replacement characters; it cannot be opened by that name, which the walk reports."""
     return name.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
@@ -207,15 +199,7 @@ def with_endings(files: DataFrame, endings: tuple[str, ...]) -> DataFrame:
 
 def committed(log: str) -> dict[int, str]:
     """The indexes of a log by number. One that is not committed does not exist for readers."""
-    system, path = opened(f"{log}/commits")
-    if system.get_file_info(path).type != fs.FileType.Directory:
-        return {}
-    out = {}
-    for info in system.get_file_info(fs.FileSelector(path)):
-        if info.base_name.isdigit():
-            with system.open_input_stream(info.path) as handle:
-                out[int(info.base_name)] = json.loads(handle.read())["folder"]
-    return out
+    return {number: entry["folder"] for number, entry in commits.entries(log).items()}
 
 
 def discover(spark: SparkSession, root: str, log: str, endings: tuple[str, ...] = (), pruned: tuple[str, ...] = ()) -> int | None:
@@ -235,10 +219,4 @@ def discover(spark: SparkSession, root: str, log: str, endings: tuple[str, ...]
         return None
     ranges = rows.repartitionByRange(-(-count // FILES_PER_TASK), "project_id", "relative_path").sortWithinPartitions("project_id", "relative_path")
     folder = write_index(ranges, f"{log}/{shared_folder(spark, 'found').rsplit('/', 1)[1]}")
-    number = max(known, default=0) + 1
-    system, path = opened(f"{log}/commits")
-    system.create_dir(path, recursive=True)
-    with system.open_output_stream(f"{path}/.{number}.part") as handle:
-        handle.write(json.dumps({"folder": folder}).encode())
-    system.move(f"{path}/.{number}.part", f"{path}/{number}")
-    return number
+    return commits.commit(log, max(known, default=0) + 1, {"folder": folder})

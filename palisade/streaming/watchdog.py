@@ -15,7 +15,6 @@ INPUT = "scan_id bigint, event_id bigint, ts timestamp, kind string"
 INPUT_COLUMNS = ["scan_id", "event_id", "ts", "kind"]
 STATE = "open boolean, heartbeat bigint, attempts int"
 OUTPUT = "scan_id bigint, alarm_at timestamp, attempt int, action string"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _QUIET = STALE_AFTER_SECONDS * 1000
 _ALIVE = ("queued", "heartbeat", "progress")
 
@@ -102,8 +101,7 @@ def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def watch(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Alarms of a stream of ``events(scan_id, event_id, ts, kind)``. Needs the RocksDB state store."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    """Alarms of a stream of ``events(scan_id, event_id, ts, kind)``. Needs the RocksDB state store (``events.run_available`` starts with it)."""
     # The row that ends a bounded input has no ids; -1 keeps the columns whole numbers in pandas.
     whole = [F.coalesce(c, F.lit(-1)).alias(c) if c in ("scan_id", "event_id") else F.col(c) for c in INPUT_COLUMNS]
     thinned = events.select(whole).mapInPandas(thin, INPUT)
