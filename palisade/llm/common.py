@@ -2,18 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from palisade.session import cut_lineage, shared_folder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["cut_lineage", "shared_folder", "ascii_lower", "bit_at", "bit_words", "bits_literal", "covered", "let", "text_or_empty", "words"]
+__all__ = ["cut_lineage", "scratch", "shared_folder", "ascii_lower", "bit_at", "bit_words", "bits_literal", "covered", "let", "text_or_empty", "words"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Tables for the time of a block: each is written once in the shared folder, and all are deleted when the block ends or fails.
+
+    What the block returns must be stored before it ends. ``drop`` of the function deletes some earlier, when they have been read for the last time.
+    """
+    paths: dict[int, str] = {}
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = shared_folder(spark, "scratch")
+        df.write.parquet(path)
+        stored = spark.read.schema(df.schema).parquet(path)
+        paths[id(stored)] = path
+        held.append(stored)
+        return stored
+
+    def drop(*frames: DataFrame) -> None:
+        for frame in frames:
+            path = paths.pop(id(frame), None)
+            if path is not None:
+                target = spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    held: list[DataFrame] = []  # so that ids stay theirs
+    keep.drop = drop
+    try:
+        yield keep
+    finally:
+        drop(*held)
+
+
 def text_or_empty(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

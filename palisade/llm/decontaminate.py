@@ -133,16 +133,25 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
 
 
 def without_spans(text: Column, spans: Column) -> Column:
-    """``text`` without the words inside ``spans`` and what follows each of them up to the next word."""
+    """``text`` without the words inside ``spans`` and what follows each of them up to the next word.
+
+    The words hit become ranges first, and what lies between ranges is taken in slices, so that the cost follows the length of the text.
+    """
     def rebuilt(parts: Column) -> Column:
         pieces, between = parts["pieces"], parts["between"]
-        lead = (F.get(pieces, F.lit(0)) == "").cast("int")  # the text starts with something else than a word
+        lead = (F.get(pieces, F.lit(0)) == "").cast("long")  # the text starts with something else than a word
+        units = F.transform(pieces, lambda word, i: F.concat(word, F.coalesce(F.get(between, i), F.lit(""))))
+        places = F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
 
-        def piece(word: Column, i: Column) -> Column:
-            cut = F.exists(spans, lambda s: (i - lead >= s["start"]) & (i - lead < s["start"] + s["length"]))
-            return F.when(cut & (word != ""), F.lit("")).otherwise(F.concat(word, F.coalesce(F.get(between, i), F.lit(""))))
+        def kept(hit: Column) -> Column:
+            before = F.filter(hit, lambda p, i: (i == 0) | (F.get(hit, i - 1) != p - 1))
+            after = F.transform(F.filter(hit, lambda p, i: (i == F.size(hit) - 1) | (F.get(hit, i + 1) != p + 1)), lambda p: p + 1)
+            ends = F.concat(F.transform(before, lambda p: p + lead), F.array(F.size(pieces).cast("long")))
+            starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(after, lambda p: p + lead))
+            gaps = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n"))), lambda g: g["n"] > 0)
+            return let(units, lambda unit: F.array_join(F.transform(gaps, lambda g: F.array_join(F.slice(unit, (g["a"] + 1).cast("int"), g["n"].cast("int")), "")), ""))
 
-        return F.array_join(F.transform(pieces, piece), "")
+        return let(places, kept)
 
     pieces = F.split(text, CASED_BETWEEN, -1)
     return let(F.struct(pieces.alias("pieces"), F.regexp_extract_all(text, F.lit(CASED_BETWEEN), F.lit(0)).alias("between")), rebuilt)
@@ -152,12 +161,19 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, drop_share: float
     """``documents`` without benchmark passages.
 
     Hit words are cut out of the text; a document of whose words at least ``drop_share`` are hit is dropped. Clean documents are
-    returned unchanged. ``n_chars`` follows the text where the column exists.
+    returned unchanged. ``n_chars`` follows the text where the column exists. A document is found again by its id and the hash of its text, so
+    only what was found in it is stored and moved.
     """
     columns = documents.columns
-    found = occurrences(documents, benchmark, F.struct(*(F.col(f"`{c}`") for c in columns)), width).withColumn("n_hit", covered(F.col("spans")))
-    kept = found.filter((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words") * drop_share))
-    text = F.when(F.col("n_hit") > 0, without_spans(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
-    kept = kept.select("row", text.alias("cut"))
-    new = {"text": F.col("cut"), "n_chars": F.when(F.col("cut") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.length("cut").cast("long"))} if "n_chars" in columns else {"text": F.col("cut")}
+    key = F.struct(F.col("doc_id"), F.xxhash64(text_or_empty("text")).alias("body"))
+    found = occurrences(documents.select("doc_id", "text"), benchmark, key, width).filter(F.size("spans") > 0)
+    hits = cut_lineage(found.select(F.col("row.doc_id").alias("hit_id"), F.col("row.body").alias("hit_body"), "n_words", "spans").dropDuplicates(["hit_id", "hit_body"]))
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64(text_or_empty(F.col("row.text"))) == F.col("hit_body"))
+    n_hit = F.coalesce(covered(F.col("spans")), F.lit(0))
+    kept = rows.join(hits, same, "left").withColumn("n_hit", n_hit).filter((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words") * drop_share))
+    kept = kept.select("row", F.when(F.col("n_hit") > 0, without_spans(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text")).alias("cut"))
+    new = {"text": F.col("cut")}
+    if "n_chars" in columns:
+        new["n_chars"] = F.when(F.col("cut").eqNullSafe(F.col("row.text")), F.col("row.n_chars")).otherwise(F.length("cut").cast("long"))
     return kept.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns))

@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from palisade.llm.common import cut_lineage, text_or_empty
+from palisade.llm.common import cut_lineage, scratch, text_or_empty
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,12 +114,20 @@ Pairs = list[tuple[np.ndarray, np.ndarray]]
 
 
 def within(radius: int) -> Callable[[np.ndarray], Pairs]:
-    """Links between the fingerprints of a bucket that differ in at most ``radius`` bits."""
+    """Links that connect the fingerprints of a bucket as those that differ in at most ``radius`` bits do: each but the first of a part with that first."""
     def links(fps: np.ndarray) -> Pairs:
-        out = []
-        for i in range(len(fps) - 1):
-            near = np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius
-            out.append((np.full(int(near.sum()), fps[i]), fps[i + 1 :][near]))
+        out, left = [], fps
+        while len(left) > 1:
+            # Everything that can be reached from the first of what is left; each fingerprint is compared with the rest once.
+            first, front, left, reached = left[0], [left[0]], left[1:], []
+            while front and len(left):
+                # Without a sign: the bits of a negative number would be those of its absolute value.
+                near = np.bitwise_count((left ^ front.pop()).view(np.uint64)) <= radius
+                reached.append(left[near])
+                front += reached[-1].tolist()
+                left = left[~near]
+            members = np.concatenate(reached) if reached else left[:0]
+            out.append((np.full(len(members), first), members))
         return out
 
     return links
@@ -197,7 +205,10 @@ def linked(fps: DataFrame, scheme: Scheme) -> DataFrame:
 # --- Components. ---
 
 
-def components(links: DataFrame) -> DataFrame:
+Store = Callable[[DataFrame], DataFrame]
+
+
+def components(links: DataFrame, store: Store = cut_lineage) -> DataFrame:
     """``(node, root)`` for every node of ``links(a, b)``; ``root`` is the smallest node that it is connected to.
 
     Each round links the larger neighbours of every node to its smallest one, then every node's smaller ones to the smallest (large star, small
@@ -214,13 +225,16 @@ def components(links: DataFrame) -> DataFrame:
         return joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own).distinct()
 
     digest = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    pairs = cut_lineage(links.select("a", "b"))
-    before = None
-    while (now := digest(pairs)) != before:
-        before = now
-        pairs = cut_lineage(star(star(pairs, True), False))
-    return pairs.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").unionByName(
-        pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    with scratch(links.sparkSession) as keep:
+        pairs = keep(links.select("a", "b"))
+        before = None
+        while (now := digest(pairs)) != before:
+            before, old = now, pairs
+            half = keep(star(old, True))
+            pairs = keep(star(half, False))
+            keep.drop(old, half)
+        return store(pairs.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").unionByName(
+            pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
 
 
 def clusters(documents: DataFrame, width: int = 4, scheme: Scheme = Scheme(parts=3, keep=2)) -> DataFrame:
@@ -245,13 +259,13 @@ class Similarity:
 
     First candidates are texts that meet in one of ``tables`` independent fingerprints of their sets of words. Where single words all over a text
     differ, a similarity of 0.8 of five-word shingles means about 2 % of the words, and 2 bits of 40; a table finds such a pair in about three of
-    four cases. Where a block is cut, added or replaced, 10 to 20 % of the words differ and most pairs do not meet: these, and all others that the
-    fingerprints miss, come from the prefixes of the shingle sets (``prefix_pairs``), which miss none.
+    four cases. What this pass connects the second one need not compare; all that it misses, block edits above all, comes from the prefixes of
+    the shingle sets (``prefix_pairs``), which miss none.
     """
 
     width: int = 5
     least: float = 0.8
-    tables: int = 4
+    tables: int = 1
     scheme: Scheme = Scheme(bits=40, radius=2)
 
 
@@ -310,10 +324,13 @@ def shingle_sets(wanted: DataFrame, width: int) -> DataFrame:
 
 # --- Exact candidates: prefixes of the shingle sets. ---
 
-SAMPLED = 4_096  # documents that the order of the shingles is taken from
-FREQUENT = 1 << 19  # shingles of the sample that the order knows
+COUNTERS = 1 << 20  # counters that all shingles of the corpus share
+COUNTER_BLOCK = 1 << 14
+HELD = 1 << 20  # shingles that a task counts at once
 BLOCK = 1 << 17  # pairs of one batch
-CROWD = 64  # members of a bucket that is compared completely at once
+CROWD = 8  # members of a bucket that is compared completely at once
+MAP_BITS = 1024  # bits of the map of a set
+ROUNDS = 3  # rounds in which larger buckets give a few pairs a member, before they are compared completely
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -330,111 +347,188 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def frequent_shingles(documents: DataFrame, similarity: Similarity, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of a sample share, sorted, and how many do.
+def shingle_counts(documents: DataFrame, width: int) -> np.ndarray:
+    """In how many documents the shingles of each counter stand, over the whole corpus.
 
-    They only set the order in which prefixes are taken. Any order is exact; this one keeps widespread shingles out of the prefixes.
+    A shingle counts in one of ``COUNTERS`` counters, whose number does not grow with the corpus. They only set the order in which prefixes are taken.
+    Any order is exact; this one keeps every shingle that is much more frequent than the mean of a counter out of the prefixes.
     """
-    every = max(1, -(-total // SAMPLED))
-    width = similarity.width
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters, held, size = np.zeros(COUNTERS, np.int64), [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> None:
+            if held:
+                np.add(counters, np.bincount(np.concatenate(held), minlength=COUNTERS), out=counters)
+                held.clear()
+
+        for batch in batches:
+            for value in batch.column(0):
+                held.append((shingle_hashes(text_of(value), width) & np.uint64(COUNTERS - 1)).astype(np.int64))
+                size += len(held[-1])
+                if size > HELD:
+                    close()
+                    size = 0
+        close()
+        yield blocks(dict(enumerate(counters.reshape(-1, COUNTER_BLOCK))))
+
+    def blocks(counted: dict[int, np.ndarray]) -> pa.RecordBatch:
+        some = [b for b in counted if counted[b].any()]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([counted[b].tobytes() for b in some], pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            sets = [shingle_hashes(text_of(value), width).view(np.int64) for value in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int64()))], ["shingles"])
-
-    some = documents.filter(F.pmod(F.xxhash64(text_or_empty("text")), F.lit(every)) == 0).select(F.encode("text", "utf-8").alias("text"))
-    counts = cut_lineage(some.mapInArrow(run, "shingles array<long>").select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
-        F.count(F.lit(1)).cast("int").alias("n")).filter("n > 2"))
-    least, held = 3, 0
-    for row in counts.groupBy("n").agg(F.count(F.lit(1)).alias("shingles")).orderBy(F.desc("n")).collect():
-        held += row["shingles"]
-        if held > FREQUENT:
-            least = row["n"] + 1
-            break
-    table = counts.filter(F.col("n") >= least).toArrow()
-    keys, n = table.column("shingle").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
-
-
-def prefixes(documents: DataFrame, similarity: Similarity, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(node, size, prefix)`` of every node, once: the size of the shingle set and its first shingles, rare ones first.
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(counts.as_buffer(), np.int64)
+                total[block] = total[block] + own if block in total else own
+        yield blocks(total)
+
+    schema = "block int, counts binary"
+    parts = documents.select(F.encode("text", "utf-8").alias("text")).mapInArrow(count, schema)
+    out = np.zeros((COUNTERS // COUNTER_BLOCK, COUNTER_BLOCK), np.int64)
+    for row in parts.repartition("block").mapInArrow(add, schema).collect():
+        out[row["block"]] = np.frombuffer(bytes(row["counts"]), np.int64)
+    return out.reshape(-1)
+
+
+def prefixes(documents: DataFrame, similarity: Similarity, counters: np.ndarray) -> DataFrame:
+    """``(node, size, prefix, bits)`` of every node, once: the size of the shingle set, its first shingles, rare ones first, and its map.
+
+    A bit of the map is set if an odd number of shingles fall on it, so two maps differ in no more bits than their sets do in shingles.
 
     Of two sets in one order, with a similarity of ``least``, the larger has at most ``size - least * size`` shingles that the other lacks, and so
     has the smaller; one shingle more of each must hold one that both have, the first that both have among them.
     """
     width, least = similarity.width, similarity.least
-    shared = documents.sparkSession.sparkContext.broadcast(frequent)
+    shared = documents.sparkSession.sparkContext.broadcast(np.minimum(counters, np.iinfo(np.int32).max).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shared.value
+        often = shared.value
         for batch in batches:
-            nodes, sizes, firsts = [], [], []
+            nodes, sizes, firsts, maps = [], [], [], []
             for value in batch.column(0):
                 text = text_of(value)
                 found = shingle_hashes(text, width)
                 if not len(found):
                     continue
-                often = np.zeros(len(found), np.int32)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                    often = np.where(keys[at] == found, counts[at], 0)
                 n = len(found)
+                keep = n - int(np.ceil(least * n - 1e-9)) + 1
+                counts = often[(found & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 nodes.append(node_of(text))
                 sizes.append(n)
-                firsts.append(found[np.lexsort((found, often))[: n - int(np.ceil(least * n - 1e-9)) + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["node", "size", "prefix"])
+                firsts.append(found[np.lexsort((found, counts))[:keep]].view(np.int64))
+                odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1
+                maps.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(maps, pa.binary())], ["node", "size", "prefix", "bits"])
+
+    return documents.select(F.encode("text", "utf-8").alias("text")).mapInArrow(run, "node long, size int, prefix array<long>, bits binary").dropDuplicates(["node"])
 
-    return documents.select(F.encode("text", "utf-8").alias("text")).mapInArrow(run, "node long, size int, prefix array<long>").dropDuplicates(["node"])
 
+def few(root: np.ndarray, fits: Callable[[int, np.ndarray], np.ndarray], ends: np.ndarray, open_: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a large bucket at most two partners a member: the next and the first one that may be similar and is not connected to it yet.
 
-def prefix_pairs(sets: DataFrame, roots: DataFrame, similarity: Similarity, whole: bool = True) -> DataFrame:
-    """``(a, b)`` of every two nodes of ``sets(node, size, prefix)`` that may be similar and are not yet connected by ``roots(node, root)``.
+    ``open_`` is set for every member that has such a partner.
+    """
+    head: dict[int, int] = {}
+    for i in range(len(root) - 1):
+        j = np.arange(i + 1, ends[i])
+        j = j[root[j] != root[i]]
+        j = j[fits(i, j)]
+        if not len(j):
+            continue
+        open_[i] = open_[j] = True
+        found = int(j[0])
+        yield i, j[:1]
+        # Members that follow each other have the same first one, the one that began the run.
+        head[found] = head.get(i, i)
+        first = np.array([head[found]])
+        if first[0] != i and root[first[0]] != root[found] and ends[first[0]] > found and fits(found, first)[0]:
+            yield found, first
+
+
+FOUND = "a long, b long, key long, shape long"
+
+
+def prefix_entries(sets: DataFrame) -> DataFrame:
+    """``(key, node, shape)``: a row for each shingle of a prefix; ``shape`` is the size of the set and, below it, how many shingles follow."""
+    shape = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR((F.col("size") - 1 - F.col("at")).cast("long")).alias("shape")
+    return sets.select("node", "size", F.posexplode("prefix").alias("at", "key")).select("key", "node", shape)
+
+
+def banded(entries: DataFrame, similarity: Similarity) -> DataFrame:
+    """Buckets cut into bands of size; sets that can be similar are in one band or in neighbours, and each goes to its own and to the next."""
+    band = F.floor(F.log(F.shiftright("shape", 32).cast("double")) / float(np.log(1 / similarity.least)) + 1e-9)
+    return entries.select(F.explode(F.array(band, band + 1)).alias("band"), "*").select(F.xxhash64("key", "band").alias("key"), "node", "shape")
 
-    A bucket is compared completely, however large, in the order of sizes: a pair is left out only if its sizes, or the shingles behind the one
-    that it meets in, cannot give the similarity, or if it is connected already. Not ``whole``, a bucket of over ``CROWD`` gives a share of its pairs
-    and its members as pairs with themselves, to be compared completely once what these pairs connect is known.
+
+def prefix_pairs(entries: DataFrame, roots: DataFrame, similarity: Similarity, whole: bool = True, maps: DataFrame | None = None) -> DataFrame:
+    """``FOUND``: ``(a, b)`` of nodes of ``entries`` that may be similar and are not yet connected by ``roots(node, root)``.
+
+    A pair is left out only if its sizes, or the shingles behind the one that it meets in, or its ``maps(node, bits)``, cannot give the similarity, or if it
+    is connected already. A bucket is compared completely, in the order of sizes. Not ``whole``, one of over ``CROWD`` members gives a few pairs a
+    member instead (``few``), and the entries that have such a pair, with their key, to be looked at again once what these pairs connect is known.
     """
-    least = similarity.least
+    least, mapped = similarity.least, maps is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compare(node: np.ndarray, root: np.ndarray, size: np.ndarray, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
-            ends, found, held = np.searchsorted(size, size / least + 1e-6, "right"), [], 0
+        def compare(key: np.ndarray, node: np.ndarray, root: np.ndarray, shape: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+            root = np.where(root == 0, node, root)
             if (root == root[0]).all():
                 return
-            share = 0 if whole or len(node) <= CROWD else (1 << (len(node) // CROWD).bit_length()) - 1
-            if share:
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node)], ["a", "b"])
-            for i in range(len(node) - 1):
-                j = np.arange(i + 1, ends[i])
-                j = j[(root[j] != root[i]) & (np.minimum(rest[j], rest[i]) + 1 >= least / (1 + least) * (size[j] + size[i]) - 1e-6)]
-                if share:
-                    j = j[mixed((node[j] ^ node[i]).view(np.uint64), 1) & np.uint64(share) == 0]
+            size, rest = shape >> 32, shape & 0xFFFFFFFF
+            ends, found, held = np.searchsorted(size, size / least + 1e-6, "right"), [], 0
+
+            def fits(i: int, j: np.ndarray) -> np.ndarray:
+                both = size[j] + size[i]
+                needed = least / (1 + least) * both - 1e-6
+                good = np.minimum(rest[j], rest[i]) + 1 >= needed
+                if mapped and good.any():
+                    # Bits that differ are shingles that only one of the two has, at least one for each.
+                    good[good] = np.bitwise_count(bits[j[good]] ^ bits[i]).sum(axis=1) <= both[good] - 2 * needed[good]
+                return good
+
+            large = not whole and len(node) > CROWD
+            open_ = np.zeros(len(node), bool)
+            every = lambda: ((i, j[fits(i, j)]) for i in range(len(node) - 1) for j in (np.arange(i + 1, ends[i]),) for j in (j[root[j] != root[i]],))
+            for i, j in few(root, fits, ends, open_) if large else every():
                 found.append((np.minimum(node[j], node[i]), np.maximum(node[j], node[i])))
                 held += len(j)
-                if held > BLOCK or (held and i == len(node) - 2):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in found])) for k in (0, 1)], ["a", "b"])
+                if held > BLOCK:
+                    yield packed(found)
                     found, held = [], 0
+            if held:
+                yield packed(found)
+            if open_.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[open_]) for c in (node, node, key, shape)], ["a", "b", "key", "shape"])
+
+        def packed(found: Pairs) -> pa.RecordBatch:
+            a, b = (np.concatenate([p[k] for p in found]) for k in (0, 1))
+            none = pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], ["a", "b", "key", "shape"])
 
         pending: list[np.ndarray] = []
         for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
+            columns = [c.to_numpy() for c in batch.columns[:4]]
             if not len(columns[0]):
                 continue
+            columns.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, MAP_BITS // 64) if mapped else columns[0])
             if pending:
                 columns = [np.concatenate(pair) for pair in zip(pending, columns)]
             edges = np.concatenate(([0], np.flatnonzero(np.diff(columns[0])) + 1, [len(columns[0])]))
             # The last bucket may go on in the next batch.
             for i in np.flatnonzero(np.diff(edges[:-1]) > 1).tolist():
-                yield from compare(*(c[edges[i] : edges[i + 1]] for c in columns[1:]))
+                yield from compare(*(c[edges[i] : edges[i + 1]] for c in columns))
             pending = [c[edges[-2] :] for c in columns]
         if pending and len(pending[0]) > 1:
-            yield from compare(*pending[1:])
+            yield from compare(*pending)
 
-    marked = sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", F.posexplode("prefix").alias("at", "key"))
-    entries = marked.select("key", "node", "root", "size", (F.col("size") - 1 - F.col("at")).alias("rest"))
-    return entries.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(run, "a long, b long").distinct()
+    # Rows are as narrow as they can be: no root for a node that is its own, and maps only where there are few rows.
+    known = entries.join(roots.filter("node <> root"), "node", "left")
+    if mapped:
+        known = known.join(maps, "node")
+    rows = known.select("key", "node", F.coalesce("root", F.lit(0)).alias("root"), "shape", *(["bits"] if mapped else []))
+    return rows.repartition("key").sortWithinPartitions("key", "shape", "node").mapInArrow(run, FOUND).distinct()
 
 
 # --- Groups of copies and near copies. ---
@@ -443,8 +537,8 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame, similarity: Similarity, whol
 def candidate_pairs(members: np.ndarray) -> Pairs:
     """All pairs of a small bucket; of a larger one each member with the next and with the first, which connects it as well and stays linear.
 
-    The other pairs of a large bucket, which mostly holds texts of one vocabulary in different orders, are left to ``prefix_pairs``: there they meet
-    by shingles, and its buckets are compared completely.
+    The other pairs of a large bucket, which mostly holds texts of one vocabulary in different orders, are left to ``prefix_pairs``, where they meet
+    by shingles.
     """
     if len(members) <= SMALL:
         i, j = np.triu_indices(len(members), 1)
@@ -452,52 +546,58 @@ def candidate_pairs(members: np.ndarray) -> Pairs:
     return [*to_first(members), (members[1:-1], members[2:])]
 
 
-def similar(documents: DataFrame, known: DataFrame, pairs: DataFrame, similarity: Similarity) -> DataFrame:
-    """The ``pairs(a, b)`` of nodes of ``known(node, doc)`` whose shingle sets are similar."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node", "doc"), "node").withColumnRenamed("doc", "wanted")
-    texts = documents.select("doc_id", "text").join(nodes, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text", "node")
-    sets = cut_lineage(shingle_sets(texts, similarity.width))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return cut_lineage(both.filter(shared >= similarity.least * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+def similar(documents: DataFrame, known: DataFrame, pairs: DataFrame, similarity: Similarity, store: Store = cut_lineage) -> DataFrame:
+    """The ``pairs(a, b)`` of nodes of ``known(node, doc)`` whose shingle sets are similar, stored."""
+    with scratch(documents.sparkSession) as keep:
+        nodes = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(known.select("node", "doc"), "node").withColumnRenamed("doc", "wanted")
+        texts = documents.select("doc_id", "text").join(nodes, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text", "node")
+        sets = keep(shingle_sets(texts, similarity.width))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return store(both.filter(shared >= similarity.least * (F.size("x") + F.size("y") - shared)).select("a", "b"))
 
 
-def grown(roots: DataFrame, links: DataFrame) -> DataFrame:
+def grown(roots: DataFrame, links: DataFrame, store: Store = cut_lineage) -> DataFrame:
     """``roots(node, root)`` with further ``links(a, b)``."""
-    if links.isEmpty():
-        return roots
-    return cut_lineage(components(links.unionByName(roots.filter("node > root").select(F.col("root").alias("a"), F.col("node").alias("b")))))
+    return components(links.unionByName(roots.filter("node > root").select(F.col("root").alias("a"), F.col("node").alias("b"))), store)
 
 
 def duplicates(documents: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
-    """``(doc_id, body)`` of every document that is a copy, or by links a near copy, of one that stays: the first of its group by id, nulls last.
+    """``(doc_id, body)`` of every document that is a copy, or by links a near copy, of one that stays: the first of its group by id, nulls last. Stored.
 
     ``body`` is the hash of the text. Rows of the same id and text stay or go together; texts without words are copies of each other.
     """
-    marked = cut_lineage(sketched(documents, similarity))
-    known = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("prints").alias("prints")))
-    (_, flips), = similarity.scheme.masks()
-    numbers = F.expr("array(" + ",".join(f"{f}L" for f in flips) + ")")
-    entries = known.select(F.explode("prints").alias("print"), "node").select(F.explode(F.transform(numbers, lambda f: F.col("print").bitwiseXOR(f))).alias("key"), "node")
-    pairs = cut_lineage(met(entries, candidate_pairs, lambda m: (candidate_pairs(m), m[:1])).distinct())
-    links = similar(documents, known, pairs, similarity)
-    roots = cut_lineage(components(links))
-    sets = cut_lineage(prefixes(documents, similarity, frequent_shingles(documents, similarity, marked.count())))
-    met_first = cut_lineage(prefix_pairs(sets, roots, similarity, whole=False))
-    roots = grown(roots, similar(documents, known, met_first.filter("a < b"), similarity))
-    crowded = met_first.filter("a = b").select(F.col("a").alias("node"))
-    if not crowded.isEmpty():
-        rest = cut_lineage(prefix_pairs(sets.join(crowded, "node", "left_semi"), roots, similarity))
-        roots = grown(roots, similar(documents, known, rest, similarity))
-    members = marked.select("doc_id", "body", "node").join(roots, "node", "left").select("doc_id", "body", F.coalesce("root", "node").alias("root"))
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "body")
-    first = members.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return members.join(first, "root").filter(order > F.col("first")).select("doc_id", "body").distinct()
+    with scratch(documents.sparkSession) as keep:
+        marked = keep(sketched(documents, similarity))
+        known = keep(marked.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("prints").alias("prints")))
+        (_, flips), = similarity.scheme.masks()
+        numbers = F.expr("array(" + ",".join(f"{f}L" for f in flips) + ")")
+        entries = known.select(F.explode("prints").alias("print"), "node").select(F.explode(F.transform(numbers, lambda f: F.col("print").bitwiseXOR(f))).alias("key"), "node")
+        pairs = keep(met(entries, candidate_pairs, lambda m: (candidate_pairs(m), m[:1])).distinct())
+        roots = components(similar(documents, known, pairs, similarity, keep), keep)
+        keep.drop(pairs)
+        sets = keep(prefixes(documents, similarity, shingle_counts(documents, similarity.width)))
+        entries, maps = prefix_entries(sets), None
+        for turn in range(ROUNDS + 1):
+            pairs = keep(prefix_pairs(entries, roots, similarity, turn == ROUNDS, maps))
+            met_now = pairs.filter("a < b").select("a", "b")
+            if not met_now.isEmpty():
+                roots = grown(roots, similar(documents, known, met_now, similarity, keep), keep)
+            # What is left open in large buckets is looked at again, in bands of size and with the maps of its sets.
+            entries = pairs.filter("a = b").select("key", F.col("a").alias("node"), "shape")
+            if entries.isEmpty():
+                break
+            if not turn:
+                entries, maps = banded(entries, similarity), sets.select("node", "bits")
+        members = marked.select("doc_id", "body", "node").join(roots, "node", "left").select("doc_id", "body", F.coalesce("root", "node").alias("root"))
+        order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "body")
+        first = members.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        return cut_lineage(members.join(first, "root").filter(order > F.col("first")).select("doc_id", "body").distinct())
 
 
 def deduplicated(documents: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
     """``documents`` with one document of each group of copies and near copies."""
-    gone = cut_lineage(duplicates(documents, similarity)).withColumnsRenamed({"doc_id": "gone_id", "body": "gone_body"})
+    gone = duplicates(documents, similarity).withColumnsRenamed({"doc_id": "gone_id", "body": "gone_body"})
     rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
     same = F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_or_empty(F.col("row.text"))) == F.col("gone_body"))
     return rows.join(gone, same, "left_anti").select("row.*")

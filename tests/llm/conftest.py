@@ -2,7 +2,8 @@ import pytest
 
 COLUMNS = (
     "doc_id long, text string, lang string, source string, n_chars long, row string, body string, size long, key string, hash string, node string, "
-    "spans string, words string, copies long, n long, rid long, target double, found string, scores string, new string, s string, z long"
+    "spans string, words string, copies long, n long, rid long, target double, found string, scores string, new string, s string, z long, "
+    "copy string, hit_id string, plan_id string, place string"
 )
 PROSE = "\n".join(f"line {i} of a plain text that says nothing of note {i * i}" for i in range(12))
 LONG = "word" * 20_000 + " " + "7" * 30_000 + "@" + "f" * 30_000 + " " + " ".join(f"w{i}" for i in range(4_000)) + "\n" * 500 + "é😀" * 2_000
@@ -20,7 +21,7 @@ def texts() -> list[tuple]:
 @pytest.fixture(scope="session")
 def awkward(spark):
     """A table with the columns of documents, further columns whose names operators might use themselves, and awkward rows."""
-    extra = ("x", "x", 1, "x", "x", "x", "x", "x", 1, 1, 1, 1.0, "x", "x", "x", "x", 1)
+    extra = ("x", "x", 1, "x", "x", "x", "x", "x", 1, 1, 1, 1.0, "x", "x", "x", "x", 1, "c", "x", "x", "x")
     return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), *extra) for r in texts()], COLUMNS).cache()
 
 

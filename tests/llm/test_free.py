@@ -144,6 +144,30 @@ def test_clusters_equal_brute_force(spark, awkward, no_documents):
     assert simhash.clusters(awkward).count() == len(texts()) and simhash.clusters(no_documents).isEmpty()
 
 
+def test_a_bucket_gives_links_that_span_and_no_more():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        fps = np.unique(np.concatenate([int(c) ^ (np.int64(1) << rng.integers(0, 64, 30)) for c in rng.integers(-(2**63), 2**63, 4)] + [np.array([-(2**63), 1, -1, 0])]))
+        found = [(int(x), int(y)) for a, b in simhash.within(4)(fps) for x, y in zip(a, b)]
+        expected = components(fps.tolist(), lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 4)
+        assert sorted((r, n) for n, r in expected.items() if r != n) == sorted(found)
+
+
+def test_prefix_rounds_leave_no_pair_out(spark, monkeypatch):
+    """Texts of few words near the threshold, so that buckets are crowded and most candidates fail."""
+    monkeypatch.setattr(simhash, "CROWD", 3)
+    rng, some = random.Random(12), []
+    for i in range(220):
+        words = [f"w{k}" for k in range(60 + rng.randrange(8))]
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(40)}"
+        some.append((i, " ".join(words)))
+    sets = {d: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for d, t in some}
+    roots = components(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    gone = {r.doc_id for r in simhash.duplicates(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+    assert gone == {d for d, r in roots.items() if d != r}
+
+
 @pytest.mark.parametrize("hot", [512, 3])
 def test_schemes_find_the_same_components(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT", hot)  # 3: most buckets of parts go through the whole ball

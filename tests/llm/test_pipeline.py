@@ -7,7 +7,7 @@ from types import SimpleNamespace
 
 import corpus_pipeline
 import pytest
-from palisade.llm import decontaminate
+from palisade.llm import decontaminate, mixing
 from palisade.llm.common import cut_lineage
 from palisade.llm.queries import QUERIES, TWINS
 from pyspark.sql import functions as F
@@ -116,13 +116,55 @@ def test_awkward_rows_and_no_rows(spark, awkward, no_documents, labels, benchmar
         docs = start
         for name, stage in corpus_pipeline.STAGES:
             docs = cut_lineage(stage(spark, docs, str(tmp_path)))
-            assert docs.columns == awkward.columns + (["copy"] if name == "mixing" else [])
+            assert docs.columns == awkward.columns + (["copy_"] if name == "mixing" else [])
         assert docs.count() <= 2 * len(texts())
         if start is no_documents:
             assert docs.isEmpty()
     assert docs.isEmpty()
 
 
+def test_decontamination_returns_clean_rows_as_they_are(spark, awkward, benchmark):
+    """Row by row, null texts and a column named like one of the operator's own included."""
+    key = lambda r: (r.doc_id, r.text, r.lang, r.source)
+    after = {key(r): r for r in decontaminate.decontaminated(awkward.fillna(7, ["n_chars"]), benchmark).collect()}
+    before = {key(r): r for r in awkward.fillna(7, ["n_chars"]).collect()}
+    clean = {k for k, r in before.items() if not re.search("nothing of note", r.text or "") and (r.text or "") != "one"}
+    assert {k for k in after if k in before} == clean and all(after[k] == before[k] for k in clean)
+    assert after[(1, None, "en", "a")].n_chars == 7
+    cut = [r for k, r in after.items() if k not in before]
+    assert cut and all(r.n_chars == len(r.text) and "line 3 of" not in r.text for r in cut)
+
+
+def test_words_in_spans_are_cut_in_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        text = " ".join(f"w{i}" for i in range(n)) + "."
+        spans = [(i, 2) for i in range(0, n - 2, 3)]
+        rows = spark.createDataFrame([(text, spans)], "text string, spans array<struct<start:bigint,length:bigint>>")
+        begin = time.perf_counter()
+        (found,) = rows.select(decontaminate.without_spans(F.col("text"), F.col("spans"))).first()
+        hit = {i for a, k in spans for i in range(a, a + k)}
+        assert found == "".join(f"w{i}" + (" " if i < n - 1 else ".") for i in range(n) if i not in hit)
+        return time.perf_counter() - begin
+
+    seconds(3000)
+    assert seconds(60_000) < 20
+
+
+@pytest.mark.parametrize("spans, left", [([], "(a b-c d)e"), ([(0, 1)], "(b-c d)e"), ([(4, 1)], "(a b-c d)"), ([(1, 2), (2, 2)], "(a e"), ([(0, 5)], "("), ([(3, 1), (0, 1)], "(b-c e")])
+def test_words_in_spans_are_cut(spark, spans, left):
+    rows = spark.createDataFrame([("(a b-c d)e", spans)], "text string, spans array<struct<start:bigint,length:bigint>>")
+    assert rows.select(decontaminate.without_spans(F.col("text"), F.col("spans"))).first()[0] == left
+
+
+def test_repeated_rows_share_what_is_taken(spark):
+    docs = spark.createDataFrame([(d, " ".join(["w"] * (3 + d % 5)), "en", s, 1) for d in range(60) for s in ("a", "b") for _ in range(1 + 2 * (d % 3 == 0))], "doc_id long, text string, lang string, source string, n_chars long")
+    taken = {r.source: r.n for r in corpus_pipeline.mix_sources(spark, docs, DATA).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    targets = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    assert all(abs(taken[s] - targets[s]) <= 8 for s in targets)
+
+
 @pytest.mark.parametrize("name", list(TWINS))
 def test_query_equals_its_twin(spark, name):
     good, note = compare.compare(SimpleNamespace(build=QUERIES[name], oracle=TWINS[name]), spark, compare.connect(SMALL), SMALL)
