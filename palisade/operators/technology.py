@@ -99,15 +99,31 @@ def _python_entries(content: Column, name: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def well_formed(content: Column) -> Column:
+    """Whether a text is one XML document: the parser of the JVM finds no fault in its root, and nothing but white space follows that.
+
+    A document with a type definition counts as not well formed; definitions are not read.
+    """
+    corrupt = F.from_xml(content, "_corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})["_corrupt"]
+    bare = F.regexp_replace(content, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>", "")
+    return corrupt.isNull() & bare.rlike(r"(?s)\A\s*<([^\s/>]+)[^>]*>.*</\1\s*>\s*\z")
+
+
+def xml_version(content: Column) -> Column:
+    """The last version of Spring Boot in a well-formed XML text, under whatever prefix. Comments hold no elements, nor do CDATA sections, whose text is text."""
+    plain = F.regexp_replace(content, r"(?s)<!--.*?-->", "")
+    opened = F.regexp_replace(plain, r"(<(?:[\w.-]+:)?spring-boot\.version(?:\s[^>]*)?>\s*)<!\[CDATA\[([^<\]]*)\]\]>", "$1$2")
+    elements = F.regexp_replace(opened, r"(?s)<!\[CDATA\[.*?\]\]>", "")
+    return F.when(well_formed(content), F.try_element_at(F.regexp_extract_all(elements, F.lit(t.SPRING_VERSION), 1), F.lit(-1)))
+
+
 def framework_entries(files: DataFrame) -> DataFrame:
     """Every sign of a framework in a manifest or a Python import, with its place in the detection order."""
     path, content = F.col("relative_path"), F.col("content")
     name = filename_of(path)
     readable = F.coalesce(content, F.lit(""))
     none = F.lit(None).cast("string")
-    # Comments hold no elements, and a file that does not end its root element has no version.
-    pom = F.regexp_replace(readable, r"(?s)<!--.*?-->", "")
-    pom_version = F.when(pom.rlike(r"</(\w+:)?project\s*>\s*\z"), F.try_element_at(F.regexp_extract_all(pom, F.lit(t.SPRING_VERSION), 1), F.lit(-1)))
+    pom_version = xml_version(readable)
     gradle = F.contains(readable, F.lit("org.springframework.boot"))
     web = reduce(lambda a, b: a | b, [F.contains(readable, F.lit(m)) for m in t.DOTNET_MARKERS])
     extract = lambda pattern: F.nullif(F.regexp_extract(readable, pattern, 1), F.lit(""))

@@ -102,13 +102,18 @@ EXPECTED_TECHNOLOGY = (
     (9, "Go", "Go,Rust,Ruby,C++", "", None, None, "", "go.mod,cargo.toml", 43),
     (10, "Python", "Python", "Starlette,Django", "Django", None, "", "pyproject.toml,pipfile", 88),
     (11, None, "", "", None, None, "", "", 0),
+    (12, "Java", "Java", "Spring Boot", "Spring Boot", None, "", "pom.xml", 84),
+    (13, "Java", "Java", "Spring Boot", "Spring Boot", "4.{n}", "", "pom.xml", 84),
+    (14, "Java", "Java", "Spring Boot", "Spring Boot", "5.{n}", "", "pom.xml", 84),
+    (15, "Java", "Java", "Spring Boot", "Spring Boot", None, "", "pom.xml", 84),
+    (16, "Java", "Java", "Spring Boot", "Spring Boot", None, "", "pom.xml", 84),
 )
 
 
 @register("technology_detection", "TEC-1 TEC-2 TEC-3 TEC-4 TEC-5 TEC-6 TEC-7 TEC-8 TEC-9 TEC-10 TEC-11 TEC-12 TEC-13 TEC-14", twin(
     f"""select cast(c.c_custkey as varchar) as project_id, e.language as primary_language, e.languages, e.frameworks, e.framework as primary_framework,
   replace(e.version, '{{n}}', cast(c.c_custkey as varchar)) as framework_version, e.tools, e.manifests, cast(e.confidence as int) as confidence
-from customer c join {values(EXPECTED_TECHNOLOGY, 'e(k, language, languages, frameworks, framework, version, tools, manifests, confidence)')} on e.k = c.c_nationkey % 12"""))
+from customer c join {values(EXPECTED_TECHNOLOGY, 'e(k, language, languages, frameworks, framework, version, tools, manifests, confidence)')} on e.k = c.c_nationkey % 17"""))
 def technology_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = technology.detect(trees.project_files(spark, sf_dir))
     joined = {name: F.array_join(name, ",") for name in ("languages", "frameworks", "tools", "manifests")}

@@ -28,6 +28,13 @@ PROJECT_KINDS = (
     (("go.mod", "x"), ("a.go", "x"), ("b.rs", "x"), ("Cargo.toml", "x"), ("e.rb", "x"), ("f.hpp", "x")),
     (("Pipfile", 'django = "*"\n'), ("pyproject.toml", "[deps]\nstarlette^0.{n}\n")),
     (),
+    (("pom.xml", "<project><a></b><spring-boot.version>3.{n}</spring-boot.version></project>"), ("src/A.java", "x")),
+    (("pom.xml", '<?xml version="1.0"?>\n<m:project xmlns:m="urn:pom"><!-- <spring-boot.version>1</spring-boot.version> --><m:properties>'
+                 '<m:spring-boot.version>4.{n}</m:spring-boot.version></m:properties></m:project>\n<!-- end -->\n'), ("src/A.java", "x")),
+    (("pom.xml", "<project><x><![CDATA[<spring-boot.version>9</spring-boot.version>]]></x><spring-boot.version><![CDATA[5.{n}]]></spring-boot.version>"
+                 "<y><![CDATA[<spring-boot.version>8</spring-boot.version>]]></y></project>"), ("src/A.java", "x")),
+    (("pom.xml", "<project><spring-boot.version>3.{n}</spring-boot.version><b>x & y</b></project>"), ("src/A.java", "x")),
+    (("pom.xml", "<project><spring-boot.version>3.{n}</spring-boot.version></project> and more"), ("src/A.java", "x")),
 )
 
 # One path per document source (src0 to src19). ``{d}`` is the document key.

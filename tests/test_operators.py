@@ -219,3 +219,18 @@ def test_time_labels(spark):
 def test_top_rules_break_ties_by_name(spark):
     rows = spark.createDataFrame([(1, "b", 2), (1, "a", 2), (1, "c", 3)], "project_id int, rule_id string, finding_count int")
     assert [r.rule_id for r in aggregates.top_rules_per_project(rows, 2).orderBy("position").collect()] == ["c", "a"]
+
+
+@pytest.mark.parametrize("text, version", [
+    ("<project><spring-boot.version> 3.1\n</spring-boot.version></project>\n", "3.1"),
+    ('<project xmlns="urn:a" xmlns:m="u"><m:spring-boot.version>3.2</m:spring-boot.version></project>', "3.2"),
+    ("<project><!-- <spring-boot.version>1</spring-boot.version> --><spring-boot.version>2.<!-- x -->5</spring-boot.version></project><!-- end -->", "2.5"),
+    ("<project><spring-boot.version><![CDATA[3.3]]></spring-boot.version><x><![CDATA[<spring-boot.version>9</spring-boot.version>]]></x></project>", "3.3"),
+    ("<a><spring-boot.version>1</spring-boot.version><spring-boot.version>2</spring-boot.version></a>", "2"),
+    ("<project><a></b><spring-boot.version>3</spring-boot.version></project>", None), ("<project><a>x & y</a><spring-boot.version>3</spring-boot.version></project>", None),
+    ("<project><spring-boot.version>3</spring-boot.version></project> junk", None), ("<project><spring-boot.version>3</spring-boot.version>", None), ("", None), ("spring-boot", None)])
+def test_versions_of_well_formed_xml(spark, text, version):
+    from palisade.functions.text import strip
+    from palisade.operators.technology import xml_version
+
+    assert spark.createDataFrame([(text,)], "c string").select(strip(xml_version(F.col("c")))).first()[0] == version
