@@ -7,7 +7,7 @@ from importlib import import_module
 from palisade.plans.catalogue import QUERIES, Registered
 
 MODULES = (
-    "scoring", "summaries", "findings", "relations", "code", "inventory", "lifecycle", "guidance", "reporting", "walking", "history",
+    "scoring", "summaries", "findings", "relations", "code", "inventory", "lifecycle", "guidance", "reporting", "walking", "history", "extensions", "documents",
 )
 
 
