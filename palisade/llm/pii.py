@@ -2,20 +2,23 @@
 
 Nodes are the tokens with a digit or an ``@``; all others are outside by construction. Neighbouring nodes are linked in a chain, and tokens that
 repeat or resemble an earlier one (the same local part, address or last digits) to the one before them, however far. Loopy belief propagation
-over these links makes labels agree within a document, so that a number written once in full marks its other spellings. The graphs of a batch of
-documents are propagated together. A document's cost grows with its tokens; there is no limit on their number or their distance.
+over these links makes labels agree within a document, so that a number written once in full marks its other spellings. Documents are propagated
+in blocks of about ``BLOCK`` nodes, and each stops when its own messages have settled, so its labels do not depend on the others of its block. A
+document's cost grows with its tokens (times the logarithm of its spans); there is no limit on their number or their distance.
 
-The field is trained on the spans of the patterns, by pseudo-likelihood over at most ``SAMPLE`` documents, those with the smallest hash of their
-id; half of the time the features that say whether a token is well-formed are hidden, so that links have to make up for them.
+The field is trained on the spans of the patterns, by pseudo-likelihood over the tokens of at most ``SAMPLE`` documents, those with the smallest
+hash of their id. Equal tokens in equal surroundings are counted on Spark, and only the counts reach the driver. Every token counts half with the
+features that say whether it is well-formed and half without, so that links have to make up for them.
 
-Defined cases: a null text is empty; spans of the patterns always stay, and of the field's those that meet one of them are left out; positions
-count code points; repeated rows are scanned each on its own; without anything to train on the field adds nothing; other columns are not
-looked at.
+Defined cases: a null or empty text has no spans; an empty table gives an empty one; of equally probable labels the first in the order of the kinds
+is taken; spans of the patterns always stay, and of the field's those that meet one of them are left out; positions count code points; repeated
+rows are scanned each on its own; without anything to train on the field adds nothing; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +34,9 @@ ROUNDS = 30  # of message passing, at most
 CERTAIN = 0.8  # marginal of a label that makes a span
 AGREE = 8.0  # what equal labels on a skip link are worth before training
 EVIDENCE = 6.0  # what a pattern span is worth to the label of its tokens
+BLOCK = 20_000  # nodes propagated together, about; a document with more is a block of its own
+MESSAGES = 50_000  # messages computed at once
+SETTLED = 1e-4
 
 # --- Patterns. Each is matched in linear time: a run of one class is entered at its start only. ---
 
@@ -183,51 +189,64 @@ class Field:
             unary[found, known[found]] += EVIDENCE
         pairs = np.array(graph.chain + graph.skip, int).reshape(-1, 2)
         if len(pairs):
-            weights = np.concatenate([np.repeat(self.chain[None], len(graph.chain), 0), np.repeat(self.skip[None], len(graph.skip), 0)])
+            tables = np.stack([self.chain, self.skip, self.chain.T, self.skip.T])  # [label of source, label of target]
+            skips = np.arange(len(pairs)) >= len(graph.chain)
+            table = np.concatenate([skips, skips + 2])
             source, target = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
-            weights = np.concatenate([weights, weights.transpose(0, 2, 1)])  # [message, label of source, label of target]
             back = np.roll(np.arange(len(source)), len(pairs))
+            documents, of = np.unique([graph.places[i][0] for i in source], return_inverse=True)
             messages = np.zeros((len(source), LABELS))
+            moving = np.arange(len(source))
             for _ in range(rounds):
                 belief = unary.copy()
                 np.add.at(belief, target, messages)
-                inner = (belief[source] - messages[back])[:, :, None] + weights
-                top = inner.max(axis=1)
-                new = top + np.log(np.exp(inner - top[:, None, :]).sum(axis=1))
-                new = 0.5 * messages + 0.5 * (new - new.max(axis=1, keepdims=True))
-                change, messages = np.abs(new - messages).max(), new
-                if change < 1e-4:
+                new, change = messages.copy(), np.zeros(len(documents))
+                for first in range(0, len(moving), MESSAGES):
+                    part = moving[first : first + MESSAGES]
+                    inner = (belief[source[part]] - messages[back[part]])[:, :, None] + tables[table[part]]
+                    top = inner.max(axis=1)
+                    told = top + np.log(np.exp(inner - top[:, None, :]).sum(axis=1))
+                    new[part] = 0.5 * messages[part] + 0.5 * (told - told.max(axis=1, keepdims=True))
+                    np.maximum.at(change, of[part], np.abs(new[part] - messages[part]).max(axis=1))
+                messages = new
+                moving = moving[change[of[moving]] >= SETTLED]
+                if not len(moving):
                     break
             np.add.at(unary, target, messages)
         unary = np.exp(unary - unary.max(axis=1, keepdims=True))
         return unary / unary.sum(axis=1, keepdims=True)
 
 
-def train(graph: Graph, labels: np.ndarray, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3, seed: int = 7) -> Field:
+@dataclass
+class Examples:
+    """Distinct nodes with their surroundings: active features, label, labels of the neighbours by kind of link, and how often they occur."""
+
+    active: list[list[int]]
+    labels: np.ndarray
+    chain: np.ndarray
+    skip: np.ndarray
+    counts: np.ndarray
+
+
+def train(seen: Examples, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Field:
     """Pseudo-likelihood: every node given the labels of its neighbours, by Adam. Links start as a wish to agree."""
-    rng = np.random.default_rng(seed)
-    n = len(labels)
-    of = np.repeat(np.arange(n), [len(a) for a in graph.active])
-    slots = np.concatenate(graph.active).astype(int)
-    hidden = np.isin(slots, WELL_FORMED) & (rng.random(n) < 0.5)[of]
-    of, slots = of[~hidden], slots[~hidden]
-    around = []
-    for pairs in (graph.chain, graph.skip):
-        counts = np.zeros((n, LABELS))
-        if pairs:
-            a, b = np.array(pairs).T
-            np.add.at(counts, (a, labels[b]), 1)
-            np.add.at(counts, (b, labels[a]), 1)
-        around.append(counts)
+    n = len(seen.labels)
+    # Each node twice at half its weight: with all features, and without those that say whether it is well-formed.
+    of = np.repeat(np.arange(n), [len(a) for a in seen.active])
+    slots = np.concatenate(seen.active).astype(int)
+    shown = ~np.isin(slots, WELL_FORMED)
+    of, slots = np.concatenate([of, of[shown] + n]), np.concatenate([slots, slots[shown]])
+    around = [np.concatenate([c, c]).astype(float) for c in (seen.chain, seen.skip)]
+    weight = np.concatenate([seen.counts, seen.counts])[:, None] / (2 * seen.counts.sum())
     start = [np.zeros((len(FEATURES), LABELS)), 0.5 * np.eye(LABELS), AGREE * np.eye(LABELS)]
     now, m, v = [w.copy() for w in start], [np.zeros_like(w) for w in start], [np.zeros_like(w) for w in start]
-    truth = np.eye(LABELS)[labels]
+    truth = np.eye(LABELS)[np.concatenate([seen.labels, seen.labels])]
     for step in range(1, steps + 1):
-        z = np.zeros((n, LABELS))
+        z = np.zeros((2 * n, LABELS))
         np.add.at(z, of, now[0][slots])
         z += around[0] @ now[1] + around[1] @ now[2]
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        error = (p / p.sum(axis=1, keepdims=True) - truth) / n
+        error = (p / p.sum(axis=1, keepdims=True) - truth) * weight
         first = np.zeros_like(now[0])
         np.add.at(first, slots, error[of])
         slopes = [first, around[0].T @ error, around[1].T @ error]
@@ -239,37 +258,70 @@ def train(graph: Graph, labels: np.ndarray, steps: int = 150, rate: float = 0.1,
     return Field(*now)
 
 
-def weak_labels(graph: Graph, spans: list[list[Span]]) -> np.ndarray:
-    """Label of each node: the first pattern span that it meets, else outside."""
-    out = np.zeros(len(graph.places), int)
-    for i, (number, start, end) in enumerate(graph.places):
-        out[i] = next((1 + kind for kind, a, b in spans[number] if a < end and start < b), 0)
-    return out
+class Meeting:
+    """Which spans of a document a place meets. Those of one kind do not overlap, so a search by halving finds the only candidate of each."""
+
+    def __init__(self, spans: list[Span]):
+        self.kinds = []
+        for kind in range(len(KINDS)):
+            own = sorted((a, b) for k, a, b in spans if k == kind)
+            if own:
+                self.kinds.append((kind, [a for a, _ in own], [b for _, b in own]))
+
+    def first(self, start: int, end: int) -> int | None:
+        """The first kind with a span that meets ``start`` to ``end``."""
+        for kind, starts, ends in self.kinds:
+            i = bisect_right(ends, start)
+            if i < len(starts) and starts[i] < end:
+                return kind
+        return None
+
+
+def weak_labels(graph: Graph, spans: dict[int, Meeting]) -> np.ndarray:
+    """Label of each node: the first kind of pattern span that it meets, else outside."""
+    found = (spans[number].first(start, end) for number, start, end in graph.places)
+    return np.array([0 if kind is None else 1 + kind for kind in found], int)
+
+
+def neighbour_labels(pairs: list[tuple[int, int]], labels: np.ndarray) -> np.ndarray:
+    """Per node how many neighbours on ``pairs`` have each label."""
+    counts = np.zeros((len(labels), LABELS), int)
+    if pairs:
+        a, b = np.array(pairs).T
+        np.add.at(counts, (a, labels[b]), 1)
+        np.add.at(counts, (b, labels[a]), 1)
+    return counts
 
 
 def field_spans(field: Field | None, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """Per document the spans that the field adds: runs of chained nodes whose label is certain, away from pattern spans."""
     out: list[list[Span]] = [[] for _ in texts]
-    graph = Graph.empty()
+    graph, known = Graph.empty(), {}
+
+    def label_block() -> None:
+        labels = weak_labels(graph, known)
+        marginals = field.marginals(graph, known=labels)
+        label = np.where(marginals.max(axis=1) >= CERTAIN, marginals.argmax(axis=1), 0)
+        chained = {b: a for a, b in graph.chain}
+        for i in np.flatnonzero((label > 0) & (labels == 0)).tolist():
+            number, start, end = graph.places[i]
+            kind, own = int(label[i]) - 1, out[number]
+            before = chained.get(i)
+            if before is not None and own and label[before] == label[i] and own[-1][2] == graph.places[before][2]:
+                own[-1] = (kind, own[-1][1], end)
+            else:
+                own.append((kind, start, end))
+
     if field is not None:
         for number, text in enumerate(texts):
             if "@" in text or _DIGIT.search(text):
                 add_document(graph, number, text)
-    if not graph.places:
-        return out
-    marginals = field.marginals(graph, known=weak_labels(graph, base))
-    label = np.where(marginals.max(axis=1) >= CERTAIN, marginals.argmax(axis=1), 0)
-    chained = {b: a for a, b in graph.chain}
-    for i in np.flatnonzero(label).tolist():
-        number, start, end = graph.places[i]
-        kind, own = int(label[i]) - 1, out[number]
-        if any(a < end and start < b for _, a, b in base[number]):
-            continue
-        before = chained.get(i)
-        if before is not None and own and label[before] == label[i] and own[-1][2] == graph.places[before][2]:
-            own[-1] = (kind, own[-1][1], end)
-        else:
-            own.append((kind, start, end))
+                known[number] = Meeting(base[number])
+                if len(graph.places) >= BLOCK:
+                    label_block()
+                    graph, known = Graph.empty(), {}
+        if graph.places:
+            label_block()
     return out
 
 
@@ -287,26 +339,22 @@ def fitted(documents: DataFrame, sample: int = SAMPLE) -> Field | None:
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for text in batch.column(0).to_pylist():
                 graph = Graph.empty()
                 add_document(graph, 0, text)
                 if graph.places:
-                    rows.append((graph.active, weak_labels(graph, [pattern_spans(text)]).tolist(), graph.chain, graph.skip))
-            pair = pa.list_(pa.list_(pa.int32()))
-            kinds = (pair, pa.list_(pa.int32()), pair, pair)
-            columns = [pa.array([[list(x) for x in r[i]] if i != 1 else r[i] for r in rows], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, ["active", "labels", "chain", "skip"])
+                    labels = weak_labels(graph, {0: Meeting(pattern_spans(text))})
+                    lists = pa.list_(pa.int32())
+                    links = [pa.array(neighbour_labels(pairs, labels).tolist(), lists) for pairs in (graph.chain, graph.skip)]
+                    yield pa.RecordBatch.from_arrays([pa.array(graph.active, lists), pa.array(labels, pa.int32()), *links], ["active", "label", "chain", "skip"])
 
     some = could.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("text")
-    whole, labels = Graph.empty(), []
-    for row in sorted(some.mapInArrow(nodes, "active array<array<int>>, labels array<int>, chain array<array<int>>, skip array<array<int>>").collect()):
-        shift = len(labels)
-        whole.active += row["active"]
-        labels += row["labels"]
-        whole.chain += [(a + shift, b + shift) for a, b in row["chain"]]
-        whole.skip += [(a + shift, b + shift) for a, b in row["skip"]]
-    return train(whole, np.array(labels, int)) if len(set(labels)) > 1 else None
+    told = some.mapInArrow(nodes, "active array<int>, label int, chain array<int>, skip array<int>")
+    rows = sorted(told.groupBy("active", "label", "chain", "skip").count().collect())
+    if len({row["label"] for row in rows}) < 2:
+        return None
+    column = lambda name: np.array([row[name] for row in rows], int)
+    return train(Examples([row["active"] for row in rows], column("label"), column("chain"), column("skip"), column("count")))
 
 
 def find_personal(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:

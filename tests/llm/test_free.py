@@ -291,3 +291,26 @@ def test_field_marks_other_spellings_of_a_number(spark):
     at = text.index("017099887766")
     assert f"phone:{at}:{at + 12}" in rows[1000].spans.split(",") and "12345" not in [text[int(a) : int(b)] for _, a, b in (s.split(":") for s in rows[1000].spans.split(","))]
     assert all(set(r.base.split(",")) <= set(r.spans.split(",")) for r in rows.values()) and PROSE
+
+
+def test_labels_do_not_depend_on_the_block(monkeypatch):
+    texts_ = [f"call +49 170 55{i:05d} or 017055{i:05d}, room {i} of 12.5, user{i}@mail.example.com and user{i}@other " * (1 + i % 3) for i in range(40)]
+    base = [pii.pattern_spans(t) for t in texts_]
+    field = random_field(3)
+    alone = [pii.field_spans(field, [t], [b])[0] for t, b in zip(texts_, base)]
+    assert any(alone)
+    for block, messages in ((1, 50_000), (50, 7), (10**9, 50_000)):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        monkeypatch.setattr(pii, "MESSAGES", messages)
+        assert pii.field_spans(field, texts_, base) == alone
+
+
+def test_a_text_full_of_addresses():
+    text = " ".join(f"user{i}@mail{i}.example.com 10.0.{i % 256}.7 {i}" for i in range(50_000))
+    begin = time.time()
+    base = pii.pattern_spans(text)
+    assert len(base) == 100_000
+    spans = pii.field_spans(random_field(2), [text], [base])[0]
+    assert time.time() - begin < 60
+    meeting = pii.Meeting(base)
+    assert all(meeting.first(a, b) is None for _, a, b in spans[:100])
