@@ -31,10 +31,6 @@ LEAST_PRECISION = 0.8
 LEAST_COVERED = 5
 
 
-# A window's place and hash are sorted as one number where the place fits into so many bits.
-PLACE_BITS = 24
-
-
 def window_hashes(found: Column, window: int = WINDOW) -> Column:
     """Hash of every window of ``window`` words (a power of two): hashes of words, then of neighbouring pairs, pairs of pairs and so on."""
     def joined(h: Column, width: int) -> Column:
@@ -54,14 +50,6 @@ def repeated_words(found: Column, window: int = WINDOW) -> Column:
     def words_of(places: Column) -> Column:
         return covered(F.transform(places, lambda i: F.struct(i.alias("start"), F.lit(window).alias("length"))))
 
-    def by_number(h: Column) -> Column:
-        def repeats(order: Column) -> Column:
-            place = lambda j: F.get(order, j).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-            same = lambda i, j: F.coalesce(F.get(h, place(i)) == F.get(h, place(j)), F.lit(False))
-            return F.filter(F.transform(order, lambda _, i: F.when(same(i, i - 1) | same(i, i + 1), place(i))), lambda i: i.isNotNull())
-
-        return words_of(let(F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, PLACE_BITS).bitwiseOR(i.cast("long")))), repeats))
-
     def by_pair(h: Column) -> Column:
         def repeats(order: Column) -> Column:
             same = lambda x, j: F.coalesce(F.get(order, j)["hash"] == x["hash"], F.lit(False))
@@ -71,10 +59,7 @@ def repeated_words(found: Column, window: int = WINDOW) -> Column:
 
     def of_hashes(h: Column) -> Column:
         # Most texts repeat nothing, which a hash set finds out without a sort.
-        return (
-            F.when(F.size(F.array_distinct(h)) == F.size(h), none)
-            .when(F.size(h) < (1 << PLACE_BITS), by_number(h)).otherwise(by_pair(h))
-        )
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(by_pair(h))
 
     return F.when(F.size(found) <= window, none).otherwise(let(window_hashes(found, window), of_hashes))
 

@@ -112,9 +112,7 @@ def counts(text):
 REPEATS = ["a b c d e f g h " * 3, "a a a a a a a a a", "x\nx\n \n\nx", "1 2 3 4 5 6 7 8 0 1 2 3 4 5 6 7 8", "#*$ %&| <>", "a b c d e f g h"]
 
 
-@pytest.mark.parametrize("bits", [24, 2])
-def test_statistics_equal_brute_force(spark, monkeypatch, bits):
-    monkeypatch.setattr(rules, "PLACE_BITS", bits)  # 2: almost every text takes the way of very long ones
+def test_statistics_equal_brute_force(spark):
     some = [(i, t) for i, t in enumerate(REPEATS)] + [(100 + i, t[1]) for i, t in enumerate(texts())]
     found = rules.statistics(spark.createDataFrame(some, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in found} == {i: counts(t or "") for i, t in some}
