@@ -89,11 +89,55 @@ def test_views_teach_each_other():
     """Words tell half of the documents apart, metadata the others; pseudo-labels carry what one view knows to the other."""
     rng = random.Random(3)
 
-    def row(i, good):
-        words = [rng.randrange(1000, 4000) for _ in range(30)] + ([1 if good else 2] if i % 2 else [])
-        return {"good": good if i < 60 else None, "words": np.array(words, np.int32), "names": ["x"], "layout": [float(good if i % 2 == 0 else 0.5), 0.0] + [rng.random() for _ in range(7)]}
-    model = cotraining.fit([row(i, i % 4 < 2) | {"good": int(i % 4 < 2) if i < 400 else None} for i in range(1200)])
-    assert model is not None and abs(model.both[0]) > 0 and abs(model.both[1]) > 0
+    def row(i):
+        good = i % 4 < 2
+        # Word 3 marks good documents of the half whose words say nothing else, and only documents without a label have it.
+        words = [rng.randrange(1000, 4000) for _ in range(30)] + ([1 if good else 2] if i % 2 else [3] * good * (i >= 400))
+        shape = [float(good if i % 2 == 0 else 0.5), 0.0] + [rng.random() for _ in range(7)]
+        return {"good": int(good), "body": i, "words": np.unique(np.array(words, np.int32)), "names": ["x"], "layout": shape}
+
+    rows = [row(i) for i in range(4000)]
+
+    def teach(model, held):
+        found = cotraining.Exchange(cotraining.META_SLOTS + cotraining.BINS * len(model.edges))
+        free = [r for r in rows if r["body"] not in set(held.tolist())]
+        found.add(model, [r["words"] for r in free], [cotraining.meta_slots(r["names"], r["layout"], model.edges) for r in free])
+        return found
+
+    model = cotraining.fit(rows[:400], teach)
+    assert all(min(round_) > 500 for round_ in model.taught)
+    assert model.text.weights[3] == 0 and model.text.lean[3] > 2 and model.text.lean[1] == 0 and model.meta.lean.any()
+    unseen = [r for r in rows[400:] if 3 in r["words"]]
+    assert (model.text.columns([r["words"] for r in unseen])[:, 1] > 0).all()
+    assert not cotraining.fit(rows[:400], teach, rounds=0).text.lean.any()
+
+
+def test_a_round_equals_brute_force_and_labelled_documents_take_part(spark):
+    """Counts of one round over all documents, each of which has a label; one slot after the other, one document after the other."""
+    documents = table(spark, "documents").repartition(5)
+    labels = documents.select("doc_id", F.when(F.length("text") % 3 > 0, 1).otherwise(0).alias("quality"), F.lit(0).alias("toxic"))
+    marked = labels.filter("quality = 0").select("doc_id", F.lit(" zzbad zzworse zzworst").alias("mark"))
+    documents = documents.join(marked, "doc_id", "left").withColumn("text", F.concat("text", F.coalesce("mark", F.lit("")))).drop("mark")
+    model = cotraining.trained(documents, labels)
+    assert len(model.taught) == cotraining.ROUNDS and all(by_words > 100 for by_words, _ in model.taught)
+    rows = documents.select("text", "lang", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("body")).collect()
+    held = np.array([r.body for r in rows[::7]], np.int64)
+    counts = cotraining.exchange_over(documents, ["lang", "source"])(model, held).counts
+    expected = [{}, {}]
+    for r in rows:
+        if r.body in set(held.tolist()):
+            continue
+        text = (r.text or "").encode()
+        slots = [cotraining.word_slots(text), cotraining.meta_slots([r.lang, r.source], cotraining.layout(text), model.edges)]
+        for pupil, teacher in ((0, model.meta), (1, model.text)):
+            z = teacher.columns([slots[1 - pupil]])[0] @ teacher.scale[:2] + teacher.scale[2]
+            p = 1 / (1 + np.exp(-z))
+            if p >= cotraining.SURE or p <= 1 - cotraining.SURE:
+                for slot in [*slots[pupil].tolist(), len(counts[pupil][0]) - 1]:
+                    pair = expected[pupil].setdefault(slot, [0, 0])
+                    pair[int(p >= 0.5)] += 1
+    for count, pairs in zip(counts, expected):
+        assert {int(s): count[:, s].tolist() for s in np.flatnonzero(count.sum(axis=0))} == pairs
 
 
 def test_classifier_on_awkward_rows(awkward, labels, no_documents):
@@ -104,6 +148,7 @@ def test_classifier_on_awkward_rows(awkward, labels, no_documents):
     assert same[0] == same[1]
     assert cotraining.kept(awkward, labels.limit(0)).count() == len(texts()) and cotraining.scored(no_documents, labels).isEmpty()
     assert cotraining.scored(awkward.select("doc_id", "text"), labels).count() == len(texts())
+    assert cotraining.trained(awkward, labels) is not None and cotraining.trained(no_documents, labels) is None
 
 
 # --- Near-duplicates. ---
