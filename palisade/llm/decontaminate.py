@@ -2,7 +2,8 @@
 
 The hash set is a bit array over anchors, the grams of half a window that windows consist of. Every window of a text holds an anchor that
 starts at a multiple of a fixed stride, so only those are hashed; windows around an anchor that passes are verified by joining their words
-with the windows themselves. A hit is never a collision, and all occurrences in whole texts are found.
+with the windows themselves. A hit is never a collision, and all occurrences in whole texts are found. The way is the same for a benchmark of
+any size: the bit array has a greatest size, beyond which it lets more by, and the join, whose sides Spark sizes at run time, turns those away.
 
 Defined cases: a null text has no words; an item without words has no windows; an item of fewer words than a window is one window of all
 its words; windows that several items share count for each of them; an item without an id marks words but is not counted or listed; rows
@@ -19,9 +20,8 @@ WINDOW = 10
 # What stands between words once A to Z are lower case, and before that.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CASED_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-# Up to so many windows the hash set and the windows (about 100 bytes each) are sent to every task. Beyond it neither is: every
-# position of every text is then a candidate and the join is a shuffle.
-MAX_WINDOWS = 1 << 18
+# Greatest size of a bit array, 4 MB; it holds half a million anchors at 64 bits each.
+MAX_BITS = 1 << 25
 
 
 def item_words(text: Column) -> Column:
@@ -29,17 +29,14 @@ def item_words(text: Column) -> Column:
 
 
 def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
-    """Distinct windows as ``(length, gram, items)``; ``items`` are the ids of the items they occur in."""
+    """Distinct windows and the items they occur in, as ``(item_id, length, gram)``."""
     items = benchmark.select("item_id", item_words(text_or_empty("text")).alias("words")).filter(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(width))
     windows = items.select(
         "item_id", length.alias("length"),
         F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - length + 1), lambda i: F.slice("words", i, length))).alias("window"),
     )
-    return (
-        windows.select("item_id", "length", F.array_join("window", " ").alias("gram"))
-        .groupBy("length", "gram").agg(F.collect_set("item_id").alias("items"))
-    )
+    return windows.select("item_id", F.col("length").cast("long").alias("length"), F.array_join("window", " ").alias("gram")).distinct()
 
 
 def _positions(hash_: Column, bits: int) -> tuple[Column, Column]:
@@ -56,10 +53,10 @@ def anchor_of(length: int) -> int:
 
 
 class HashSet:
-    """Hashes as a bit array constant of at most 64 bits each; ``has`` is never wrongly false."""
+    """Hashes as a bit array constant of 64 to 128 bits each, or less at the greatest size; ``has`` is never wrongly false."""
 
     def __init__(self, hashes: DataFrame):
-        self.bits = 1 << max(10, (max(1, hashes.count()) * 64 - 1).bit_length())
+        self.bits = min(MAX_BITS, 1 << max(10, (max(1, hashes.count()) * 64 - 1).bit_length()))
         held = bit_words(hashes.select(F.explode(F.array(*_positions(F.col("hash"), self.bits))).alias("position")))
         self.array = bits_literal(held, self.bits)
 
@@ -68,37 +65,33 @@ class HashSet:
         return bit_at(self.array, first) & bit_at(self.array, second)
 
 
-def _candidates(found: Column, length: int, anchors: HashSet | None) -> Column:
+def _candidates(found: Column, length: int, anchors: HashSet) -> Column:
     """Starts in ``found`` of windows of ``length`` words around anchors of the benchmark, with the words there."""
     last, anchor = F.size(found) - length, anchor_of(length)
     stride = length - anchor + 1
-    if anchors is None:
-        starts = F.sequence(F.lit(0), last)
-    else:
-        hashes = F.transform(F.sequence(F.lit(0), F.size(found) - anchor, F.lit(stride)), lambda i: F.xxhash64(F.slice(found, i + 1, F.lit(anchor))))
-        hit = F.filter(F.transform(hashes, lambda h, i: F.when(anchors.has(h), i * stride)), lambda i: i.isNotNull())
-        around = F.flatten(F.transform(hit, lambda i: F.sequence(F.greatest(i - (stride - 1), F.lit(0)), i)))
-        starts = F.filter(around, lambda i: i <= last)
+    hashes = F.transform(F.sequence(F.lit(0), F.size(found) - anchor, F.lit(stride)), lambda i: F.xxhash64(F.slice(found, i + 1, F.lit(anchor))))
+    hit = F.filter(F.transform(hashes, lambda h, i: F.when(anchors.has(h), i * stride)), lambda i: i.isNotNull())
+    around = F.flatten(F.transform(hit, lambda i: F.sequence(F.greatest(i - (stride - 1), F.lit(0)), i)))
+    starts = F.filter(around, lambda i: i <= last)
     found_here = F.transform(starts, lambda i: F.struct(
         i.cast("long").alias("start"), F.lit(length).cast("long").alias("length"),
         F.array_join(F.slice(found, i + 1, F.lit(length)), " ").alias("gram")))
     return F.when(last >= 0, found_here).otherwise(F.array())
 
 
-def occurrences(documents: DataFrame, benchmark: DataFrame, row: Column, width: int = WINDOW) -> DataFrame:
-    """``(row, n_words, spans, items)`` per document: ``spans`` are the occurrences (start, length), ``items`` the ids they belong to.
+def occurrences(documents: DataFrame, windows: DataFrame, row: Column) -> tuple[DataFrame, DataFrame]:
+    """``(rid, row, n_words, open)`` of every document, and its occurrences ``(rid, start, length, gram)`` of ``windows(length, gram)``.
 
     ``row`` is what the caller wants back of each document. It is written once, next to the candidates, so that the texts are scanned once;
-    from there only documents with candidates are grouped.
+    from there only what was found moves. Documents that are not ``open`` have no occurrences.
     """
-    grams = cut_lineage(windows_of(benchmark, width))
-    small = grams.count() <= MAX_WINDOWS
+    grams = cut_lineage(windows.select("length", "gram").distinct())
     lengths = sorted(r["length"] for r in grams.select("length").distinct().collect())  # 1 to ``width``
     parts = []
     for n in lengths:
         window = F.split("gram", " ")
         pieces = F.transform(F.sequence(F.lit(1), F.lit(n - anchor_of(n) + 1)), lambda i: F.xxhash64(F.slice(window, i, F.lit(anchor_of(n)))))
-        anchors = HashSet(grams.filter(F.col("length") == n).select(F.explode(pieces).alias("hash")).distinct()) if small else None
+        anchors = HashSet(grams.filter(F.col("length") == n).select(F.explode(pieces).alias("hash")).distinct())
         parts.append(lambda found, n=n, anchors=anchors: _candidates(found, n, anchors))
     nothing = F.array().cast("array<struct<start:bigint,length:bigint,gram:string>>")
     judged = let(item_words(text_or_empty("text")), lambda found: F.struct(
@@ -107,28 +100,30 @@ def occurrences(documents: DataFrame, benchmark: DataFrame, row: Column, width:
         documents.select(row.alias("row"), judged.alias("judged"))
         .select(F.monotonically_increasing_id().alias("rid"), "row", "judged.n_words", "judged.candidates")
     )
-    spans, ids = "array<struct<start:bigint,length:bigint>>", grams.schema["items"].dataType
-    clean = scanned.filter(F.size("candidates") == 0).select(
-        "row", "n_words", F.array().cast(spans).alias("spans"), F.array().cast(ids).alias("items"))
-    open_ = scanned.filter(F.size("candidates") > 0).select("rid", "row", "n_words", F.explode("candidates").alias("at"))
-    known = grams.select("length", "gram", "items")
-    hits = open_.join(
-        F.broadcast(known) if small else known, (open_["at.length"] == known["length"]) & (open_["at.gram"] == known["gram"]), "left")
-    grouped = hits.groupBy("rid").agg(
-        F.first("row").alias("row"), F.first("n_words").alias("n_words"),
-        F.collect_set(F.when(F.col("items").isNotNull(), F.struct(F.col("at.start").alias("start"), F.col("at.length").alias("length")))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-    )
-    return clean.unionByName(grouped.drop("rid"))
+    places = scanned.select("rid", F.explode("candidates").alias("at")).select("rid", "at.*")
+    return scanned.select("rid", "row", "n_words", (F.size("candidates") > 0).alias("open")), cut_lineage(places.join(grams, ["length", "gram"]))
+
+
+def spans_of(hits: DataFrame) -> DataFrame:
+    """``(rid, spans)``: the occurrences (start, length) of documents that have some."""
+    return hits.groupBy("rid").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """Per document its words, hit words and the items found in it."""
-    found = occurrences(documents.select("doc_id", "text"), benchmark, F.struct("doc_id"), width)
-    ids = F.transform("items", lambda i: i.cast("string"))
+    windows = cut_lineage(windows_of(benchmark, width))
+    scanned, hits = occurrences(documents.select("doc_id", "text"), windows, F.col("doc_id"))
+    # Items meet windows only once these are known to occur in a document, however many items share one.
+    named = hits.select("rid", "length", "gram").distinct().join(windows.filter("item_id is not null"), ["length", "gram"])
+    items = named.groupBy("rid").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    open_ = scanned.filter("open").join(spans_of(hits), "rid", "left").join(items, "rid", "left")
+    ids = F.array().cast("array<string>")
+    clean = scanned.filter("not open").select("row", "n_words", F.lit(0).cast("long").alias("n_hit"), ids.alias("items"))
+    hit = F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long")
+    found = clean.unionByName(open_.select("row", "n_words", hit.alias("n_hit"), F.coalesce("items", ids).alias("items")))
     return found.select(
-        "row.doc_id", "n_words", covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.sort_array(ids)), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+        F.col("row").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.sort_array("items")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
@@ -166,7 +161,8 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, drop_share: float
     """
     columns = documents.columns
     key = F.struct(F.col("doc_id"), F.xxhash64(text_or_empty("text")).alias("body"))
-    found = occurrences(documents.select("doc_id", "text"), benchmark, key, width).filter(F.size("spans") > 0)
+    scanned, places = occurrences(documents.select("doc_id", "text"), windows_of(benchmark, width), key)
+    found = scanned.filter("open").join(spans_of(places), "rid")
     hits = cut_lineage(found.select(F.col("row.doc_id").alias("hit_id"), F.col("row.body").alias("hit_body"), "n_words", "spans").dropDuplicates(["hit_id", "hit_body"]))
     rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
     same = F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64(text_or_empty(F.col("row.text"))) == F.col("hit_body"))

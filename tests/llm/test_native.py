@@ -166,13 +166,19 @@ def leaks(some, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bound", [1 << 18, 0])
-def test_contamination_equals_brute_force(awkward, benchmark, monkeypatch, bound):
-    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", bound)  # 0: the way of benchmarks too large to send to every task
-    some = awkward if bound else awkward.filter("length(text) < 10000 or text is null")
-    found = decontaminate.contamination(some, benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    expected = leaks([(r[0], r[1]) for r in texts() if bound or r[1] is None or len(r[1]) < 10000], [tuple(r) for r in benchmark.collect()])
-    assert sorted(map(tuple, found.collect()), key=str) == expected
+@pytest.mark.parametrize("bits", [1 << 25, 64])
+def test_contamination_equals_brute_force(awkward, benchmark, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "MAX_BITS", bits)  # 64: as if the benchmark were far too large for the bit array, which then lets most by
+    found = decontaminate.contamination(awkward, benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted(map(tuple, found.collect()), key=str) == leaks([(r[0], r[1]) for r in texts()], [tuple(r) for r in benchmark.collect()])
+
+
+def test_a_window_that_many_items_share(spark):
+    shared = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([(i, f"{shared} own{i}") for i in range(500)] + [(500, shared), (None, shared)], "item_id long, text string")
+    some = spark.createDataFrame([(1, f"x {shared} y"), (2, f"{shared} own7 {shared} own9"), (3, "one two three"), (4, None)], "doc_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(some, items).collect()}
+    assert found == {1: (12, 10, 501, True), 2: (22, 22, 501, True), 3: (3, 0, 0, False), 4: (0, 0, 0, False)}
 
 
 def test_cutting_spans(spark, awkward, benchmark, no_documents):
