@@ -153,6 +153,28 @@ def test_one_scan_with_all_events_keeps_several_tasks_busy(spark):
     assert spread.count() == deadlines.SALTS and spread.agg(F.max("count")).first()[0] < 20_000 / deadlines.SALTS * 1.3
 
 
+def test_scans_of_one_bucket_end_each_for_itself(spark, tmp_path):
+    """More scans than buckets: one timer a bucket, deadlines on both sides of the watermark and on it, and events over two batches."""
+    at = lambda s: START + timedelta(seconds=s)
+    first = [(i, i, "queued", at(0), at(600 + i)) for i in range(1, 41)] + [(i, 100 + i, "heartbeat", at(30), None) for i in range(1, 41)]
+    second = [(5, 205, "cancel", at(601), None), (6, 206, "completed", at(602), None), (7, 207, "broke", at(9), None), (8, 208, "queued", at(90), at(9000)), (None, 209, "cancel", at(5), None)]
+    schema = "scan_id bigint, event_id bigint, kind string, ts timestamp, deadline_at timestamp"
+    for found in (first, second):
+        spark.createDataFrame(found, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = streams.event_stream(spark, f"{tmp_path}/in", schema, files_per_trigger=1)
+    # The last mark is at 630 s: the deadline of scan 30 is on it.
+    done = streams.run_to_end(stream, lambda e: deadlines.ended(e, "1 hour", buckets=2), str(tmp_path), "ended", str(at(4230))).collect()
+    ended = {r.scan_id: (r.current_stage, (r.ended_at - START).total_seconds()) for r in done}
+    late = {i: ("timed_out", 600 + i) for i in range(1, 30) if i not in (5, 6, 7, 8)}
+    assert len(done) == len(ended) and {k: v for k, v in ended.items() if k != 30} == {**late, 5: ("cancelled", 601), 7: ("failed", 9), None: ("cancelled", 5)}
+
+
+def test_heartbeats_take_no_state(spark):
+    found = spark.range(1000).selectExpr(
+        "id as scan_id", "id as event_id", "timestamp '2024-01-01' as ts", "if(id < 10, 'cancel', 'heartbeat') as kind", "cast(null as timestamp) as deadline_at")
+    assert deadlines.combined(found, "1 minute").count() == 10
+
+
 def test_a_stream_leaves_the_settings_of_the_session(spark, tmp_path):
     before = spark.conf.get(streams.STATE_STORE[0], None)
     spark.createDataFrame([(1, START, "a")], "event_id long, ts timestamp, kind string").write.parquet(f"{tmp_path}/in")
