@@ -51,16 +51,25 @@ def read(spark: SparkSession, root: str, label: int | None = None) -> DataFrame:
     return _rows(spark, entry)
 
 
-def _store(root: str, rows: DataFrame, keys: list[str], touched: list[int], last: dict | None, buckets: int, **more) -> int:
-    folder = f"{root}/data/{uuid.uuid4().hex}"
+def _written(rows: DataFrame, folder: str, keys: list[str], buckets: int) -> None:
     # Rebalancing splits a bucket that holds much of the data over several tasks.
-    rows.withColumn("bucket", _bucket(keys, buckets)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(folder)
+    rows.withColumn("bucket", _bucket(keys, buckets)).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(folder)
+
+
+def _held(folder: str) -> list[int]:
     system, path = commits.opened(folder)
-    written = [int(i.base_name.split("=")[1]) for i in system.get_file_info(fs.FileSelector(path)) if i.base_name.startswith("bucket=")]
+    return [int(i.base_name.split("=")[1]) for i in system.get_file_info(fs.FileSelector(path)) if i.base_name.startswith("bucket=")]
+
+
+def _committed(root: str, folder: str, schema: StructType, touched: list[int], last: dict | None, buckets: int, **more) -> int:
     folders = {b: f for b, f in (last["folders"] if last else {}).items() if int(b) not in touched}
-    folders |= {str(b): f"{folder}/bucket={b}" for b in written}
+    folders |= {str(b): f"{folder}/bucket={b}" for b in _held(folder)}
     number = max(commits.entries(root), default=0) + 1
-    return commits.commit(root, number, {"buckets": buckets, "folders": folders, "schema": rows.schema.json(), **more})
+    return commits.commit(root, number, {"buckets": buckets, "folders": folders, "schema": schema.json(), **more})
+
+
+def _folder(root: str) -> str:
+    return f"{root}/data/{uuid.uuid4().hex}"
 
 
 def replace(rows: DataFrame, root: str, keys: list[str], label: int | None = None, scope: DataFrame | None = None, buckets: int = BUCKETS) -> int:
@@ -68,15 +77,23 @@ def replace(rows: DataFrame, root: str, keys: list[str], label: int | None = Non
 
     Keys of the scope without a row lose theirs. Everything else stays.
     """
-    spark, last = rows.sparkSession, latest(root)
+    spark, last, folder = rows.sparkSession, latest(root), _folder(root)
     count = last["buckets"] if last else buckets
-    changed = (rows if scope is None else scope).select(*keys).distinct()
-    touched = [r[0] for r in changed.select(_bucket(keys, count)).distinct().collect()]
-    kept = rows
+    if last:
+        # What is stored names the columns.
+        rows = _rows(spark, last, []).unionByName(rows)
+    _written(rows, folder, keys, count)
+    # The rows are made once; their keys are read from what is written.
+    named = spark.read.schema(rows.schema).parquet(folder) if scope is None else scope
+    changed = named.select(*keys).distinct()
+    touched = _held(folder)
+    if scope is not None:
+        touched = sorted({*touched, *(r[0] for r in changed.select(_bucket(keys, count)).distinct().collect())})
     if last:
         old = _rows(spark, last, touched)
-        kept = old.join(changed, keys, "left_anti").select(*old.columns).unionByName(rows)
-    return _store(root, kept, keys, touched, last, count, label=label, batch=None)
+        kept = old.join(changed, keys, "left_anti").select(*old.columns)
+        _written(kept.unionByName(rows.filter(F.lit(False))), folder, keys, count)
+    return _committed(root, folder, rows.schema, touched, last, count, label=label, batch=None)
 
 
 def repeated(last: dict | None, number: int) -> bool:
@@ -97,7 +114,9 @@ def merge(
     count = last["buckets"] if last else buckets
     touched = [r[0] for r in batch.select(_bucket(keys, count)).distinct().collect()]
     rows = fold(_rows(spark, last, touched).unionByName(batch) if last else batch)
-    return _store(root, rows, keys, touched, last, count, label=None, batch=number, note=note)
+    folder = _folder(root)
+    _written(rows, folder, keys, count)
+    return _committed(root, folder, rows.schema, touched, last, count, label=None, batch=number, note=note)
 
 
 def vacuum(root: str, keep: int = 1) -> int:
