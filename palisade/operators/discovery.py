@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palisade.catalog import markers as m
 from palisade.functions import paths, text
 
+# The kinds of facts that endpoints come from.
+ENDPOINT_FACTS = ("function",)
 RESPONSE = "struct<status_code:int, model:string, description:string>"
 
 
