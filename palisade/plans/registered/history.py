@@ -59,9 +59,11 @@ def _stored_versions(spark: SparkSession, sf_dir: str) -> str:
     """Two scans of the discovery, the second one of some of the projects; returns where."""
     root = f"{streams.run_folder(spark)}/discovery"
     kinds = b.projects(spark, sf_dir).select(F.col("project_id").cast("string").alias("project_id"), F.col("user_id").alias("kind"))
-    found = lambda shift: discovery.stored_endpoints(discovery.endpoints(facts.code_facts(modules.route_modules(spark, sf_dir, shift))))
+    found = lambda shift: discovery.stored_endpoints(discovery.endpoints(facts.code_facts(modules.route_modules(spark, sf_dir, shift), discovery.ENDPOINT_FACTS)))
     reports.replace_discovery(found(0), root, 1)
-    later = found(1).join(kinds.filter("kind < 12"), "project_id", "left_semi").unionByName(found(0).join(kinds.filter("kind = 12"), "project_id", "left_semi"))
+    # What has not changed since the first scan is read from it.
+    first = reports.read_discovery(spark, root, 1)
+    later = found(1).join(kinds.filter("kind < 12"), "project_id", "left_semi").unionByName(first.join(kinds.filter("kind = 12"), "project_id", "left_semi"))
     reports.replace_discovery(later, root, 2, kinds.filter("kind < 14"))
     return root
 
