@@ -76,8 +76,11 @@ def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Trees on a file system, written and thinned by the executors. ---
 
 
-def _each(rows: DataFrame, columns: list[str], root: str, act) -> int:
-    """``act(file system, path, values)`` for every row, and how many there were. Acts are safe to repeat."""
+def _each(rows: DataFrame, columns: list[str], root: str, act, spread: bool = False) -> int:
+    """``act(file system, path, values)`` for every row, and how many there were. Acts are safe to repeat.
+
+    With ``spread``, over all cores, however few parts the rows come in.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = walk.opened(root)
         done = 0
@@ -87,7 +90,10 @@ def _each(rows: DataFrame, columns: list[str], root: str, act) -> int:
                 done += 1
         yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["done"])
 
-    return rows.select("project_id", "relative_path", *columns).mapInArrow(run, "done bigint").agg(F.coalesce(F.sum("done"), F.lit(0))).first()[0]
+    rows = rows.select("project_id", "relative_path", *columns)
+    if spread:
+        rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "project_id", "relative_path")
+    return rows.mapInArrow(run, "done bigint").agg(F.coalesce(F.sum("done"), F.lit(0))).first()[0]
 
 
 def write_tree(rows: DataFrame, root: str) -> int:
@@ -110,7 +116,7 @@ def write_tree(rows: DataFrame, root: str) -> int:
             else:
                 os.mknod(path, stat.S_IFSOCK | 0o600)
 
-    return _each(rows, ["kind", "content"], root, act)
+    return _each(rows, ["kind", "content"], root, act, spread=True)
 
 
 def remove_files(rows: DataFrame, root: str) -> int:

@@ -23,6 +23,8 @@ from palisade.sources import commits
 from palisade.sources.commits import opened
 
 FOLDERS_PER_TASK = 64
+# A level with more folders than these many tasks a core would take has more of them to a task.
+TASKS_PER_CORE = 32
 FILES_PER_TASK = 5000
 _BATCH_ROWS = 4096
 
@@ -105,7 +107,8 @@ def names(spark: SparkSession, root: str, pruned: tuple[str, ...] = (), folders_
         if not count:
             break
         # By number, so that adaptive execution does not put a level into one task for being few bytes.
-        frontier = folders.select(path("folder", "name").alias("folder")).repartition(-(-count // folders_per_task), "folder")
+        tasks = min(-(-count // folders_per_task), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+        frontier = folders.select(path("folder", "name").alias("folder")).repartition(tasks, "folder")
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
