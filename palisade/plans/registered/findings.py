@@ -29,7 +29,9 @@ def _endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 from (select *, row_number() over (partition by endpoint_id, rule_id, severity, {FOLD.format('title')}, {FOLD.format('description')} order by {SEQ}) as rn from findings) t
 where rn = 1""", "findings"))
 def normalised_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = ops.normalise(b.findings(spark, sf_dir))
+    # Numbering stores the rows, so they are left with what is shown and what orders them.
+    kept = ops.normalise(b.findings(spark, sf_dir)).select(
+        "project_id", "endpoint_id", "rule_id", "severity", "title", "status", "file_path", "line_number", "seq")
     return ops.severity_first(kept, ["project_id", "endpoint_id"]).select(
         "project_id", "endpoint_id", "rule_id", "severity", "title", "status", "file_path",
         scoring.severity_rank(F.col("severity")).alias("severity_rank"), "position")
@@ -177,7 +179,8 @@ def knowledge_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.col("category")
     rule = (F.when(category == "authentication", "auth-001 ").when(category == "authorization", "AUTH-002")
             .when(category == "input_validation", "VAL-001").when(category == "file_upload", "FILE-001").otherwise(F.col("rule_id")))
-    found = b.findings(spark, sf_dir).select(
+    # In pieces of bounded size, as the groups below are nearly as many as the findings.
+    found = b.findings(spark, sf_dir, b.finding_tasks(spark, sf_dir)).select(
         "endpoint_id", rule.alias("rule_id"),
         F.when(F.col("severity") == "info", "").otherwise(F.col("title")).alias("title"), "description", F.lit("").alias("remediation"),
         F.when(F.col("status") == "open", "API0").alias("owasp_reference"), F.when(F.col("status") == "resolved", "CWE-0").alias("cwe_id"),
