@@ -113,9 +113,10 @@ from (select distinct project_id, rule_id || '|' || file_path as fingerprint fro
 full outer join (select distinct project_id, rule_id || '|' || file_path as fingerprint from findings where found_at >= timestamp '1998-07-01') b
   on a.project_id = b.project_id and a.fingerprint = b.fingerprint""", "findings"))
 def finding_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = b.findings(spark, sf_dir).withColumn("fingerprint", F.concat_ws("|", "rule_id", "file_path"))
+    tasks = b.finding_tasks(spark, sf_dir)
+    marked = b.findings(spark, sf_dir, tasks).withColumn("fingerprint", F.concat_ws("|", "rule_id", "file_path"))
     cut = F.to_timestamp_ntz(F.lit("1998-07-01 00:00:00"))
-    return relations.finding_changes(marked.filter(F.col("found_at") < cut), marked.filter(F.col("found_at") >= cut), ["project_id", "fingerprint"])
+    return relations.finding_changes(marked.filter(F.col("found_at") < cut), marked.filter(F.col("found_at") >= cut), ["project_id", "fingerprint"], tasks)
 
 
 @register("upload_deduplication", "SRC-14", twin(
