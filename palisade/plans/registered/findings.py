@@ -8,6 +8,7 @@ from palisade.catalog import rules
 from palisade.functions import scoring, text
 from palisade.operators import findings as ops
 from palisade.plans.catalogue import SEQ, SEVERITY_RANK, register, twin
+from palisade.session import stored_in_turn
 from palisade.sources import bindings as b
 
 FINGERPRINT = "rule_id || '|' || method || '|' || path || '|' || file_path || '|' || cast(line_number as varchar)"
@@ -29,12 +30,17 @@ def _endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 from (select *, row_number() over (partition by endpoint_id, rule_id, severity, {FOLD.format('title')}, {FOLD.format('description')} order by {SEQ}) as rn from findings) t
 where rn = 1""", "findings"))
 def normalised_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Numbering stores the rows, so they are left with what is shown and what orders them.
-    kept = ops.normalise(b.findings(spark, sf_dir)).select(
-        "project_id", "endpoint_id", "rule_id", "severity", "title", "status", "file_path", "line_number", "seq")
-    return ops.severity_first(kept, ["project_id", "endpoint_id"]).select(
-        "project_id", "endpoint_id", "rule_id", "severity", "title", "status", "file_path",
-        scoring.severity_rank(F.col("severity")).alias("severity_rank"), "position")
+    def shown(piece: tuple[int, int]) -> DataFrame:
+        # Numbering may store the rows, so they are left with what is shown and what orders them.
+        kept = ops.normalise(b.findings(spark, sf_dir, piece=piece)).select(
+            "project_id", "endpoint_id", "rule_id", "severity", "title", "status", "file_path", "line_number", "seq")
+        return ops.severity_first(kept, ["project_id", "endpoint_id"], b.crowded_endpoints(spark, sf_dir, piece)).select(
+            "project_id", "endpoint_id", "rule_id", "severity", "title", "status", "file_path",
+            scoring.severity_rank(F.col("severity")).alias("severity_rank"), "position")
+
+    pieces = b.finding_pieces(spark, sf_dir)
+    # Endpoint by endpoint, as the joins of all findings take several times the space of the tables.
+    return stored_in_turn(spark, map(shown, pieces)) if len(pieces) > 1 else shown(pieces[0])
 
 
 @register("endpoint_fingerprints", "FND-5", twin(
